@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .fingerprints import op4_fingerprints
+from .secret_scan import op7_secret_scan
 from .sharding import op2_sharding
+from .warc import OP1_SQL, op1_warc
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op4_fingerprints, op7_secret_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}
