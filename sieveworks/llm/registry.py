@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .fingerprints import op4_fingerprints
 from .secret_scan import op7_secret_scan
+from .sentencepieces import op5_sentencepieces
 from .sharding import op2_sharding
+from .toxicity import op8_toxicity
 from .warc import OP1_SQL, op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op4_fingerprints, op7_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op4_fingerprints, op5_sentencepieces, op7_secret_scan, op8_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}
