@@ -90,7 +90,8 @@ def ranked(keys: DataFrame, *order: str) -> DataFrame:
 
 def successors(docs: DataFrame) -> DataFrame:
     """(doc_id, h, prev_id, prev_h, want): who precedes each document, and how many code points that one takes of it."""
-    keys = ranked(docs.groupBy("doc_id", "h").agg(F.first("n_chars").alias("n_chars")), "doc_id", "h")
+    sizes = docs.groupBy("doc_id", "h").agg(F.first(F.char_length("text")).alias("n_chars"))
+    keys = ranked(sizes, "doc_id", "h")
     before = keys.select(
         ((F.col("rank") + 1) % F.col("total")).alias("rank"), F.col("doc_id").alias("prev_id"), F.col("h").alias("prev_h"),
         F.floor(F.col("n_chars") / 4).cast("int").alias("want"),
@@ -101,8 +102,8 @@ def successors(docs: DataFrame) -> DataFrame:
 def edited_neighbours(df: DataFrame) -> DataFrame:
     """Every document with its fingerprint, that of its edited text, and their likeness."""
     docs = df.select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
-    docs = docs.withColumn("n_chars", F.char_length("text").cast("bigint"))
     order = successors(docs)
+    # Both joins read the same columns of this, so Spark shuffles the texts once and reuses the exchange.
     marked = docs.withColumn("mark", fingerprint(F.col("text")))
     following = (
         marked.alias("d").join(order.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.h") == F.col("o.h")))
@@ -110,6 +111,7 @@ def edited_neighbours(df: DataFrame) -> DataFrame:
         .dropDuplicates(["prev_id", "prev_h"])
     )
     both = marked.alias("d").join(following.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.prev_id")) & (F.col("d.h") == F.col("f.prev_h")))
+    both = both.withColumn("n_chars", F.char_length("text").cast("bigint"))
     cut = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
     kept = F.substring("text", F.lit(1), cut.cast("int"))
     edited = both.withColumn("kept", kept).withColumn("edited", F.concat("kept", "head"))
