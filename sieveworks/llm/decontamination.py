@@ -149,18 +149,22 @@ def search(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: f
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` that contain no test item, with their columns; rows without doc_id are judged as well."""
-    spark, kept = docs.sparkSession, docs
+    kept = docs
     for block in item_blocks(items, threshold, "item_id"):
-        sent = spark.sparkContext.broadcast(block)
+        kept = kept.filter(clean_of(docs.sparkSession.sparkContext.broadcast(block), threshold, recall)(text_of()))
+    return kept
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            shingler, searcher = Shingler(), Searcher(sent.value, threshold, recall)
-            for texts in batches:
-                yield texts.map(lambda t: not searcher.find(shingler.read(t))).astype(bool)
 
-        kept = kept.filter(clean(text_of()))
-    return kept
+def clean_of(sent, threshold: float, recall: float):
+    """Whether a text contains no item of the block that was sent."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingler, searcher = Shingler(), Searcher(sent.value, threshold, recall)
+        for texts in batches:
+            yield texts.map(lambda t: not searcher.find(shingler.read(t))).astype(bool)
+
+    return clean
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
