@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -213,8 +214,6 @@ def encode(df: DataFrame, model: str = MODEL, key: str = "doc_id", text: str = "
 
 def decode(df: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
     """``df`` with the column ``decoded``: the text of ``ids``; null where they are null."""
-    import pandas as pd
-
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
 
     @F.pandas_udf("string")
