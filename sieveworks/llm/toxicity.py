@@ -31,6 +31,8 @@ from .common import table, text_of
 FIT_ROWS = 20_000
 #: Words and beginnings that the classifier sees, and those of them that vote on their own.
 MARKERS, VOTERS = 512, 48
+#: How often a label is taken to be right; this anchors the model, whose voters could else agree on another split.
+ANNOTATOR = 0.999
 PREFIXES = range(4, 9)
 KEPT_WORDS = 300_000
 WORD = re.compile(r"\w+")
@@ -46,12 +48,14 @@ def traits(word: str) -> list[str]:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of about FIT_ROWS labelled rows; only ids and labels of the sample are broadcast."""
+    """(text, toxic) of the different texts of about FIT_ROWS labelled rows; only ids and labels of the sample are broadcast."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     share = min(1.0, FIT_ROWS / max(n, 1))
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    # A text with many copies is one example.
+    return sample.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h", "toxic"]).drop("_h")
 
 
 def count_traits(sample: DataFrame) -> DataFrame:
@@ -71,10 +75,11 @@ def count_traits(sample: DataFrame) -> DataFrame:
 
 
 def strongest(counts: DataFrame, toxic: int, clean: int) -> list[tuple[str, int, int]]:
-    """Traits by how surely they are more frequent in toxic rows: log odds over their standard error."""
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = counts.filter("toxic >= 2").withColumn("z", odds / error).filter("z > 2").orderBy(F.desc("z"), "trait").limit(MARKERS)
+    """Traits by how surely they are more frequent in toxic rows: the log-likelihood ratio of their counts."""
+    both, share = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), both * share) + part(F.col("clean"), both * (1 - share)))
+    best = counts.filter((F.col("toxic") >= 2) & (F.col("toxic") > both * share)).withColumn("g", ratio).filter("g > 6.6").orderBy(F.desc("g"), "trait").limit(MARKERS)
     return [(r["trait"], r["toxic"], r["clean"]) for r in best.collect()]
 
 
@@ -137,6 +142,7 @@ class LabelModel:
             prior = float(belief.mean())
             on, off = np.einsum("i,ijv->jv", belief, shown) + 0.5, np.einsum("i,ijv->jv", 1 - belief, shown) + 0.5
             rates = np.stack([off / off.sum(1, keepdims=True), on / on.sum(1, keepdims=True)], 1)
+            rates[-1] = [[1e-6, ANNOTATOR, 1 - ANNOTATOR], [1e-6, 1 - ANNOTATOR, ANNOTATOR]]
             model = cls(prior, rates, weight)
             # Votes that go together more than the classes explain count as partly one vote.
             sign = np.where(ballots < 0, 0, 2 * ballots - 1).astype("f8")
