@@ -250,7 +250,7 @@ def kept(docs: DataFrame, classifier: Classifier) -> DataFrame:
         for texts in batches:
             yield pd.Series(sent.value.scores(texts, reader))
 
-    return docs.withColumn("_toxic", score(text_of())).filter("_toxic < 0.5").drop("_toxic")
+    return docs.filter(score(text_of()) < 0.5)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def frame(spark):
     def make(rows, extra=False):
         df = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], DOCS)
         if extra:  # columns whose names the operators might use themselves
-            for name in ("h", "node", "key", "uid", "leader", "members", "salt", "_salt", "kept", "score", "window", "order", "rank"):
+            for name in ("h", "node", "key", "uid", "leader", "members", "salt", "_salt", "kept", "score", "window", "order", "rank", "_toxic"):
                 df = df.selectExpr("*", f"'x' AS {name}")
         return df
 
