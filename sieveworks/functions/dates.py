@@ -10,12 +10,14 @@ from pyspark.sql import Column, functions as F
 from ..config import ScoringConfig
 
 
+#: Year 1 to 9999, month 1 to 12, day 1 to 31, each with optional plus and zeros in front.
+YEAR_MONTH_DAY = r"\A\+?0*[1-9][0-9]{0,3}-\+?0*([1-9]|1[0-2])-\+?0*([1-9]|[12][0-9]|3[01])\z"
+
+
 def parse_date(text: Column) -> Column:
     """A date from year-month-day; null for anything else. Days beyond the end of a month run into the next one."""
-    parts = F.split(text, "-")
-    year, month, day = (F.get(parts, F.lit(k)).try_cast("int") for k in range(3))
-    valid = text.rlike(r"\A[+]?[0-9]+-[+]?[0-9]+-[+]?[0-9]+\z") & year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
-    return F.when(valid, F.date_add(F.make_date(F.when(valid, year), F.when(valid, month), F.lit(1)), F.when(valid, day) - 1))
+    year, month, day = (F.get(F.split(text, "-"), F.lit(k)).try_cast("int") for k in range(3))
+    return F.when(text.rlike(YEAR_MONTH_DAY), F.date_add(F.make_date(year, month, F.lit(1)), day - 1))
 
 
 def days_since(text: Column, as_of: Column) -> Column:
@@ -31,8 +33,12 @@ def as_date(as_of: str | datetime.date | Column | None) -> Column:
 
 def recency_boost(date: Column, config: ScoringConfig, as_of: str | datetime.date | Column | None = None) -> Column:
     """0 for dates that cannot be read, the full boost for future ones, otherwise by strategy."""
-    days = days_since(date, as_date(as_of)).cast("double")
-    return F.when(days.isNull(), F.lit(0.0)).when(days < 0, F.lit(config.recency_boost_max)).otherwise(recency_of_age(days, config))
+    return recency_of_days(days_since(date, as_date(as_of)), config)
+
+
+def recency_of_days(days: Column, config: ScoringConfig) -> Column:
+    """The boost for a number of days; null stands for a date that cannot be read."""
+    return F.when(days.isNull(), F.lit(0.0)).when(days < 0, F.lit(config.recency_boost_max)).otherwise(recency_of_age(days.cast("double"), config))
 
 
 def recency_of_age(days: Column, config: ScoringConfig) -> Column:

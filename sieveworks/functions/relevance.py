@@ -6,12 +6,10 @@ column.
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, functions as F
 
 from ..config import PriorityPage, ScoringConfig
-from .dates import recency_boost
+from .dates import recency_of_days
 
 Terms = list[str] | Column
 
@@ -84,10 +82,12 @@ def priority_excerpt(pages, url: Column, excerpt: Column, query: Column | None =
 
 
 def composite(
-    terms: Terms, config: ScoringConfig, priority: Column, as_of: str | datetime.date | Column | None = None, primary: Terms | None = None, phrase: bool = True,
-    title: str = "title", excerpt: str = "excerpt", date: str = "date", score: str = "score", weight: str = "source_weight", locations: str = "locations",
+    terms: Terms, config: ScoringConfig, priority: Column, days: Column, primary: Terms | None = None, phrase: bool = True, title: str = "title", excerpt: str = "excerpt", score: str = "score", weight: str = "source_weight", locations: str = "locations",
 ) -> Column:
-    """Weighted base score plus title, content, recency and priority boosts. A missing or non-positive base counts as 1."""
+    """Weighted base score plus title, content, recency and priority boosts. A missing or non-positive base counts as 1.
+
+    ``days`` is the row's age as a column of its own: the expression has it several times, and Spark computes it once so.
+    """
     base = F.when(F.col(score) > 0, F.col(score)).otherwise(F.lit(1.0)) * F.coalesce(F.col(weight), F.lit(1.0))
     titled = title_match(terms, F.col(title), config)
     if primary is not None:
@@ -95,4 +95,4 @@ def composite(
     content = content_match(terms, F.col(excerpt), config)
     if phrase and not (isinstance(terms, list) and len(terms) < 2):
         content = content * F.when(F.col(locations).isNull(), F.lit(1.0)).otherwise(phrase_multiplier(terms, F.col(locations), config))
-    return base + titled + content + recency_boost(F.coalesce(F.col(date), F.lit("")), config, as_of) + priority
+    return base + titled + content + recency_of_days(days, config) + priority

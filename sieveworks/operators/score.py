@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import PriorityPage, ScoringConfig
 from ..functions import relevance
+from ..functions.dates import as_date, days_since
 from ..functions.text import extract_query, query_terms
 
 OPTIONAL = {"date": "string", "score": "double", "content_type": "string", "site_name": "string", "source_weight": "double", "locations": "array<bigint>"}
 
+AGE = "_days_since"
+
 
 def completed(df: DataFrame) -> DataFrame:
     """``df`` with the optional columns it lacks, and ``pos`` if it has no order yet."""
@@ -34,7 +37,8 @@ def scored(df: DataFrame, query: str, config: ScoringConfig = ScoringConfig(), p
     pages = relevance.matched_pages(query, config.priority_pages)
     if pages:
         df = df.withColumn("excerpt", relevance.priority_excerpt(pages, F.col("url"), F.col("excerpt")))
-    return df.withColumn("score", relevance.composite(terms, config, relevance.priority_boost(pages, F.col("url")), as_of, primary))
+    score = relevance.composite(terms, config, relevance.priority_boost(pages, F.col("url")), F.col(AGE), primary)
+    return df.withColumn(AGE, days_since(F.col("date"), as_date(as_of))).withColumn("score", score).drop(AGE)
 
 
 def score_results(
@@ -82,7 +86,8 @@ def batch_scored(queries: DataFrame, results: DataFrame, config: ScoringConfig =
         excerpt = relevance.priority_excerpt(own.priority_pages, F.col("url"), F.col("excerpt"), F.col("query"))
         boost = relevance.priority_boost(own.priority_pages, F.col("url"), F.col("query"))
         rows = rows.withColumn("excerpt", excerpt) if own.priority_pages else rows
-        out.append(rows.withColumn("score", relevance.composite(F.col("terms"), own, boost, as_of)).drop("terms"))
+        rows = rows.withColumn(AGE, days_since(F.col("date"), as_date(as_of)))
+        out.append(rows.withColumn("score", relevance.composite(F.col("terms"), own, boost, F.col(AGE))).drop("terms", AGE))
     first, *rest = out
     for df in rest:
         first = first.unionByName(df)
