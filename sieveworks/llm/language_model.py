@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import table, text_of, written
 
 END = b""
-CLASSES, PER_CLASS, HIDDEN = 32, 32, 16
+CLASSES, PER_CLASS, HIDDEN = 16, 32, 16
 TAILS = 64
 WORDS = CLASSES * PER_CLASS - TAILS
 #: Counts that are broadcast, of tokens of up to HEAD_BYTES; and the bound of the warm-up.
-HEAD, HEAD_BYTES, WARM_TOKENS = 1 << 18, 64, 1_000_000
-WINDOW, WARM_LANES, LANES, SCORE_LANES = 32, 32, 256, 1024
+HEAD, HEAD_BYTES, WARM_TOKENS = 1 << 17, 64, 1_000_000
+WINDOW, WARM_LANES, LANES = 32, 32, 512
+#: Tokens scored side by side; many documents at once keep the lanes full while the longest end.
+SCORE_TOKENS = 1 << 21
 RATE, CLIP = 0.01, 5.0
 
 
@@ -72,6 +74,20 @@ def counted(docs: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
+def head_of(counts: DataFrame) -> DataFrame:
+    """At most HEAD of the most frequent tokens: those from a count on. It is read off the numbers of tokens by size of
+    count, of which there are a few hundred, so no task sorts all tokens and the driver gets no more than the head."""
+    short = counts.filter(F.octet_length("token") <= HEAD_BYTES)
+    step = F.floor(F.log2("c") * 16)
+    sizes = sorted(short.groupBy(step.alias("s")).count().collect(), reverse=True)
+    held, least = 0, None
+    for size, n in sizes:
+        if held + n > HEAD:
+            break
+        held, least = held + n, size
+    return short.filter(step >= least) if least is not None else short.filter(F.lit(False))
+
+
 @dataclass
 class Lexicon:
     """Units and counts of the most frequent tokens, and the mass of each tail."""
@@ -87,28 +103,22 @@ class Lexicon:
     @classmethod
     def of(cls, counts: DataFrame) -> Lexicon:
         n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-        top = counts.filter(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("c"), "token").limit(HEAD).collect()
         mass, sums = np.ones(TAILS), np.zeros(TAILS)
         for tail, c, types in counts.groupBy("tail").agg(F.sum("c"), F.count(F.lit(1))).collect():
             mass[tail] += c + types
             sums[tail] += c
-        words = [r for r in top if r["token"] != END][: WORDS - 1]
-        end = [r for r in top if r["token"] == END]
-        for r in words + end:
-            mass[r["tail"]] -= r["c"] + 1
-            sums[r["tail"]] -= r["c"]
-        of_word = {bytes(r["token"]): TAILS + 1 + k for k, r in enumerate(words)} | {END: TAILS}
+        top = head_of(counts).orderBy(F.octet_length("token") > 0, F.desc("c"), "token").toArrow()  # the end first
+        names, count = top.column("token").to_pylist(), top.column("c").to_numpy()
+        if names[:1] != [END]:
+            names, count = [END, *names], np.append(0, count)
+        unit = np.append([0] * (len(names) - top.num_rows), top.column("tail").to_numpy()).astype(np.int32)
+        chosen = min(WORDS, len(names))
+        np.subtract.at(mass, unit[:chosen], np.where(count[:chosen] > 0, count[:chosen] + 1, 0))
+        np.subtract.at(sums, unit[:chosen], count[:chosen])
+        unit[:chosen] = TAILS + np.arange(chosen)
         unit_count = np.zeros(CLASSES * PER_CLASS)
-        unit_count[:TAILS] = sums
-        for r in words + end:
-            unit_count[of_word[bytes(r["token"])]] = r["c"]
-        rows = end + words + [r for r in top[len(words) :] if bytes(r["token"]) not in of_word]
-        head = {bytes(r["token"]): k for k, r in enumerate(rows)}
-        if END not in head:
-            head[END] = len(rows)
-        unit = np.array([of_word.get(t, None) if t in of_word else tail_of(t) for t in head], np.int32)
-        count = np.array([r["c"] for r in rows] + [0] * (len(head) - len(rows)), np.int64)
-        return cls(head, unit, count, mass, int(n), int(v), unit_count)
+        unit_count[:TAILS], unit_count[TAILS : TAILS + chosen] = sums, count[:chosen]
+        return cls({t: k for k, t in enumerate(names)}, unit, count.astype(np.int64), mass, int(n), int(v), unit_count)
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, Counter]:
         """Units and counts (-1 where not in the head) of the tokens, and the tokens beyond the head."""
@@ -159,74 +169,75 @@ class Network:
         return n + z * (h - n), z, r, n, inner
 
     @staticmethod
-    def by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by class, and (class, begin, end) of those that occur."""
         owner = targets // PER_CLASS
         order = np.argsort(owner, kind="stable")
-        return order, np.searchsorted(owner[order], np.arange(CLASSES + 1))
+        ends = np.searchsorted(owner[order], np.arange(CLASSES + 1)).tolist()
+        return order, [(c, ends[c], ends[c + 1]) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+
+    @staticmethod
+    def exp(logits: np.ndarray) -> np.ndarray:
+        """In place; capped, so that no sum overflows."""
+        return np.exp(np.minimum(logits, 80, out=logits), out=logits)
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        logits = states @ self.p["C"] + self.p["c"]
-        logits -= logits.max(1, keepdims=True)
-        out = logits[np.arange(len(targets)), targets // PER_CLASS] - np.log(np.exp(logits).sum(1))
-        order, ends = self.by_class(targets)
-        for c in range(CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                logits = states[rows] @ self.p["W"][c] + self.p["w"][c]
-                logits -= logits.max(1, keepdims=True)
-                out[rows] += logits[np.arange(len(rows)), targets[rows] % PER_CLASS] - np.log(np.exp(logits).sum(1))
+        order, parts = self.by_class(targets)
+        states, own = states[order], targets[order] % PER_CLASS
+        share = self.exp(states @ self.p["C"] + self.p["c"])
+        total = share.sum(1)
+        got = np.empty(len(targets), "f4")
+        for c, a, b in parts:
+            inner = self.exp(states[a:b] @ self.p["W"][c] + self.p["w"][c])
+            got[a:b] = inner[np.arange(b - a), own[a:b]] / inner.sum(1) * share[a:b, c]
+        out = np.empty(len(targets))
+        out[order] = np.log(np.maximum(got / total, 1e-37))
         return out
 
-    def gradient(self, units: np.ndarray, targets: np.ndarray, weight: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Of one window (time, lane): the gradient, the state after it, and the loss in nats."""
-        steps, lanes = units.shape
-        grad = Network(np.zeros(len(self.flat)))
-        g, k, past = grad.p, HIDDEN, []
-        for t in range(steps):
+    def forward(self, units: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """States of a window (time, lane), and what the way back needs."""
+        states, past = np.empty((*units.shape, HIDDEN), "f4"), []
+        for t in range(len(units)):
             h = h * fresh[t][:, None]
             after, z, r, n, inner = self.step(units[t], h)
             past.append((h, z, r, n, inner))
-            h = after
-            if t == 0:
-                states = np.empty((steps, lanes, k), "f4")
-            states[t] = h
-        flat, aim, share = states.reshape(-1, k), targets.ravel(), weight.ravel()
-        scale = share / max(1.0, float(share.sum()))
-        logits = flat @ self.p["C"] + self.p["c"]
-        logits -= logits.max(1, keepdims=True)
-        probs = np.exp(logits)
-        probs /= probs.sum(1, keepdims=True)
-        at = np.arange(len(aim))
-        loss = -float((np.log(probs[at, aim // PER_CLASS] + 1e-30) * share).sum())
-        probs[at, aim // PER_CLASS] -= 1
-        probs *= scale[:, None]
-        g["C"][:], g["c"][:] = flat.T @ probs, probs.sum(0)
-        back = probs @ self.p["C"].T
-        order, ends = self.by_class(aim)
-        for c in range(CLASSES):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                own = flat[rows]
-                logits = own @ self.p["W"][c] + self.p["w"][c]
-                logits -= logits.max(1, keepdims=True)
-                probs = np.exp(logits)
-                probs /= probs.sum(1, keepdims=True)
-                at = np.arange(len(rows))
-                loss -= float((np.log(probs[at, aim[rows] % PER_CLASS] + 1e-30) * share[rows]).sum())
-                probs[at, aim[rows] % PER_CLASS] -= 1
-                probs *= scale[rows][:, None]
-                g["W"][c], g["w"][c] = own.T @ probs, probs.sum(0)
-                back[rows] += probs @ self.p["W"][c].T
-        back = back.reshape(steps, lanes, k)
+            states[t] = h = after
+        return states, past
+
+    def gradient(self, units: np.ndarray, targets: np.ndarray, weight: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean loss over a window (time, lane), and the state after it."""
+        steps, lanes = units.shape
+        grad = Network(np.zeros(len(self.flat), "f4"))
+        g, k = grad.p, HIDDEN
+        states, past = self.forward(units, fresh, h)
+        order, parts = self.by_class(targets.ravel())
+        flat, own = states.reshape(-1, k)[order], targets.ravel()[order] % PER_CLASS
+        scale = weight.ravel()[order] / max(1.0, float(weight.sum()))
+        share = self.exp(flat @ self.p["C"] + self.p["c"])
+        share *= (scale / share.sum(1))[:, None]
+        for c, a, b in parts:
+            share[a:b, c] -= scale[a:b]
+        g["C"][:], g["c"][:] = flat.T @ share, share.sum(0)
+        back = share @ self.p["C"].T
+        for c, a, b in parts:
+            inner = self.exp(flat[a:b] @ self.p["W"][c] + self.p["w"][c])
+            inner *= (scale[a:b] / inner.sum(1))[:, None]
+            inner[np.arange(b - a), own[a:b]] -= scale[a:b]
+            g["W"][c], g["w"][c] = flat[a:b].T @ inner, inner.sum(0)
+            back[a:b] += inner @ self.p["W"][c].T
+        placed = np.empty_like(back)
+        placed[order] = back
+        back = placed.reshape(steps, lanes, k)
         gates, d = np.empty((steps, lanes, 3 * k), "f4"), np.zeros((lanes, k), "f4")
         for t in reversed(range(steps)):
             before, z, r, n, inner = past[t]
-            d = d + back[t]
+            d += back[t]
             dn = d * (1 - z) * (1 - n * n)
-            gates[t, :, :k] = d * (before - n) * z * (1 - z)
-            gates[t, :, k : 2 * k] = dn * inner * r * (1 - r)
-            gates[t, :, 2 * k :] = dn
-            through = gates[t].copy()
+            gate = gates[t]
+            gate[:, :k] = d * (before - n) * z * (1 - z)
+            gate[:, k : 2 * k] = dn * inner * r * (1 - r)
+            gate[:, 2 * k :] = dn
+            through = gate.copy()
             through[:, 2 * k :] *= r
             g["U"] += before.T @ through
             d = (d * z + through @ self.p["U"].T) * fresh[t][:, None]
@@ -234,14 +245,14 @@ class Network:
         ordered = units.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         g["X"][ordered[first]] = np.add.reduceat(gates.reshape(-1, 3 * k)[order], first, axis=0)
-        return grad.flat, h, loss
+        return grad.flat, states[-1]
 
 
 class Trainer:
     """Adam over windows of lanes; documents lie end to end in the lanes."""
 
     def __init__(self, net: Network, lanes: int):
-        self.net, self.lanes, self.seen, self.loss, self.updates = net, lanes, 0, 0.0, 0
+        self.net, self.lanes, self.seen, self.updates = net, lanes, 0, 0
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
 
     def learn(self, documents: list[np.ndarray]) -> None:
@@ -257,8 +268,7 @@ class Trainer:
         shaped = [np.ascontiguousarray(x.reshape(self.lanes, columns).T) for x in (units, targets, weight, fresh)]
         h = np.zeros((self.lanes, HIDDEN), "f4")
         for at in range(0, columns, WINDOW):
-            slope, h, loss = self.net.gradient(*(x[at : at + WINDOW] for x in shaped), h)
-            self.loss += loss
+            slope, h = self.net.gradient(*(x[at : at + WINDOW] for x in shaped), h)
             self.move(slope)
         self.seen += total
 
@@ -288,12 +298,12 @@ def train_rows(lexicon, weights: np.ndarray, lanes: int, at_once: int):
         if held:
             trainer.learn(held)
         if trainer.seen:
-            yield pd.DataFrame({"tokens": [trainer.seen], "loss": [trainer.loss], "weights": [trainer.net.flat.astype("f8") * trainer.seen]})
+            yield pd.DataFrame({"tokens": [trainer.seen], "weights": [trainer.net.flat.astype("f8") * trainer.seen]})
 
     return rows
 
 
-TRAINED = "tokens bigint, loss double, weights array<double>"
+TRAINED = "tokens bigint, weights array<double>"
 
 
 def average(trained: DataFrame, size: int, otherwise: np.ndarray) -> np.ndarray:
@@ -359,18 +369,19 @@ def score_rows(lexicon, weights):
             logs = np.log10(counts[inside] + 1)
             tail = inside & (units < TAILS)
             score += float(np.log10(counts[tail] + 1).sum() - np.log10(known.tail_mass[units[tail]]).sum())
-            spread = [{"token": t, "n": n, "tail": tail_of(t)} for t, n in beyond.items()]
+            spread = [(t, n, tail_of(t)) for t, n in beyond.items()]
             out.append((uid, doc_id, held, len(units), int((counts > 0).sum()), float(logs.sum()) - floor * int(inside.sum()), score, spread))
         return pd.DataFrame(out, columns=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "beyond"]).astype({"doc_id": "Int64"})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, net, held = lexicon.value, Network(weights.value), []
+        known, net, held, size = lexicon.value, Network(weights.value), [], 0
         for batch in batches:
             for uid, doc_id, out, text in batch.itertuples(index=False):
                 held.append((uid, doc_id, out, *known.read(text)))
-                if len(held) >= SCORE_LANES:
+                size += len(held[-1][3])
+                if size >= SCORE_TOKENS:
                     yield done(known, net, held)
-                    held = []
+                    held, size = [], 0
         if held:
             yield done(known, net, held)
 
