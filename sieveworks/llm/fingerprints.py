@@ -1,10 +1,15 @@
 """Homomorphic multiset hash of documents.
 
 A text is the multiset of its paragraphs (long ones cut at sentence ends). Each paragraph hashes to a wide vector: it
-has a value in every one of ``DENSE`` lanes and in one of ``SPARSE`` further lanes, which its hash picks. The vectors
-are added lane by lane modulo 2^32. So the order of paragraphs does not matter, and inserting or deleting one is an
-addition or subtraction. The dense lanes decide equality; the share of sparse lanes that agree tells how much two
-texts have in common. Only DataFrame functions are used.
+has a value in every one of ``DENSE`` lanes, and each of its word blocks adds 1 or -1 to one of ``SPARSE`` further
+lanes, which the block's hash picks (a count sketch). The vectors are added lane by lane modulo 2^32. So the order of
+paragraphs does not matter, and inserting or deleting one is an addition or subtraction. The dense lanes decide
+equality. The sparse lanes estimate the inner product of two texts' block counts, whatever their length. Only
+DataFrame functions are used.
+
+Blocks end at words that a hash picks (one in 8; within words of over 64 characters, which count as so many words, at
+one in 32, by it and the one before), after 4 to 64 words, and at the paragraph's end. So a changed word changes the
+blocks around it only. Blank paragraphs have no block.
 
 Defined results: null counts as the empty text, which is one empty paragraph. Rows that repeat both doc_id and text
 are one document, and each gets its row; two texts under one doc_id follow each other by hash. A null doc_id comes
@@ -23,26 +28,44 @@ LANES = DENSE + SPARSE
 MOD = 0xFFFFFFFF
 #: Ends of paragraphs, and of sentences within them.
 CUT = r"\n|(?<=[.!?]) "
+#: A word block: words are parted by spaces, and by a line feed where a block may end.
+BLOCK = r"(?:[^ \n]++[ \n]++){0,3}[^ \n]++(?: ++[^ \n]++){0,60}+\n?"
+LONG_WORD = 64
 
 
 def paragraphs(text: Column) -> Column:
     return F.split(text, CUT, -1)
 
 
+def blocks(paragraph: Column) -> Column:
+    """The paragraph's word blocks."""
+    marked = lambda w, of, *by: F.when(F.pmod(F.xxhash64(w, *by), F.lit(of)) == 0, F.concat(w, F.lit("\n"))).otherwise(w)
+    # The array of one binds the characters, which would be split anew for each of them.
+    single = lambda w: F.transform(F.array(F.split(w, "")), lambda cs: F.transform(cs, lambda c, i: marked(c, 32, F.get(cs, i - 1))))[0]
+    words = F.flatten(F.transform(F.split(paragraph, " ", -1), lambda w: F.when(F.char_length(w) > LONG_WORD, single(w)).otherwise(F.array(marked(w, 8)))))
+    return F.regexp_extract_all(F.array_join(words, " "), F.lit(BLOCK), F.lit(0))
+
+
+def sketch(parts: Column) -> Column:
+    """For each sparse lane, its blocks of sign 1 less those of sign -1."""
+    code = lambda b: F.char(F.pmod(F.xxhash64(b), F.lit(2 * SPARSE)))
+    codes = F.array_join(F.transform(F.flatten(F.transform(parts, blocks)), code), "")
+    count = lambda s, c: F.octet_length(s) - F.octet_length(F.replace(s, F.char(c), F.lit("")))
+    lanes = F.sequence(F.lit(0), F.lit(SPARSE - 1))
+    # The array of one binds the codes, which would be made anew for each lane.
+    return F.transform(F.array(codes), lambda s: F.transform(lanes, lambda i: (count(s, i) - count(s, i + SPARSE)).cast("bigint")))[0]
+
+
 def vector_sum(parts: Column, start: Column | None = None, sign: int = 1) -> Column:
     """``start`` plus (or minus) the vectors of the paragraphs, as array<bigint>."""
     hashed = F.transform(parts, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(1), p).alias("b")))
-    zero = F.array_repeat(F.lit(0).cast("bigint"), LANES)
 
     def add(acc: Column, p: Column) -> Column:
-        def lane(v: Column, i: Column) -> Column:
-            own = F.when(i < DENSE, F.xxhash64(p["a"], p["b"], i)).when(i - DENSE == F.pmod(p["a"], F.lit(SPARSE)), p["b"]).otherwise(F.lit(0))
-            value = own.bitwiseAND(F.lit(MOD))
-            return (v + value if sign > 0 else v - value).bitwiseAND(F.lit(MOD))
-
-        return F.transform(acc, lane)
+        return F.transform(acc, lambda v, i: (v + F.xxhash64(p["a"], p["b"], i).bitwiseAND(F.lit(MOD))).bitwiseAND(F.lit(MOD)))
 
-    return F.aggregate(hashed, zero if start is None else start, add)
+    own = F.concat(F.aggregate(hashed, F.array_repeat(F.lit(0).cast("bigint"), DENSE), add), sketch(parts))
+    begin = F.array_repeat(F.lit(0).cast("bigint"), LANES) if start is None else start
+    return F.zip_with(begin, own, lambda v, w: (v + w if sign > 0 else v - w).bitwiseAND(F.lit(MOD)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -62,11 +85,15 @@ def as_hex(vector: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 if equal; else the share of agreeing sparse lanes, of those that either text uses."""
-    lanes = F.slice(F.arrays_zip(a.alias("a"), b.alias("b")), DENSE + 1, SPARSE)
-    used = F.size(F.filter(lanes, lambda x: (x["a"] != 0) | (x["b"] != 0)))
-    same = F.size(F.filter(lanes, lambda x: (x["a"] != 0) & (x["a"] == x["b"])))
-    return F.when(a == b, F.lit(1.0)).when(used == 0, F.lit(0.0)).otherwise(same / used)
+    """1 if equal; else twice the inner product of the sparse lanes by the sum of their squares, from 0 to below 1.
+
+    That estimates the share of blocks in common, with a standard error of about 0.06 at 0.75 and 0.13 at 0.
+    """
+    signed = lambda v: F.when(v > MOD // 2, v - (MOD + 1)).otherwise(v).cast("double")
+    lanes = F.zip_with(F.slice(a, DENSE + 1, SPARSE), F.slice(b, DENSE + 1, SPARSE), lambda v, w: F.struct(signed(v).alias("a"), signed(w).alias("b")))
+    total = lambda f: F.aggregate(lanes, F.lit(0.0), lambda acc, x: acc + f(x))
+    both, squares = total(lambda x: x["a"] * x["b"]), total(lambda x: x["a"] * x["a"] + x["b"] * x["b"])
+    return F.when(a == b, F.lit(1.0)).when(squares == 0, F.lit(0.0)).otherwise(F.least(F.greatest(2 * both / squares, F.lit(0.0)), F.lit(0.999999)))
 
 
 def ranked(keys: DataFrame, *order: str) -> DataFrame:

@@ -49,3 +49,32 @@ def test_repeats_and_empty(spark, frame):
     out = fp.edited_neighbours(frame([(1, "one. two. three"), (1, "one. two. three"), (2, "xxxxxxxx")])).collect()
     assert len(out) == 3 and len({r["edited_sha256"] for r in out if r["doc_id"] == 1}) == 1
     assert fp.edited_neighbours(frame([])).count() == 0
+
+
+def sentences(n, seed, end=". "):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(12)) + end for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [100, 2000])
+@pytest.mark.parametrize("end", [". ", "\n", " "])
+def test_likeness_does_not_fall_with_length(spark, frame, n, end):
+    """Each text keeps 75% in its edited text, also as one endless paragraph."""
+    texts = ["".join(sentences(n, 10 * n + k, end)) for k in range(8)]
+    out = fp.edited_neighbours(frame(enumerate(texts))).collect()
+    near, far = ([r[c] for r in out] for c in ("near_edited", "near_next"))
+    assert all(0.5 < x < 0.95 for x in near) and 0.65 < sum(near) / 8 < 0.85
+    assert sum(far) / 8 < 0.2 and max(far) < min(near)
+
+
+def test_likeness_of_near_copies(spark, frame):
+    old, new = sentences(1000, 1), sentences(1000, 2)
+    whole, changed = "".join(old), "".join(new[k] if k % 10 == 0 else s for k, s in enumerate(old))
+    shifted, junk = "one more word " + " ".join(old).replace(". ", ""), "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20000))
+    pairs = [(whole, changed, 0.9), (" ".join(old).replace(". ", ""), shifted, 1.0), (junk, "x" + junk[:15000] + junk[:5000][::-1], 0.75), ("a b " * 3000, "a b " * 2900, 1.0)]
+    df = spark.createDataFrame(pairs, "a string, b string, want double")
+    for r in df.select("want", fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))).alias("got")).collect():
+        assert abs(r["got"] - r["want"]) < 0.15 and r["got"] < 1
+    # Blank lines are no likeness.
+    blank = frame([(1, "\n\n".join(old)), (2, "\n\n".join(new))]).agg(F.collect_list(fp.fingerprint(F.col("text"))).alias("v"))
+    assert blank.select(fp.likeness(F.col("v")[0], F.col("v")[1])).first()[0] < 0.45
