@@ -2,9 +2,13 @@
 
 The base patterns find assignments to secret-like names, access keys and long hex strings. Candidate strings (long
 runs of key characters) are then read with a sliding window for each character class: the window's character counts
-change by one in and one out, so its Shannon entropy is kept up to date in constant time. Stretches whose windows are
-all above the class's threshold are spans of kind ``entropy``, unless an allow-list pattern matches the candidate or
-a base span already covers the stretch.
+change by one in and one out, so its Shannon entropy is kept up to date in constant time. The window shrinks to the
+run of a class where that is shorter. A run with a window above the threshold is a span of kind ``entropy`` as a whole,
+unless an allow-list pattern matches the candidate or a base span already covers the run.
+
+Lower-case and upper-case alphanumerics are classes of their own: their threshold, as that of shrunk windows, is three
+standard deviations below the mean entropy of random strings of the class's alphabet and the window's length. As words
+with a number in them reach it too, such runs must change between cases, digits and other signs a few times.
 
 Defined results: null counts as empty; offsets are code points, ends exclusive; a text without spans has an empty
 ``spans`` and the digest of the empty string; repeated rows and repeated ids each get their row; any other column is
@@ -17,6 +21,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,8 +36,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs; shorter ones fail
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Character class: its runs, window, and least entropy in bits.
-CLASSES = (("hex", re.compile(r"[0-9A-Fa-f]{20,}"), 20, 3.0), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.0))
+#: Character class: its runs, letters in its alphabet, window, least entropy in bits (None: that of random strings), and
+#: least changes of kind where the entropy is that of random strings.
+CLASSES = (
+    ("hex", re.compile(r"[0-9A-Fa-f]{20,}"), 16, 20, 3.0, 0), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 64, 24, 4.0, 7),
+    ("lower", re.compile(r"(?<![A-Za-z0-9])[a-z0-9]{20,}(?![A-Za-z0-9])"), 36, 24, None, 3), ("upper", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{20,}(?![A-Za-z0-9])"), 36, 24, None, 3),
+)
 #: Candidates that are not secrets: words, plain numbers, UUIDs, paths and dashed or underscored words.
 ALLOWED = (
     re.compile(r"[A-Za-z]+"), re.compile(r"[0-9+/_=-]+"),
@@ -41,9 +50,31 @@ ALLOWED = (
 )
 
 
+@lru_cache(maxsize=None)
+def random_least(letters: int, width: int) -> float:
+    """Three standard deviations below the mean entropy of ``width`` characters drawn evenly from ``letters``."""
+    weigh = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+
+    def share(c: int, n: int, k: int) -> float:
+        """How likely one of ``k`` letters comes up ``c`` times in ``n``."""
+        return math.comb(n, c) * (1 / k) ** c * (1 - 1 / k) ** (n - c)
+
+    one = [share(c, width, letters) for c in range(width + 1)]
+    mean = letters * sum(p * w for p, w in zip(one, weigh))
+    squares = letters * sum(p * w * w for p, w in zip(one, weigh))
+    pairs = letters * (letters - 1) * sum(one[c] * weigh[c] * sum(share(d, width - c, letters - 1) * weigh[d] for d in range(width - c + 1)) for c in range(width + 1))
+    return math.log2(width) - (mean + 3 * math.sqrt(squares + pairs - mean * mean)) / width
+
+
+def changes(text: str) -> int:
+    """How often the kind of character (lower, upper, digit, other) changes."""
+    kinds = [1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 for c in text]
+    return sum(a != b for a, b in zip(kinds, kinds[1:]))
+
+
 def window_spans(text: str, width: int, least: float) -> list[tuple[int, int]]:
     """Unions of the windows of ``width`` characters whose entropy is at least ``least``."""
-    weigh = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    weigh = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]  # one comes in before one goes out
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     for i, char in enumerate(text):
@@ -70,12 +101,18 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         whole = candidate.group()
         if any(a.fullmatch(whole) for a in ALLOWED):
             continue
-        for _, runs, width, least in CLASSES:
+        for _, runs, letters, window, fixed, least_changes in CLASSES:
             for run in runs.finditer(whole):
                 at = candidate.start() + run.start()
                 part = run.group()
-                if any(c.isdigit() for c in part) and any(c.isalpha() for c in part):
-                    found += [(at + a, at + b) for a, b in window_spans(part, width, least)]
+                if not (any(c.isdigit() for c in part) and any(c.isalpha() for c in part)):
+                    continue
+                width = min(window, len(part))
+                own = fixed is None or width < window
+                if own and changes(part) < least_changes:
+                    continue
+                if window_spans(part, width, random_least(letters, width) if own else fixed):
+                    found.append((at, at + len(part)))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a <= merged[-1][1]:

@@ -54,3 +54,24 @@ def test_redaction(spark, frame):
     df = frame([(1, TEXT), (2, None), (3, "clean")])
     got = {r["doc_id"]: r["text"] for r in ss.redact(df).collect()}
     assert got[2] is None and got[3] == "clean" and got[1].startswith("é [SECRET]") and "AKIAABC" not in got[1] and ss.redact(df).columns == df.columns
+
+
+def test_bare_keys_of_each_alphabet():
+    rng, lower = random.Random(4), "abcdefghijklmnopqrstuvwxyz"
+    digits = "0123456789"
+    for alphabet in (lower + digits, lower.upper() + digits, lower + lower.upper() + digits + "-_"):
+        for n in (20, 22, 24, 32, 40, 64):
+            hits = [ss.entropy_spans(f"see {''.join(rng.choices(alphabet, k=n))} here") for _ in range(400)]
+            # Whole or not at all; a base64url key may begin or end with a dash or underscore.
+            assert all(spans in ([], [(4, 4 + n)]) for spans in hits)
+            assert sum(map(bool, hits)) >= 400 * 0.92
+
+
+def test_words_are_no_keys():
+    for clean in ("internationalization2024", "INTERNATIONALISATION2024", "documentation/version2final", "reportoftheyear2023summary"):
+        assert ss.entropy_spans(clean) == [], clean
+
+
+def test_whole_run_is_redacted():
+    key = "q9Zr4TxV7bLm2KpWc8NsYd3F"
+    assert ss.redacted(f"see {key}aaaaaaaaaaaaaaaaaaaaaaaa here") == ("see [SECRET] here", 1)
