@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -79,15 +80,18 @@ CANDIDATES = """(SELECT doc_id, '/doc/' || doc_id AS url, substring(string_split
   substring(text, 1, 300) AS excerpt, date_diff('day', DATE '2016-01-01' + CAST(doc_id % 3800 AS INT), DATE '2026-01-01')::DOUBLE AS age FROM documents)"""
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as search results: first line as title, the beginning as excerpt, a date from the id."""
-    docs = read(spark, sf_dir, "documents")
+def candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Documents as search results: first line as title, the text (or its beginning) as excerpt, a date from the id."""
+    docs, line = read(spark, sf_dir, "documents"), F.get(F.split("text", "\n"), F.lit(0))
     return docs.select(
-        "doc_id", F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("url"), F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 80).alias("title"),
-        F.substring("text", 1, 300).alias("excerpt"), F.date_format(F.date_add(F.lit("2016-01-01").cast("date"), (F.col("doc_id") % 3800).cast("int")), "yyyy-MM-dd").alias("date"), F.col("doc_id").alias("pos"),
+        "doc_id", F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("url"), (line if whole else F.substring(line, 1, 80)).alias("title"),
+        (F.col("text") if whole else F.substring("text", 1, 300)).alias("excerpt"), F.date_format(F.date_add(F.lit("2016-01-01").cast("date"), (F.col("doc_id") % 3800).cast("int")), "yyyy-MM-dd").alias("date"), F.col("doc_id").alias("pos"),
     )
 
 
+WHOLE = CANDIDATES.replace("substring(string_split(text, chr(10))[1], 1, 80)", "string_split(text, chr(10))[1]").replace("substring(text, 1, 300)", "text")
+
+
 # --- terms --------------------------------------------------------------------------------------------------------------
 
 
@@ -132,13 +136,13 @@ for _strategy in ("exponential", "linear", "step", "none", "custom"):
 
 
 @query("title_match", f"SELECT doc_id, round({sql_match('title', TERMS, 1.0, 1.5)}, 6) AS boost FROM {CANDIDATES}")
-def title_match(spark, sf_dir):
-    return candidates(spark, sf_dir).select("doc_id", six(relevance.title_match(TERMS, F.col("title"), ScoringConfig())).alias("boost"))
+def title_match(spark, sf_dir, whole=False):
+    return candidates(spark, sf_dir, whole).select("doc_id", six(relevance.title_match(TERMS, F.col("title"), ScoringConfig())).alias("boost"))
 
 
 @query("content_match", f"SELECT doc_id, round({sql_match('excerpt', TERMS, 0.4, 1.2)}, 6) AS boost FROM {CANDIDATES}")
-def content_match(spark, sf_dir):
-    return candidates(spark, sf_dir).select("doc_id", six(relevance.content_match(TERMS, F.col("excerpt"), ScoringConfig())).alias("boost"))
+def content_match(spark, sf_dir, whole=False):
+    return candidates(spark, sf_dir, whole).select("doc_id", six(relevance.content_match(TERMS, F.col("excerpt"), ScoringConfig())).alias("boost"))
 
 
 POSITIONS = """(SELECT doc_id, list_sort(list_filter(range(1, len(w) + 1), lambda i: list_contains(['er', 'nd'], w[i]))) AS places
@@ -158,20 +162,20 @@ PLAIN = f"1.0::DOUBLE + {sql_match('title', TERMS, 1.0, 1.5)} + {sql_match('exce
 
 
 @query("score_results", f"SELECT doc_id, round({PLAIN}, 6) AS score FROM {CANDIDATES}")
-def score_results(spark, sf_dir):
-    return score.scored(candidates(spark, sf_dir), ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
+def score_results(spark, sf_dir, whole=False):
+    return score.scored(candidates(spark, sf_dir, whole), ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
 @query("score_results_top", f"SELECT * FROM (SELECT doc_id, round({PLAIN}, 6) AS score, row_number() OVER (ORDER BY round({PLAIN}, 6) DESC, doc_id)::INT AS rank FROM {CANDIDATES}) WHERE rank <= 50")
-def score_results_top(spark, sf_dir):
+def score_results_top(spark, sf_dir, whole=False):
     """The flagship: the fifty best documents for a query. Ranks are by rounded score, as engines differ in the last digit."""
-    top = score.scored(candidates(spark, sf_dir), ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    top = score.scored(candidates(spark, sf_dir, whole), ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
 @query("score_results_primary", f"SELECT doc_id, round(1.0::DOUBLE + greatest({sql_match('title', TERMS, 1.0, 1.5)}, {sql_match('title', ['hend', 'st'], 1.0, 1.5)}) + {sql_match('excerpt', TERMS, 0.4, 1.2)} + {sql_recency('age')}, 6) AS score FROM {CANDIDATES}")
-def score_results_primary(spark, sf_dir):
-    return score.scored(candidates(spark, sf_dir), ASKED, primary_query=PRIMARY, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
+def score_results_primary(spark, sf_dir, whole=False):
+    return score.scored(candidates(spark, sf_dir, whole), ASKED, primary_query=PRIMARY, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
 SQL_BOOST = "(CASE WHEN contains(url, '/doc/1') THEN 0.75::DOUBLE ELSE 0 END + CASE WHEN contains(url, '/doc/12') THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN contains(url, '7') THEN 0.25::DOUBLE ELSE 0 END)"
@@ -179,23 +183,23 @@ SQL_EXCERPT = f"(SELECT * REPLACE (CASE WHEN contains(url, '/doc/1') THEN 'Featu
 
 
 @query("score_results_priority", f"SELECT doc_id, excerpt, round({PLAIN} + {SQL_BOOST}, 6) AS score FROM {SQL_EXCERPT}")
-def score_results_priority(spark, sf_dir):
-    out = score.scored(candidates(spark, sf_dir), ASKED, ScoringConfig(priority_pages=PAGES), as_of=AS_OF)
+def score_results_priority(spark, sf_dir, whole=False):
+    out = score.scored(candidates(spark, sf_dir, whole), ASKED, ScoringConfig(priority_pages=PAGES), as_of=AS_OF)
     return out.select("doc_id", "excerpt", six(F.col("score")).alias("score"))
 
 
 @query("score_results_source_weight", f"SELECT doc_id, round((1.0 + coalesce(q, 0))::DOUBLE * coalesce(0.5 + q, 1.0)::DOUBLE + {PLAIN[len('1.0::DOUBLE + '):]}, 6) AS score FROM {CANDIDATES} LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)")
-def score_results_source_weight(spark, sf_dir):
+def score_results_source_weight(spark, sf_dir, whole=False):
     quality = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    rows = candidates(spark, sf_dir).join(quality, "doc_id", "left")
+    rows = candidates(spark, sf_dir, whole).join(quality, "doc_id", "left")
     rows = rows.withColumn("score", (1.0 + F.coalesce("q", F.lit(0)))).withColumn("source_weight", 0.5 + F.col("q"))
     return score.scored(rows, ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
 @query("score_results_custom_stop", f"SELECT doc_id, round(1.0::DOUBLE + {sql_match('title', ['nd'], 1.0, 1.5)} + {sql_match('excerpt', ['nd'], 0.4, 1.2)} + {sql_recency('age')}, 6) AS score FROM {CANDIDATES}")
-def score_results_custom_stop(spark, sf_dir):
+def score_results_custom_stop(spark, sf_dir, whole=False):
     config = ScoringConfig(custom_stop_words=("Thor", "ER"))
-    return score.scored(candidates(spark, sf_dir), ASKED, config, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
+    return score.scored(candidates(spark, sf_dir, whole), ASKED, config, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
 BATCH = ((0, "er nd"), (1, "the hend"), (2, "worthless clown"))
@@ -206,13 +210,18 @@ SQL_BATCH = " UNION ALL ".join(
 
 
 @query("batch_score", f"SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({SQL_BATCH})) WHERE rank <= 20")
-def batch_score(spark, sf_dir):
+def batch_score(spark, sf_dir, whole=False):
     asked = spark.createDataFrame(list(BATCH), "query_id int, query string")
-    rows = candidates(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(k) for k, _ in BATCH])).alias("query_id"))
+    rows = candidates(spark, sf_dir, whole).select("*", F.explode(F.array(*[F.lit(k) for k, _ in BATCH])).alias("query_id"))
     rows = score.batch_scored(asked, rows, as_of=AS_OF).select("query_id", "doc_id", six(F.col("score")).alias("score"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 20")
 
 
+#: Of the queries over the beginnings of texts, the same over whole ones.
+for _name in ("title_match", "content_match", "score_results", "score_results_top", "score_results_primary", "score_results_priority", "score_results_source_weight", "score_results_custom_stop", "batch_score"):
+    query(f"{_name}_whole", ORACLE[_name].replace(CANDIDATES, WHOLE))(partial(QUERIES[_name], whole=True))
+
+
 # --- sort override ------------------------------------------------------------------------------------------------------
 
 

@@ -33,3 +33,17 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 50
     assert set(registry.oracle_sql()) <= set(registry.queries()) <= set(__spark_entry__.queries())
+
+
+def test_terms_count_wherever_they_stand(spark, tmp_path):
+    """By brute force: a term after 300 characters of a text, and one after 80 of its first line."""
+    texts = ["x " * 200 + "er nd thor", "x " * 50 + "thor\nx", "er x\n" + "x " * 200 + "nd", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def boost(text, full, every):
+        found = sum(t in text for t in ("er", "nd", "thor"))
+        return round(full * (every if found == 3 else 1) * found / 3, 6)
+
+    for name, full, every, part in (("title_match_whole", 1.0, 1.5, lambda t: t.split("\n")[0]), ("content_match_whole", 0.4, 1.2, str)):
+        got = {r["doc_id"]: r["boost"] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == {k: boost(part(t), full, every) for k, t in enumerate(texts)}, name
