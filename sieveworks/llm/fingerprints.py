@@ -96,16 +96,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(squares == 0, F.lit(0.0)).otherwise(F.least(F.greatest(2 * both / squares, F.lit(0.0)), F.lit(0.999999)))
 
 
-def ranked(keys: DataFrame, *order: str) -> DataFrame:
-    """Add ``rank``, 0 to n-1, and return it with n. Rows are range-partitioned and sorted, so no task sees them all.
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``rank``, 0 to n-1, to rows that are sorted over their partitions, and return it with n.
 
     The driver gets one count for each partition.
     """
-    parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = written(
-        keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()),
-        "ranked",
-    )
+    placed = written(rows.withColumn("_at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_at", 33)
     counts = dict(placed.groupBy(part.alias("p")).count().collect())
     begins, n = [0] * (max(counts, default=0) + 1), 0
@@ -115,6 +111,12 @@ def ranked(keys: DataFrame, *order: str) -> DataFrame:
     return placed.withColumn("rank", F.element_at(long_array(begins), part.cast("int") + 1) + inside).withColumn("total", F.lit(n).cast("bigint")).drop("_at")
 
 
+def ranked(keys: DataFrame, *order: str) -> DataFrame:
+    """``numbered`` in this order. Rows are range-partitioned and sorted, so no task sees them all."""
+    parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return numbered(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """(doc_id, h, prev_id, prev_h, want): who precedes each document, and how many code points that one takes of it."""
     sizes = docs.groupBy("doc_id", "h").agg(F.first(F.char_length("text")).alias("n_chars"))

@@ -12,6 +12,7 @@ from ..functions import dates, relevance, text
 from ..functions.context import truncate_at_sentence
 from ..functions.expansion import parse_expansion
 from ..functions.redact import ADDRESS, CARD, EMAIL, PHONE, SSN
+from ..llm.fingerprints import numbered
 from ..operators import dialogue, manifest, merge, passages, score, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,6 +223,14 @@ for _name in ("title_match", "content_match", "score_results", "score_results_to
     query(f"{_name}_whole", ORACLE[_name].replace(CANDIDATES, WHOLE))(partial(QUERIES[_name], whole=True))
 
 
+@query("batch_score_all", SQL_BATCH.replace(CANDIDATES, WHOLE))
+def batch_score_all(spark, sf_dir):
+    """Every row of the batch, over whole texts."""
+    asked = spark.createDataFrame(list(BATCH), "query_id int, query string")
+    rows = candidates(spark, sf_dir, True).select("*", F.explode(F.array(*[F.lit(k) for k, _ in BATCH])).alias("query_id"))
+    return score.batch_scored(asked, rows, as_of=AS_OF).select("query_id", "doc_id", six(F.col("score")).alias("score"))
+
+
 # --- sort override ------------------------------------------------------------------------------------------------------
 
 
@@ -239,6 +248,20 @@ for _name, _field, _direction in (("sort_override_numeric", "p_retailprice", "de
     query(_name, f"SELECT * FROM (SELECT p_partkey, row_number() OVER (ORDER BY {_field} {_direction}, p_partkey % 5 DESC, p_partkey)::INT AS rank FROM part) WHERE rank <= 100")(sorted_parts(_field, _direction))
 
 
+def all_sorted_parts(field: str, direction: str) -> Query:
+    """Every row with its place in the operator's order."""
+
+    def run(spark, sf_dir):
+        parts = read(spark, sf_dir, "part").withColumn("score", (F.col("p_partkey") % 5).cast("double")).withColumn("pos", F.col("p_partkey"))
+        return numbered(score.sort_override(parts, field, direction).select("p_partkey")).select("p_partkey", (F.col("rank") + 1).alias("rank"))
+
+    return run
+
+
+for _name, _field, _direction in (("sort_override_numeric_all", "p_retailprice", "desc"), ("sort_override_string_all", "p_brand", "asc")):
+    query(_name, f"SELECT p_partkey, row_number() OVER (ORDER BY {_field} {_direction}, p_partkey % 5 DESC, p_partkey) AS rank FROM part")(all_sorted_parts(_field, _direction))
+
+
 @query("sort_override_missing", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
 def sort_override_missing(spark, sf_dir):
     rows = read(spark, sf_dir, "events").withColumn("meta", F.when(F.col("event_id") % 3 != 0, F.col("value").cast("string"))).withColumn("score", F.lit(1.0)).withColumn("pos", F.col("event_id"))

@@ -47,3 +47,10 @@ def test_terms_count_wherever_they_stand(spark, tmp_path):
     for name, full, every, part in (("title_match_whole", 1.0, 1.5, lambda t: t.split("\n")[0]), ("content_match_whole", 0.4, 1.2, str)):
         got = {r["doc_id"]: r["boost"] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
         assert got == {k: boost(part(t), full, every) for k, t in enumerate(texts)}, name
+
+
+def test_no_row_is_missing(spark):
+    parts, docs = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("part", "documents"))
+    for name in ("sort_override_numeric_all", "sort_override_string_all"):
+        assert sorted(r["rank"] for r in registry.queries()[name](spark, SF).collect()) == list(range(1, parts + 1)), name
+    assert registry.queries()["batch_score_all"](spark, SF).count() == 3 * docs
