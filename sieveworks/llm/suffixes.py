@@ -8,9 +8,9 @@ share an anchor and travel as one slice.
 
 * Slices that occur twice as a whole are repeated throughout; counting their hashes shows this, no bytes move.
 * The different slices of an anchor are laid end to end and their suffixes ranked by prefix doubling up to ``length``.
-  In suffix order equal windows are neighbours. The previous and next smaller positions around a suffix there give its
-  longest previous factor; at a fixed length that factor reaches ``length`` for all but the first position of each run
-  of equal windows, and a window is repeated if its run has others.
+  In suffix order equal windows are neighbours, and a window is repeated if its run of equal ones has others. These runs
+  stand in for longest-previous-factor arrays, which are not computed: at a fixed length it only matters whether a
+  factor reaches ``length``, and that holds for all but the first position of each run.
 * An anchor with more than ``CROWD`` different slices has its windows grouped one by one by their hashes.
 
 ``removed`` takes out every copy (``keep_first=False``) or all but the first in ascending (doc_id, hash, offset).
