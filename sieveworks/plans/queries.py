@@ -12,8 +12,8 @@ from ..functions import dates, relevance, text
 from ..functions.context import truncate_at_sentence
 from ..functions.expansion import parse_expansion
 from ..functions.redact import ADDRESS, CARD, EMAIL, PHONE, SSN
-from ..llm.fingerprints import numbered
 from ..operators import dialogue, manifest, merge, passages, score, templates
+from ..tables import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
