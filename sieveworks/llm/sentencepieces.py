@@ -4,7 +4,8 @@ The pieces stand in a double-array trie with their log scores, and the best segm
 character that no piece begins with falls back to its UTF-8 bytes. Spaces become the marker U+2581, one is put in
 front, and decoding turns them back. Where no piece has a marker behind another character (checked when the
 vocabulary is read), the best path of a text is the best paths of its words one after another, so each distinct word is
-segmented once for a task and kept.
+segmented once for a task and kept. New words of up to ``SIDE_BY_SIDE`` bytes go through the trie and the Viterbi
+recurrence side by side, on arrays; longer ones one by one.
 
 A vocabulary of merge ranks has no probabilities; its k-th merge of n gets the Zipf log probability -log(k * H_n).
 
@@ -19,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,8 @@ KEPT_WORDS = 300_000
 MOST_PIECES = 1_000_000
 UNKNOWN_PENALTY = 10.0
 ROWS_OUT = 256
+#: Longest word, in bytes, that is segmented side by side with others, and bytes of words at once.
+SIDE_BY_SIDE, BLOCK_BYTES = 64, 1 << 20
 
 
 class DoubleArray:
@@ -154,6 +158,75 @@ class Vocabulary:
             n = start
         return ids[::-1]
 
+    def best_of_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of the best path of each of the words, none of which is empty or longer than SIDE_BY_SIDE bytes."""
+        base, check, value, scores = self.arrays
+        sizes = np.array([len(w) for w in words])
+        data, owner = np.frombuffer(b"".join(words), np.uint8), np.repeat(np.arange(len(words)), sizes)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        first = np.flatnonzero((data & 0xC0) != 0x80)  # a path goes from character to character
+        # All matches of pieces, by walking the trie from every character at once.
+        start, at, node, found = first, first, np.zeros(len(first), np.int32), []
+        while len(start):
+            after = base[node] + data[at] + np.int32(1)
+            on = check[after] == node
+            start, at, node = start[on], at[on] + 1, after[on]
+            hit = value[node] >= 0
+            found.append((start[hit], at[hit], value[node[hit]]))
+            on = at < ends[owner[start]]
+            start, at, node = start[on], at[on], node[on]
+        lead = data[first]
+        next_ = first + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+        starts, stops, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        width = np.zeros(len(data), np.int64)
+        width[first] = next_ - first
+        whole = np.zeros(len(data), bool)
+        whole[starts[stops - starts == width[starts]]] = True
+        bare = ~whole[first]
+        starts, stops = np.append(starts, first[bare]), np.append(stops, next_[bare])
+        ids = np.append(ids, np.full(int(bare.sum()), -1))
+        # The recurrence takes one place in all words at a time; equal scores go to the earliest start.
+        place = stops - begins[owner[starts]]
+        order = np.argsort((place << 40) | (stops << 10) | (1023 - (stops - starts)))
+        starts, stops, ids, place = starts[order], stops[order], ids[order], place[order]
+        gain = np.where(ids >= 0, scores[ids], scores[self.byte_ids[0]])
+        source, target = starts + owner[starts], stops + owner[starts]  # a word of n bytes has n + 1 places
+        best, back = np.zeros(len(data) + len(words)), np.zeros(len(data) + len(words), np.int64)
+        cuts = np.searchsorted(place, np.arange(1, int(place[-1]) + 2)).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            reached, score = target[a:b], best[source[a:b]] + gain[a:b]
+            new = np.concatenate([[True], reached[1:] != reached[:-1]])
+            heads = np.flatnonzero(new)
+            most, group = np.maximum.reduceat(score, heads), np.cumsum(new) - 1
+            top = np.flatnonzero(score == most[group])
+            top = top[np.concatenate([[True], group[top[1:]] != group[top[:-1]]])]
+            best[reached[heads]], back[reached[heads]] = most, top + a
+        root = begins + np.arange(len(words))
+        here, path = ends + np.arange(len(words)), []
+        while len(here):
+            path.append(back[here])
+            here = source[path[-1]]
+            going = here != root
+            here, root = here[going], root[going]
+        path = np.concatenate(path)
+        path = path[np.argsort(starts[path])]
+        starts, stops, ids = starts[path], stops[path], ids[path]
+        many = np.where(ids >= 0, 1, stops - starts)
+        out = np.repeat(ids, many)
+        fallback = np.flatnonzero(out < 0)
+        inside = np.arange(len(out)) - np.repeat(np.cumsum(many) - many, many)
+        out[fallback] = np.array(self.byte_ids)[data[(np.repeat(starts, many) + inside)[fallback]]]
+        packed = out.astype("<i4").tobytes()
+        to = np.cumsum(np.bincount(owner[starts], many, len(words)).astype(np.int64)) * 4
+        return [packed[a:b] for a, b in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
+
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return *(np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)), np.array(self.scores)
+
     def decode(self, ids) -> str:
         return b"".join([self.pieces[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
@@ -167,22 +240,40 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.kept = vocabulary, {}
 
-    def _learn(self, word: str) -> bytes:
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept.clear()
-        packed = np.array(self.vocabulary.best(word), "<i4").tobytes()
-        if len(word) <= 64:
-            self.kept[word] = packed
-        return packed
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<i4")
-        marked = MARK + text.replace(" ", MARK)
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of new words. Short ones are kept; the others are returned for the texts at hand."""
+        own, long, short, held = self.vocabulary, {}, [], 0
+
+        def learn() -> None:
+            self.kept.update(zip([w for w, _ in short], own.best_of_many([raw for _, raw in short]), strict=True))
+
+        for word in words:
+            raw = word.encode()
+            if len(raw) > SIDE_BY_SIDE:
+                long[word] = np.array(own.best(word), "<i4").tobytes()
+                continue
+            short.append((word, raw))
+            held += len(raw)
+            if held >= BLOCK_BYTES:
+                learn()
+                short, held = [], 0
+        if short:
+            learn()
+        return long
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         if not self.vocabulary.by_word:
-            return np.array(self.vocabulary.best(marked), "<i4")
-        known = self.kept.get
-        return np.frombuffer(b"".join([known(w) or self._learn(w) for w in WORDS.findall(marked)]), "<i4")
+            return [np.array(self.vocabulary.best(m) if m else [], "<i4") for m in marked]
+        words = [WORDS.findall(m) for m in marked]
+        new = set().union(*words) - self.kept.keys()
+        if len(self.kept) + len(new) > KEPT_WORDS:
+            self.kept.clear()
+            new = set().union(*words)
+        long = self._learn(new)
+        known = self.kept
+        get = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in words]
 
 
 def encode(df: DataFrame, model: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,14 +290,17 @@ def encode(df: DataFrame, model: str = MODEL, key: str = "doc_id", text: str = "
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
                 texts = part.column(1).to_pylist()
-                found = [encoder.encode(t) for t in texts]
+                found = encoder.encode(texts)
                 flat = np.concatenate(found) if found else np.empty(0, "<i4")
                 ends = np.cumsum([0, *map(len, found)]).astype("i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), ids, pa.array(np.diff(ends).astype("i8")), pa.array([int(fallback[f].sum()) for f in found], pa.int64()), pa.array([float(scores[f].sum()) for f in found], pa.float64()), pa.array([own.decode(f.tolist()) == t for f, t in zip(found, texts, strict=True)], pa.bool_())],
-                    names=[key, *schema.names],
-                )
+                columns = [
+                    part.column(0), ids, pa.array(np.diff(ends).astype("i8")),
+                    pa.array([int(fallback[f].sum()) for f in found], pa.int64()),
+                    pa.array([float(scores[f].sum()) for f in found], pa.float64()),
+                    pa.array([own.decode(f.tolist()) == t for f, t in zip(found, texts, strict=True)], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, *schema.names])
 
     source = df.select(key, text_of(text).alias("_text"))
     return source.mapInArrow(rows, f"{key} {dict(df.dtypes)[key]}, ids array<int>, n_pieces bigint, n_bytes bigint, score double, lossless boolean")

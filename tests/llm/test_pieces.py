@@ -66,7 +66,7 @@ def test_against_the_library(vocabulary, texts):
     other, encoder = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString()), sp.Encoder(vocabulary)
     scores = np.array(vocabulary.scores)
     for text in texts:
-        mine, theirs = encoder.encode(text).tolist(), other.encode(text)
+        mine, theirs = encoder.encode([text])[0].tolist(), other.encode(text)
         if mine != theirs:  # equal but for rounding in single precision
             assert scores[mine].sum() >= scores[theirs].sum() - 1e-3
         assert other.decode(mine) == vocabulary.decode(mine)
@@ -80,3 +80,21 @@ def test_round_trip(spark, frame, texts):
     back = {r["doc_id"]: r["decoded"] for r in sp.decode(out).collect()}
     assert all(back[k] == t for k, t in enumerate(texts)) and back[100] == back[101] == "" and back[102] == "a b"
     assert sp.encode(frame([])).count() == 0
+
+
+def test_words_side_by_side_have_the_paths_of_words_alone():
+    vocabulary, rng = sp.Vocabulary.read(), random.Random(5)
+    letters = "abcdefghij klmnop▁éßñ漢😀\x00\n.,0"
+    words = {"▁" + "".join(rng.choice(letters) for _ in range(rng.randint(1, 14))).replace(" ", "") for _ in range(3000)} | {"▁", "a", "😀"}
+    words = [w for w in words if len(w.encode()) <= sp.SIDE_BY_SIDE]
+    assert [np.frombuffer(p, "<i4").tolist() for p in vocabulary.best_of_many([w.encode() for w in words])] == [vocabulary.best(w) for w in words]
+
+
+def test_long_words_and_a_full_memory(monkeypatch):
+    monkeypatch.setattr(sp, "KEPT_WORDS", 5)
+    monkeypatch.setattr(sp, "BLOCK_BYTES", 8)
+    vocabulary = sp.Vocabulary.read()
+    encoder, texts = sp.Encoder(vocabulary), ["one two three four five six seven", "x" * 500 + " one", "", "one nine " + "é" * 90, " "]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == ([] if not text else vocabulary.best("▁" + text.replace(" ", "▁")))
