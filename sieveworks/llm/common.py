@@ -1,13 +1,13 @@
-"""What several corpus operators need: the shared folder, written tables, salted leaders."""
+"""What several corpus operators need: written tables of the core, texts, salted leaders."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..tables import emptied, fresh_path, long_array, numbered, shared_dir, written
+
+__all__ = ["SALTS", "emptied", "fresh_path", "long_array", "numbered", "shared_dir", "table", "text_of", "with_leader", "written"]
+
 #: Salts over which the rows of one hot key are spread before they are counted.
 SALTS = 256
 
@@ -16,42 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sieveworks/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
-
-    Unlike a local checkpoint the table survives lost executors.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(name: str = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def local_path(uri: str) -> str | None:
-    """The path of a file: URI, or None for another store."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if os.path.isabs(uri) else None
-
-
 def with_leader(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Add ``leader`` (smallest ``order`` among rows of equal ``key``) and ``members`` (their number).
 

@@ -20,8 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table, text_of, written
-from .sharding import long_array
+from .common import numbered, table, text_of
 
 DENSE, SPARSE = 8, 64
 LANES = DENSE + SPARSE
@@ -96,21 +95,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(squares == 0, F.lit(0.0)).otherwise(F.least(F.greatest(2 * both / squares, F.lit(0.0)), F.lit(0.999999)))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Add ``rank``, 0 to n-1, to rows that are sorted over their partitions, and return it with n.
-
-    The driver gets one count for each partition.
-    """
-    placed = written(rows.withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_at", 33)
-    counts = dict(placed.groupBy(part.alias("p")).count().collect())
-    begins, n = [0] * (max(counts, default=0) + 1), 0
-    for p in sorted(counts):
-        begins[p], n = n, n + counts[p]
-    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("rank", F.element_at(long_array(begins), part.cast("int") + 1) + inside).withColumn("total", F.lit(n).cast("bigint")).drop("_at")
-
-
 def ranked(keys: DataFrame, *order: str) -> DataFrame:
     """``numbered`` in this order. Rows are range-partitioned and sorted, so no task sees them all."""
     parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import with_leader, written
+from .common import emptied, with_leader, written
 
 MOST_ROUNDS = 60
 
@@ -14,7 +14,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
     Each step points the neighbours of a node to its smallest neighbour, so the number of rounds grows with the
     logarithm of the graph, not with its longest path. Nodes with very many edges are summed over salts. Each round is
-    written to the shared folder.
+    written to the shared folder, and the one before emptied.
     """
     now = written(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
     seen = None
@@ -23,7 +23,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         large = with_leader(both, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.least("leader", "u").alias("v")).distinct()
         small = with_leader(large, "u", "v")
         linked = small.filter(F.col("v") != F.col("leader")).select(F.col("v").alias("u"), F.col("leader").alias("v"))
-        now = written(linked.unionByName(small.select("u", F.col("leader").alias("v"))).distinct(), tag)
+        before, now = now, written(linked.unionByName(small.select("u", F.col("leader").alias("v"))).distinct(), tag)
+        emptied(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -5,13 +5,18 @@ are candidates, and candidates are verified on their full shingle sets. Bands an
 recall at the threshold.
 
 Buckets of up to ``SMALL`` nodes give their pairs. Larger ones are families of near copies, whose pairs grow with the
-square of the family: they give no pairs. Their nodes are dealt into blocks instead, and a task takes two blocks, all
-of whose intersections it gets from one matrix product; it returns a number of links for each node and the edges of a
-spanning forest. So no link is lost, and rows stay in proportion to documents times blocks.
+square of the family: they give no pairs. Their nodes are laid out family by family, and in it by the largest bucket
+and by size, and cut into blocks of at most ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles. A task takes two blocks
+that a crowded bucket has in common and whose sizes can reach the threshold, and gets all their intersections from one
+matrix product; it returns a number of links for each node and the edges of a spanning forest. So no link is lost,
+families that boilerplate chains together are not compared all against all, and rows stay in proportion to documents
+times blocks that meet.
 
 Defined results: null and empty texts, and texts without a word, have no shingles: each is a class of its own with no
-links. A text of one to four words is one shingle. A row without doc_id has neither class nor links. Rows that repeat a
-doc_id count as several documents. Other columns are ignored, or kept by ``deduplicated``.
+links. A text of one to four words is one shingle. For ``classes`` a row without doc_id has neither class nor links;
+for ``deduplicated`` it is a document like any other, that comes after those with an id. Rows that repeat a doc_id
+count as several documents, whether their texts are equal or not. Other columns are ignored, or kept by
+``deduplicated``.
 """
 
 from __future__ import annotations
@@ -24,12 +29,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, text_of, with_leader, written
+from .common import SALTS, emptied, table, text_of, with_leader, written
 from .graph import components
 from .shingles import Shingler, mixed
 
 THRESHOLD, RECALL, ROWS = 0.8, 0.9999, 5
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 20
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -61,49 +66,72 @@ def node_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(shingles.tobytes())
 
 
-def signatures(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(doc_id, node, n, buckets) of every document; node and buckets are null without words."""
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """The rows in a table of their own: uid, a number for each, and row, its columns."""
+    return written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "rows")
+
+
+def signatures(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(uid, doc_id, node, n, buckets) of every row; node and buckets are null without words."""
     bands = bands_for(threshold, recall)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, signer, last, found = Shingler(), Signer(bands), None, None
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for uid, doc_id, text in batch.itertuples(index=False):
                 shingles = shingler.read(text)
                 if not len(shingles):
-                    out.append((doc_id, None, 0, None))
+                    out.append((uid, doc_id, None, 0, None))
                     continue
                 key = node_key(shingles)
                 if key != last:
                     last, found = key, signer.read(shingles)
-                out.append((doc_id, key, len(shingles), found))
-            yield pd.DataFrame(out, columns=["doc_id", "node", "n", "buckets"])
+                out.append((uid, doc_id, key, len(shingles), found))
+            yield pd.DataFrame(out, columns=["uid", "doc_id", "node", "n", "buckets"]).astype({"doc_id": "Int64"})
 
-    source = docs.filter("doc_id is not null").select("doc_id", text_of().alias("text"))
-    return source.mapInPandas(rows, "doc_id bigint, node binary, n int, buckets array<bigint>")
+    source = rows.select("uid", "row.doc_id", text_of("row.text").alias("text"))
+    return source.mapInPandas(signed, "uid bigint, doc_id bigint, node binary, n int, buckets array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) for ``wanted`` (node, doc_id): one text is read for each node."""
+def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) for ``wanted`` (node, uid): one row is read for each node."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            found = [shingler.read(t) for t in batch["text"]]
-            same = [k for k, (s, node) in enumerate(zip(found, batch["node"], strict=True)) if node_key(s) == bytes(node)]
-            yield pd.DataFrame({"node": [batch["node"].iloc[k] for k in same], "shingles": [found[k].view(np.int64) for k in same]})
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingler.read(t).view(np.int64) for t in batch["text"]]})
+
+    texts = rows.select("uid", text_of("row.text").alias("text")).join(wanted, "uid").select("node", "text")
+    return texts.mapInPandas(read, "node binary, shingles array<bigint>")
 
-    texts = docs.select("doc_id", text_of().alias("text")).join(wanted, "doc_id")
-    return texts.mapInPandas(rows, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+
+def cut_into_blocks(nodes: DataFrame) -> DataFrame:
+    """(node, n, block) of (node, n, family, home): neighbours in this order share a block."""
+    most, most_shingles = BLOCK, BLOCK_SHINGLES
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, shingles = 0, 0, 0
+        for batch in batches:
+            blocks = []
+            for n, part in zip(batch["n"], batch["part"], strict=True):
+                if held and (held >= most or shingles + n > most_shingles):
+                    block, held, shingles = block + 1, 0, 0
+                held, shingles = held + 1, shingles + n
+                blocks.append((part << 32) + block)
+            yield pd.DataFrame({"node": batch["node"], "n": batch["n"], "block": blocks})
+
+    parts = max(2, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ("family", "home", "n", "node")
+    laid = nodes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return laid.select("node", "n", F.spark_partition_id().cast("bigint").alias("part")).mapInPandas(cut, "node binary, n int, block bigint")
 
 
 def block_links(threshold: float):
     """For two blocks of nodes: the links of each node, and the edges of a spanning forest."""
 
     def task(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = keys[1], keys[2]
-        rows = rows.drop_duplicates("node").reset_index(drop=True)
+        left, right = keys
         sets = [np.asarray(s, np.int64) for s in rows["shingles"]]
         sizes = np.array([len(s) for s in sets], "f4")
         _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -140,72 +168,102 @@ def block_links(threshold: float):
     return task
 
 
-def node_links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, node), (node, links) and edges (u, v) that connect all linked nodes."""
-    signed = written(signatures(docs, threshold, recall), "signed")
-    members = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+def meeting_blocks(crowd: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
+    """(left, right), left <= right: blocks that have a crowded bucket in common and sizes within the threshold."""
+    within = crowd.join(blocks.select("node", "block"), "node").select("bucket", "block").distinct()
+    a, b = within.withColumnRenamed("block", "left"), within.withColumnRenamed("block", "right")
+    pairs = a.join(b, "bucket").filter(F.col("left") <= F.col("right")).select("left", "right").distinct()
+    span = blocks.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    for end in ("left", "right"):
+        pairs = pairs.join(span.select(F.col("block").alias(end), F.col("low").alias(f"{end}_low"), F.col("high").alias(f"{end}_high")), end)
+    near = (F.col("left_high") >= threshold * F.col("right_low")) & (F.col("right_high") >= threshold * F.col("left_low"))
+    return pairs.filter(near).select("left", "right")
+
+
+def node_links(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(uid, doc_id, node), (node, links) and edges (u, v) that connect all linked nodes, for ``numbered_rows``."""
+    signed = written(signatures(rows, threshold, recall), "signed")
+    members = signed.filter("node is not null").groupBy("node").agg(
+        F.min("uid").alias("uid"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("buckets").alias("buckets")
+    )
     nodes = written(members, "nodes")
     inside = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     crowded = written(inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).filter("size > 1"), "buckets")
     met = written(inside.join(crowded, "bucket"), "met")
+    size = nodes.select("node", "members")
 
-    families = components(met.filter(F.col("size") > SMALL).select(F.col("node").alias("u"), F.col("low").alias("v")), "families")
-    families = written(families.withColumnRenamed("root", "family"), "family-of")
-    lots = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    crowd, few = met.filter(F.col("size") > SMALL), met.filter(F.col("size") <= SMALL)
+    families = components(crowd.select(F.col("node").alias("u"), F.col("low").alias("v")), "families").withColumnRenamed("root", "family")
+    home = crowd.groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("home"), F.first("n").alias("n"))
+    blocks = written(cut_into_blocks(families.join(home, "node")), "blocks")
+    meeting = written(meeting_blocks(crowd, blocks, threshold), "meeting")
 
-    few = met.filter(F.col("size") <= SMALL)
-    a, b = few.select("bucket", F.col("node").alias("u"), F.col("n").alias("nu")), few.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"))
+    a, b = (few.select("bucket", F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "uv")
     sized = (F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")) & (F.col("u") < F.col("v"))
     pairs = a.join(b, "bucket").filter(sized).select("u", "v").distinct()
-    of = lambda c: families.select(F.col("node").alias(c), F.col("family").alias(f"f{c}"))
-    pairs = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("fu is null or fv is null or fu != fv").select("u", "v")
-    pairs = written(pairs, "pairs")
+    # Pairs in blocks that are compared anyway are counted there.
+    for c in "uv":
+        pairs = pairs.join(blocks.select(F.col("node").alias(c), F.col("block").alias(f"b{c}")), c, "left")
+    pairs = pairs.withColumn("left", F.least("bu", "bv")).withColumn("right", F.greatest("bu", "bv"))
+    apart = pairs.filter("bu is null or bv is null").unionByName(pairs.filter("bu is not null and bv is not null").join(meeting, ["left", "right"], "left_anti"))
+    pairs = written(apart.select("u", "v"), "pairs")
 
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(families.select("node")).distinct()
-    sets = written(shingle_sets(docs, wanted.join(nodes.select("node", "doc_id"), "node")), "sets")
-    size = nodes.select("node", "members")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(blocks.select("node")).distinct()
+    sets = written(shingle_sets(rows, wanted.join(nodes.select("node", "uid"), "node")), "sets")
 
     left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     common = F.size(F.array_intersect("su", "sv"))
     near = pairs.join(left, "u").join(right, "v").filter(common >= threshold * (F.size("su") + F.size("sv") - common) - 1e-4).select("u", "v")
     near = written(near, "near")
 
-    placed = families.join(lots, "family").join(size, "node").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("other", other).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    dealt = dealt.select("family", "left", "right", "block", "node", "members", "shingles")
-    inner = dealt.groupBy("family", "left", "right").applyInPandas(block_links(threshold), "u binary, v binary, links bigint")
+    partners = meeting.select(F.col("left").alias("block"), "left", "right").unionByName(meeting.filter("left != right").select(F.col("right").alias("block"), "left", "right"))
+    placed = blocks.join(size, "node").join(sets, "node").select("block", "node", "members", "shingles")
+    dealt = partners.join(placed, "block").select("left", "right", "block", "node", "members", "shingles")
+    inner = dealt.groupBy("left", "right").applyInPandas(block_links(threshold), "u binary, v binary, links bigint")
     inner = written(inner, "inner")
+    emptied(sets)
 
     ends = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
     outer = ends.join(size.withColumnRenamed("node", "v"), "v").select("u", F.col("members").alias("links"))
     links = outer.unionByName(inner.select("u", "links")).groupBy("u").agg(F.sum("links").alias("links"))
-    return signed.select("doc_id", "node"), links.withColumnRenamed("u", "node"), near.unionByName(inner.select("u", "v"))
+    return signed.select("uid", "doc_id", "node"), links.withColumnRenamed("u", "node"), near.unionByName(inner.select("u", "v"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: class_id (smallest doc_id of the texts that links connect), text_id (smallest doc_id with
-    an equal shingle set) and n_links (other documents at or above the threshold)."""
-    of, links, edges = node_links(docs, threshold, recall)
+def row_classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """uid, doc_id, n_links, and first_text and first_class: (no_id, doc_id, uid) of the first row with an equal shingle
+    set, and of the first in the class. Rows without words are missing."""
+    of, links, edges = node_links(rows, threshold, recall)
     roots = components(edges, "classes")
-    named = written(with_leader(of.filter("node is not null"), "node", "doc_id").select("doc_id", "node", F.col("leader").alias("text_id"), "members"), "named")
-    per_node = named.groupBy("node").agg(F.first("text_id").alias("text_id"), F.first("members").alias("members"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("uid").alias("uid"))
+    worded = of.filter("node is not null").withColumn("place", place)
+    named = written(with_leader(worded, "node", "place").select("uid", "doc_id", "node", F.col("leader").alias("first_text"), "members"), "named")
+    per_node = named.groupBy("node").agg(F.first("first_text").alias("first_text"), F.first("members").alias("members"))
     per_node = per_node.join(roots, "node", "left").join(links, "node", "left")
-    per_node = per_node.select("node", F.coalesce("root", "node").alias("root"), "text_id", "members", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
-    per_node = written(with_leader(per_node, "root", "text_id").select("node", F.col("leader").alias("class_id"), "n_links"), "per-node")
+    total = F.coalesce("links", F.lit(0)) + F.col("members") - 1
+    per_node = per_node.select("node", F.coalesce("root", "node").alias("root"), "first_text", total.alias("n_links"))
+    per_node = written(with_leader(per_node, "root", "first_text").select("node", F.col("leader").alias("first_class"), "n_links"), "per-node")
     # The nodes of a very large text go back over salts, as in with_leader.
-    salt = lambda d: d.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(256)).cast("int"))
-    keys = salt(named).select("node", "_salt").distinct().join(per_node, "node")
-    found = salt(named).join(keys, ["node", "_salt"]).select("doc_id", "class_id", "text_id", "n_links")
-    alone = of.filter("node is null").select("doc_id").unionByName(docs.filter("doc_id is null").select("doc_id"))
-    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return found.unionByName(alone)
+    salted = named.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+    keys = salted.select("node", "_salt").distinct().join(per_node, "node")
+    return salted.join(keys, ["node", "_salt"]).select("uid", "doc_id", "first_class", "first_text", "n_links")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document: class_id (smallest doc_id of the texts that links connect), text_id (smallest doc_id with
+    an equal shingle set) and n_links (other documents at or above the threshold)."""
+    rows = numbered_rows(docs.select("doc_id", "text"))
+    found = row_classes(rows.filter("row.doc_id is not null"), threshold, recall)
+    every = rows.select("uid", "row.doc_id").join(found.drop("doc_id"), "uid", "left")
+    own = lambda c: F.coalesce(F.col(f"{c}.doc_id"), F.col("doc_id"))
+    return every.select("doc_id", own("first_class").alias("class_id"), own("first_text").alias("text_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with one document of each class: that with the smallest doc_id."""
-    out = written(classes(docs, threshold).filter("doc_id != class_id").select("doc_id").distinct(), "copies")
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with one row of each class: that with the smallest doc_id, or one without if none has any. Of
+    rows that repeat this doc_id one stays."""
+    rows = numbered_rows(docs)
+    out = written(row_classes(rows, threshold).filter("uid != first_class.uid").select("uid"), "copies")
+    return rows.join(out, "uid", "left_anti").select("row.*")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
-from .common import fresh_path, table, text_of
+from .common import fresh_path, long_array, table, text_of
 
 SLOTS = 4096
 SHARDS = 16
@@ -70,11 +70,6 @@ class SlotMap:
         return F.element_at(long_array(self.shard_of), slot + 1).cast("int")
 
 
-def long_array(values) -> Column:
-    """A constant array without a plan node for each entry."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
 def slot_sizes(df: DataFrame, size: Column, key: str, slots: int = SLOTS) -> tuple[list[int], list[int]]:
     """Bytes and rows of every slot; at most ``slots`` rows reach the driver."""
     sums = df.groupBy(virtual_slot(F.col(key), slots).alias("s")).agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n"))

@@ -40,11 +40,12 @@ def near_copies(prose, families=6, size=9):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("small", "block"), [(32, 256), (2, 256), (2, 4)])
-def test_join(spark, frame, prose, monkeypatch, small, block):
+@pytest.mark.parametrize(("small", "block", "most"), [(32, 256, 1 << 20), (2, 256, 1 << 20), (2, 4, 1 << 20), (2, 256, 200)])
+def test_join(spark, frame, prose, monkeypatch, small, block, most):
     """Small buckets, families in one block and families over many blocks all find what comparing all pairs finds."""
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", most)
     rows = near_copies(prose)
     sets = {i: shingles(t) for i, t in rows}
     edges = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
@@ -55,11 +56,22 @@ def test_join(spark, frame, prose, monkeypatch, small, block):
 
 
 def test_deduplicated(spark, frame, prose):
+    """One row of each class stays, with or without an id; a row without one is a copy like any other."""
     rows = near_copies(prose, 2, 4)
-    df = frame([*rows, (None, rows[0][1])], extra=True)
+    df = frame([*rows, (None, rows[0][1]), (None, prose(30, 5)), (None, prose(30, 5))], extra=True)
     kept = jaccard.deduplicated(df)
-    ids = {r["doc_id"] for r in kept.collect()}
-    assert kept.columns == df.columns and {0, None, 10, 11, 12} <= ids and 8 not in ids and jaccard.classes(frame([])).count() == 0
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == df.columns and {0, 10, 11, 12} <= set(ids) and 8 not in ids and jaccard.classes(frame([])).count() == 0
+    assert ids.count(None) == 1 and len(ids) == len(set(ids)) and jaccard.deduplicated(frame([])).count() == 0
+
+
+def test_deduplicated_by_row(spark, frame, prose):
+    """Rows that repeat an id are judged one by one: repeats go, other texts stay."""
+    a, b, c = (prose(30, k) for k in range(3))
+    left = lambda rows: sorted((r["doc_id"], r["text"]) for r in jaccard.deduplicated(frame(rows)).collect())
+    assert left([(1, a), (1, a), (5, b)]) == [(1, a), (5, b)]
+    assert left([(1, a), (2, a), (2, c)]) == [(1, a), (2, c)]
+    assert left([(3, ""), (3, "")]) == [(3, ""), (3, "")]
 
 
 def test_recall_of_bands():
