@@ -123,24 +123,24 @@ class ScoringConfig:
     def warnings(self) -> list[ConfigWarning]:
         """What is out of range or will not work, in a fixed order."""
         found = [
-            ConfigWarning(name, f"value {_shown(getattr(self, name))} outside reasonable range ({_shown(low)}–{_shown(high)})")
+            ConfigWarning(name, f"{_shown(getattr(self, name))} is unusual; {_shown(low)} to {_shown(high)} are expected")
             for name, (low, high) in RANGES.items()
             if not low <= getattr(self, name) <= high
         ]
         if self.recency_strategy not in STRATEGIES:
-            found.append(ConfigWarning("recency_strategy", f"unknown strategy '{self.recency_strategy}'; valid: {', '.join(STRATEGIES)}"))
+            found.append(ConfigWarning("recency_strategy", f"'{self.recency_strategy}' is none of {', '.join(STRATEGIES)}"))
         if self.recency_strategy == "custom" and not self.recency_curve:
-            found.append(ConfigWarning("recency_curve", "recency_strategy is 'custom' but recency_curve is empty; will return 0.0"))
+            found.append(ConfigWarning("recency_curve", "a custom strategy without points boosts nothing"))
         days = [x for x, _ in self.recency_curve]
         if any(b <= a for a, b in zip(days, days[1:], strict=False)):
-            found.append(ConfigWarning("recency_curve", "recency_curve points must be sorted ascending by days_old"))
+            found.append(ConfigWarning("recency_curve", "the days of the points do not rise"))
         return found
 
     def clamped(self) -> tuple[ScoringConfig, list[ConfigWarning]]:
         """Values moved into their ranges, with a warning for each, then the warnings that remain."""
         inside = {n: min(max(getattr(self, n), low), high) for n, (low, high) in RANGES.items() if not low <= getattr(self, n) <= high}
         found = [
-            ConfigWarning(n, f"value {_shown(getattr(self, n))} outside range ({_shown(RANGES[n][0])}–{_shown(RANGES[n][1])}), clamped to {_shown(v, True)}")
+            ConfigWarning(n, f"{_shown(getattr(self, n))} is not within {_shown(RANGES[n][0])} to {_shown(RANGES[n][1])}; {_shown(v, True)} is used")
             for n, v in inside.items()
         ]
         moved = replace(self, **inside)

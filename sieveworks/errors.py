@@ -7,22 +7,22 @@ class RequestError(ValueError):
 
 class InvalidJson(RequestError):
     def __init__(self, function: str, detail: str):
-        super().__init__(f"{function}: invalid JSON input: {detail}")
+        super().__init__(f"{function}: the input is no JSON: {detail}")
 
 
 class MissingField(RequestError):
     def __init__(self, function: str, field: str):
-        super().__init__(f"{function}: missing required field '{field}'")
+        super().__init__(f"{function}: field '{field}' is missing")
 
 
 class InvalidFieldType(RequestError):
     def __init__(self, function: str, field: str, expected: str):
-        super().__init__(f"{function}: field '{field}' must be {expected}")
+        super().__init__(f"{function}: field '{field}' is not {expected}")
 
 
 class UnknownPrompt(RequestError):
     def __init__(self, name: str):
-        super().__init__(f"resolve_prompt: unknown prompt template '{name}'")
+        super().__init__(f"resolve_prompt: there is no template '{name}'")
 
 
 class ParseError(RequestError):

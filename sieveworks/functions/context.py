@@ -1,7 +1,7 @@
 """Passages around the words of a query.
 
-Offsets count bytes of UTF-8. Snippets begin after a space and end at one, so they are read off a view of the text in
-which each character is one byte, and go back to text as slices of whole words.
+Offsets count bytes of UTF-8. Snippets begin after a space and end at one, so they are cut from the bytes of the text as
+slices of whole words.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .text import words_of
 #: Up to the last end of a sentence that a space or the end of the window follows.
 SENTENCE = r"(?s)\A(.*[.!?])(?= |\z)"
 LOOK_BACK = 200
+#: Bytes around the end of a passage in which a space is looked for first.
+NEAR = 128
 
 
 def truncate_at_sentence(text: Column, most: int) -> Column:
@@ -34,39 +36,39 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def as_bytes(text: Column) -> Column:
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-
-
-def from_bytes(view: Column) -> Column:
-    return F.decode(F.encode(view, "ISO-8859-1"), "UTF-8")
-
-
 def hits(low: Column, term: str) -> Column:
-    """(at, to) of every occurrence of a term in a byte view, left to right without overlap."""
-    raw = term.encode().decode("latin-1")
-    n = len(raw)
-    parts = F.split(low, re.sub(r"([^\w\s])", r"\\\1", raw), -1)
-    sizes = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length)
+    """(at, to), in bytes, of every occurrence of a term, left to right without overlap."""
+    n = len(term.encode())
+    parts = F.split(low, re.sub(r"([^\w\s])", r"\\\1", term), -1)
+    sizes = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.octet_length)
     folded = F.aggregate(
         sizes, F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,to:int>>").alias("found")),
-        lambda acc, size: F.struct((acc["end"] + size + n).alias("end"), F.concat(acc["found"], F.array(F.struct((acc["end"] + size).alias("at"), (acc["end"] + size + n).alias("to")))).alias("found")),
+        lambda acc, size: F.struct(
+            (acc["end"] + size + n).alias("end"),
+            F.concat(acc["found"], F.array(F.struct((acc["end"] + size).alias("at"), (acc["end"] + size + n).alias("to")))).alias("found"),
+        ),
     )
     return folded["found"]
 
 
-def next_space(view: Column, at: Column) -> Column:
-    """Offset of the first space at or after ``at``, else the end."""
-    rest = F.substring(view, at + 1, F.length(view))
-    found = F.instr(rest, " ")
-    return F.when(found > 0, at + found - 1).otherwise(F.length(view))
+def letters(view: Column) -> Column:
+    """Bytes as text of one character each."""
+    return F.decode(view, "ISO-8859-1")
+
+
+def next_space(view: Column, size: Column, at: Column) -> Column:
+    """Offset of the first space at or after ``at``, else the end. Most are near; only if none is, the rest is read."""
+    near = F.instr(letters(F.substring(view, at + 1, F.lit(NEAR))), " ")
+    far = F.instr(letters(F.substring(view, at + 1, size)), " ")
+    return F.when(near > 0, at + near - 1).when(at + NEAR >= size, size).when(far > 0, at + far - 1).otherwise(size)
 
 
 def last_space_end(view: Column, at: Column) -> Column:
     """Offset behind the last space before ``at``, else 0."""
-    left = F.substring(view, F.lit(1), at)
-    found = F.instr(F.reverse(left), " ")
-    return F.when(found > 0, F.length(left) - found + 1).otherwise(F.lit(0))
+    begin = F.greatest(at - NEAR, F.lit(0))
+    near = F.instr(F.reverse(letters(F.substring(view, begin + 1, at - begin))), " ")
+    far = F.instr(F.reverse(letters(F.substring(view, F.lit(1), at))), " ")
+    return F.when(near > 0, at - near + 1).when(begin == 0, F.lit(0)).when(far > 0, at - far + 1).otherwise(F.lit(0))
 
 
 def merged(spans: Column) -> Column:
@@ -90,19 +92,19 @@ def extract_context(content: Column, query: str, config: ContextConfig = Context
     rest = F.substring(content, config.intro_length + 1, 2**31 - 1)
 
     def passages(b: Column) -> Column:
-        view, size = b["view"], F.length(b["view"])
+        view, size = b["view"], b["size"]
 
         def widen(hit: Column) -> Column:
             begin = F.least(F.greatest(hit["at"] - radius, F.lit(0)), size)
             end = F.least(hit["to"] + radius, size)
-            return F.struct(last_space_end(view, begin).alias("s"), next_space(view, end).alias("e"))
+            return F.struct(last_space_end(view, begin).alias("s"), next_space(view, size, end).alias("e"))
 
         spans = merged(F.transform(F.concat(*[hits(b["low"], t) for t in terms]), widen))
-        return F.transform(spans, lambda p: F.concat(F.lit(sep), from_bytes(F.substring(view, p["s"] + 1, p["e"] - p["s"]))))
+        return F.transform(spans, lambda p: F.concat(F.lit(sep), F.decode(F.substring(view, p["s"] + 1, p["e"] - p["s"]), "UTF-8")))
 
     def joined(pieces: Column) -> Column:
         whole = F.when(F.size(pieces) == 0, F.concat(intro, F.lit(sep), rest)).otherwise(F.concat(intro, F.array_join(pieces, "")))
         return bound(whole, lambda w: truncate_at_sentence(w, most))
 
-    views = F.struct(as_bytes(rest).alias("view"), as_bytes(F.lower(rest)).alias("low"))
+    views = F.struct(F.encode(rest, "UTF-8").alias("view"), F.octet_length(rest).alias("size"), F.lower(rest).alias("low"))
     return F.when(F.length(content) <= most, content).otherwise(bound(bound(views, passages), joined))

@@ -24,6 +24,11 @@ def days_since(text: Column, as_of: Column) -> Column:
     return F.datediff(as_of, parse_date(text))
 
 
+def date_of_seconds(seconds: Column) -> Column:
+    """The UTC date of a number of seconds since 1970."""
+    return F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
+
+
 def as_date(as_of: str | datetime.date | Column | None) -> Column:
     """The day that ages are counted from; by default today in the session's time zone."""
     if as_of is None:

@@ -18,7 +18,8 @@ from ..functions.text import extract_query, query_terms
 
 OPTIONAL = {"date": "string", "score": "double", "content_type": "string", "site_name": "string", "source_weight": "double", "locations": "array<bigint>"}
 
-AGE = "_days_since"
+#: Helper columns.
+AGE, TERMS, NAME = "_days_since", "_terms", "_config_name"
 
 
 def completed(df: DataFrame) -> DataFrame:
@@ -29,7 +30,9 @@ def completed(df: DataFrame) -> DataFrame:
     return df if "pos" in df.columns else df.withColumn("pos", F.monotonically_increasing_id())
 
 
-def scored(df: DataFrame, query: str, config: ScoringConfig = ScoringConfig(), primary_query: str | None = None, as_of: str | datetime.date | Column | None = None) -> DataFrame:  # noqa: B008
+def scored(
+    df: DataFrame, query: str, config: ScoringConfig = ScoringConfig(), primary_query: str | None = None, as_of: str | datetime.date | Column | None = None  # noqa: B008
+) -> DataFrame:
     """Set ``score`` (and ``excerpt``, where a priority page has its own) for one query; no sort, no shuffle."""
     df = completed(df)
     terms = query_terms(query, config.language, config.custom_stop_words)
@@ -67,34 +70,53 @@ def sort_override(df: DataFrame, field: str, direction: str = "asc") -> DataFram
     return df.filter(F.col(field).isNotNull()).orderBy(turn(number), turn(text) if dict(df.dtypes)[field] == "string" else turn(number), F.desc("score"), "pos")
 
 
-def batch_scored(queries: DataFrame, results: DataFrame, config: ScoringConfig = ScoringConfig(), configs: Mapping[str, ScoringConfig] | None = None, as_of: str | datetime.date | Column | None = None) -> DataFrame:  # noqa: B008
+def score_each(df: DataFrame, query: str, config: ScoringConfig = ScoringConfig(), as_of: str | datetime.date | Column | None = None) -> DataFrame:  # noqa: B008
+    """``scored`` without the phrase multiplier and with excerpts as they are: the score of a row taken alone."""
+    df = completed(df)
+    terms = query_terms(query, config.language, config.custom_stop_words)
+    boost = relevance.priority_boost(relevance.matched_pages(query, config.priority_pages), F.col("url"))
+    return score_with_terms(df, terms, config, boost, as_of)
+
+
+def score_with_terms(df: DataFrame, terms: list[str], config: ScoringConfig, priority: Column, as_of: str | datetime.date | Column | None = None) -> DataFrame:
+    """As ``score_each``, for terms and a priority boost that are known."""
+    df = completed(df).withColumn(AGE, days_since(F.col("date"), as_date(as_of)))
+    return df.withColumn("score", relevance.composite(terms, config, priority, F.col(AGE), phrase=False)).drop(AGE)
+
+
+def batch_scored(
+    queries: DataFrame, results: DataFrame, config: ScoringConfig = ScoringConfig(), configs: Mapping[str, ScoringConfig] | None = None,  # noqa: B008
+    as_of: str | datetime.date | Column | None = None,
+) -> DataFrame:
     """Score the candidates of many queries.
 
     ``queries`` has query_id and query, and may have ``config_name``, a key of ``configs``; a named config replaces the
-    default one as a whole. Terms are taken once for each query, before the join with ``results`` on query_id.
+    default one as a whole. Terms are taken once for each query, before the one join with ``results`` on query_id.
     """
-    named = configs if configs and "config_name" in queries.columns else None
-    out = []
-    for name, own in [(None, config), *(named or {}).items()]:
-        mine = queries
-        if named:
-            known = F.coalesce(F.col("config_name").isin(list(named)), F.lit(False))
-            mine = queries.filter(~known if name is None else F.col("config_name") == name)
-        info = extract_query(F.col("query"), own.language, own.custom_stop_words)
-        mine = mine.select("query_id", "query", info["terms"].alias("terms"))
-        rows = completed(results).join(mine, "query_id")
-        excerpt = relevance.priority_excerpt(own.priority_pages, F.col("url"), F.col("excerpt"), F.col("query"))
-        boost = relevance.priority_boost(own.priority_pages, F.col("url"), F.col("query"))
-        rows = rows.withColumn("excerpt", excerpt) if own.priority_pages else rows
-        rows = rows.withColumn(AGE, days_since(F.col("date"), as_date(as_of)))
-        out.append(rows.withColumn("score", relevance.composite(F.col("terms"), own, boost, F.col(AGE))).drop("terms", AGE))
-    first, *rest = out
-    for df in rest:
-        first = first.unionByName(df)
-    return first
-
-
-def batch_score_results(queries: DataFrame, results: DataFrame, config: ScoringConfig = ScoringConfig(), configs: Mapping[str, ScoringConfig] | None = None, as_of=None, top: int | None = None) -> DataFrame:  # noqa: B008
+    named = configs if configs and "config_name" in queries.columns else {}
+
+    def chosen(of) -> Column:
+        """``of`` the config of the row's query."""
+        out = None
+        for name, own in named.items():
+            mine = F.col(NAME) == name
+            out = F.when(mine, of(own)) if out is None else out.when(mine, of(own))
+        return of(config) if out is None else out.otherwise(of(config))
+
+    name = F.col("config_name") if named else F.lit(None).cast("string")
+    asked = queries.select("query_id", "query", name.alias(NAME))
+    asked = asked.withColumn(TERMS, chosen(lambda c: extract_query(F.col("query"), c.language, c.custom_stop_words)["terms"]))
+    rows = completed(results).join(asked, "query_id")
+    if config.priority_pages or any(c.priority_pages for c in named.values()):
+        rows = rows.withColumn("excerpt", chosen(lambda c: relevance.priority_excerpt(c.priority_pages, F.col("url"), F.col("excerpt"), F.col("query"))))
+    rows = rows.withColumn(AGE, days_since(F.col("date"), as_date(as_of)))
+    boost = lambda c: relevance.priority_boost(c.priority_pages, F.col("url"), F.col("query"))
+    return rows.withColumn("score", chosen(lambda c: relevance.composite(F.col(TERMS), c, boost(c), F.col(AGE)))).drop(TERMS, NAME, AGE)
+
+
+def batch_score_results(
+    queries: DataFrame, results: DataFrame, config: ScoringConfig = ScoringConfig(), configs: Mapping[str, ScoringConfig] | None = None, as_of=None, top: int | None = None  # noqa: B008
+) -> DataFrame:
     """``batch_scored``, sorted by query and score. With ``top``, that many rows for each query and their ``rank``; rows beyond
     are dropped before the shuffle."""
     out = batch_scored(queries, results, config, configs, as_of)

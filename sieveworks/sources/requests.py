@@ -11,6 +11,7 @@ import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..config import ContextConfig, ConversationConfig, ExpansionConfig, PriorityPage, SanitizeConfig, ScoringConfig
 from ..errors import InvalidJson, MissingField, ParseError, UnknownPrompt
@@ -24,9 +25,17 @@ CORE = "url string, title string, excerpt string, date string, score double, con
 _TYPES = {"url": str, "title": str, "excerpt": str, "date": str, "score": float, "content_type": str, "site_name": str, "source_weight": float, "locations": list}
 
 
-def read_results(spark: SparkSession, path: str, bad_rows: str = "fail") -> DataFrame:
-    """Candidates from JSON lines. Rows without url, title or excerpt fail the query, or are dropped with bad_rows="drop"."""
-    df = spark.read.schema(CORE).json(path)
+def read_results(spark: SparkSession, path: str, bad_rows: str = "fail", extra: str | None = None) -> DataFrame:
+    """Candidates from JSON lines. Rows without url, title or excerpt fail the query, or are dropped with bad_rows="drop".
+
+    Further fields become further columns, to sort by for example. ``extra`` gives their schema; without it one more pass
+    over the file finds them. A field with numbers and texts is read as text.
+    """
+    if extra is None:
+        found = [f for f in spark.read.json(path).schema.fields if f.name not in _TYPES and f.name != "_corrupt_record"]
+    else:
+        found = [f for f in StructType.fromDDL(extra).fields if f.name not in _TYPES]
+    df = spark.read.schema(StructType([*StructType.fromDDL(CORE).fields, *found])).json(path)
     whole = F.lit(True)
     for name in REQUIRED:
         whole = whole & F.col(name).isNotNull()
@@ -41,7 +50,7 @@ def _loaded(function: str, text: str) -> dict[str, Any]:
     except ValueError as e:
         raise InvalidJson(function, str(e)) from None
     if not isinstance(value, dict):
-        raise InvalidJson(function, "expected JSON object")
+        raise InvalidJson(function, "it is not an object")
     return value
 
 
@@ -59,23 +68,23 @@ def _present(function: str, request: dict, name: str) -> Any:
 
 def _row(function: str, what: str, value: Any) -> dict[str, Any]:
     if not isinstance(value, dict):
-        raise ParseError(function, f"failed to parse {what}: expected an object")
+        raise ParseError(function, f"cannot read {what}: a row is not an object")
     for name in REQUIRED:
         if name not in value:
-            raise ParseError(function, f"failed to parse {what}: missing field `{name}`")
+            raise ParseError(function, f"cannot read {what}: a row lacks {name}")
     for name, kind in _TYPES.items():
         v = value.get(name)
         fits = isinstance(v, kind) or (kind is float and isinstance(v, int))
         if name in value and not (fits and not isinstance(v, bool)) and not (v is None and name in ("source_weight", "locations")):
-            raise ParseError(function, f"failed to parse {what}: invalid type for `{name}`")
+            raise ParseError(function, f"cannot read {what}: {name} has a wrong type")
         if kind is list and v is not None and not all(isinstance(x, int) and not isinstance(x, bool) and 0 <= x < 2**32 for x in v):
-            raise ParseError(function, f"failed to parse {what}: invalid type for `{name}`")
+            raise ParseError(function, f"cannot read {what}: {name} has a wrong type")
     return value
 
 
 def _rows(function: str, what: str, value: Any) -> list[dict[str, Any]]:
     if not isinstance(value, list):
-        raise ParseError(function, f"failed to parse {what}: expected an array")
+        raise ParseError(function, f"cannot read {what}: they are not an array")
     return [_row(function, what, v) for v in value]
 
 
@@ -126,11 +135,11 @@ def batch_score_results(spark: SparkSession, text: str, as_of: str | datetime.da
     every, queries, configs = [], [], {}
     for k, entry in enumerate(request["queries"]):
         if not isinstance(entry, dict):
-            raise ParseError(name, f"queries[{k}] expected object")
+            raise ParseError(name, f"queries[{k}] is not an object")
         if not isinstance(entry.get("query"), str):
-            raise ParseError(name, f"queries[{k}].query is required")
+            raise ParseError(name, f"queries[{k}] has no query")
         if "results" not in entry:
-            raise ParseError(name, f"queries[{k}].results is required")
+            raise ParseError(name, f"queries[{k}] has no results")
         try:
             rows = _rows(name, "results", entry["results"])
         except ParseError as e:
@@ -155,11 +164,11 @@ def merge_results(spark: SparkSession, text: str) -> str:
     request = _loaded(name, text)
     sets = _present(name, request, "sets")
     if not isinstance(sets, list):
-        raise ParseError(name, "failed to parse sets: expected an array")
+        raise ParseError(name, "cannot read sets: they are not an array")
     frames = []
     for s in sets:
         if not isinstance(s, dict) or "results" not in s or not isinstance(s.get("weight"), (int, float)) or isinstance(s.get("weight"), bool):
-            raise ParseError(name, "failed to parse sets: results and weight are required")
+            raise ParseError(name, "cannot read sets: one lacks results or weight")
         frames.append((_frame(spark, _rows(name, "sets", s["results"])), float(s["weight"])))
     by, urls = request.get("deduplicate_by"), request.get("exclude_urls")
     options = {
@@ -183,7 +192,7 @@ def match_priority_pages(spark: SparkSession, text: str) -> str:
             raise ValueError("expected an array")
         read = [PriorityPage.from_dict(p) for p in pages]
     except ValueError as e:
-        raise ParseError(name, f"failed to parse priority_pages: {e}") from None
+        raise ParseError(name, f"cannot read priority_pages: {e}") from None
     return _dump([r.asDict() for r in score.match_priority_pages(score.pages_frame(spark, read), query).collect()])
 
 

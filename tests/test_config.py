@@ -13,6 +13,6 @@ def test_lenient():
 def test_clamp():
     config, warnings = ScoringConfig.from_dict_validated({"recency_boost_max": 10.0, "results_per_page": 0})
     assert (config.recency_boost_max, config.results_per_page) == (2.0, 1) and [w.field for w in warnings] == ["recency_boost_max", "results_per_page"]
-    assert warnings[0].message == "value 10.0 outside range (0.0–2.0), clamped to 2" and ScoringConfig().warnings() == []
+    assert warnings[0].message == "10.0 is not within 0.0 to 2.0; 2 is used" and ScoringConfig().warnings() == []
     odd = ScoringConfig(recency_strategy="custom"), ScoringConfig(recency_strategy="x"), ScoringConfig(recency_curve=((2.0, 1.0), (1.0, 1.0)))
     assert [[w.field for w in c.warnings()] for c in odd] == [["recency_curve"], ["recency_strategy"], ["recency_curve"]]

@@ -4,6 +4,7 @@ import pytest
 
 from sieveworks import errors
 from sieveworks.functions import sql
+from sieveworks.operators import score
 from sieveworks.operators.manifest import FUNCTIONS
 from sieveworks.sources import requests as api
 from sieveworks.streaming import live
@@ -18,13 +19,13 @@ def test_every_function():
 
 
 def test_score(spark):
-    rows = [item("/x", "Expensive", date="2026-01-01", price="99.99", tags=[1, {"a": None}]), item("/c", "Cheap", price="9.99"), item("/m", "Medium", price=49.99), item("/none", "None")]
-    request = {"query": "cheap", "results": rows, "config": {"recency_strategy": "none"}}
+    rows = [item("/oak", "Oak desk", date="2025-11-30", weight="71.5", tags=[1, {"a": None}]), item("/pin", "Pin", weight="3.25"), item("/lamp", "Lamp", weight=18), item("/air", "Air")]
+    request = {"query": "pin", "results": rows, "config": {"recency_strategy": "none"}}
     out = json.loads(api.score_results(spark, json.dumps(request), "2026-06-01"))
-    assert out[0] == {"url": "/c", "title": "Cheap", "excerpt": "e", "date": "", "score": 2.0, "content_type": "", "site_name": "", "price": "9.99"}
-    assert [r["url"] for r in out] == ["/c", "/x", "/m", "/none"] and out[1]["tags"] == [1, {"a": None}]
-    for direction, expected in (("asc", ["/c", "/m", "/x"]), ("desc", ["/x", "/m", "/c"]), ("odd", ["/c", "/m", "/x"])):
-        sort = {"sort_override": {"field": "price", "direction": direction}}
+    assert out[0] == {"url": "/pin", "title": "Pin", "excerpt": "e", "date": "", "score": 2.0, "content_type": "", "site_name": "", "weight": "3.25"}
+    assert [r["url"] for r in out] == ["/pin", "/oak", "/lamp", "/air"] and out[1]["tags"] == [1, {"a": None}]
+    for direction, expected in (("asc", ["/pin", "/lamp", "/oak"]), ("desc", ["/oak", "/lamp", "/pin"]), ("odd", ["/pin", "/lamp", "/oak"])):
+        sort = {"sort_override": {"field": "weight", "direction": direction}}
         assert [r["url"] for r in json.loads(api.score_results(spark, json.dumps(request | sort)))] == expected
     assert json.loads(api.score_results(spark, json.dumps(request | {"sort_override": {"field": "title", "direction": "asc"}}))) == []
     assert json.loads(api.score_results(spark, json.dumps({"query": "", "results": []}))) == []
@@ -33,14 +34,14 @@ def test_score(spark):
 @pytest.mark.parametrize(
     ("function", "request_", "error", "message"),
     [
-        ("score_results", "nope", errors.InvalidJson, "score_results: invalid JSON input"), ("score_results", "[]", errors.InvalidJson, "expected JSON object"),
-        ("score_results", '{"query": 5, "results": []}', errors.MissingField, "score_results: missing required field 'query'"), ("score_results", '{"query": ""}', errors.MissingField, "'results'"),
-        ("score_results", '{"query": "", "results": [{"url": "a"}]}', errors.ParseError, "score_results: failed to parse results"), ("merge_results", "{}", errors.MissingField, "'sets'"),
-        ("merge_results", '{"sets": [{"results": []}]}', errors.ParseError, "merge_results"), ("batch_score_results", '{"queries": [{"query": "a"}]}', errors.ParseError, "queries[0].results is required"),
-        ("batch_score_results", '{"queries": [1]}', errors.ParseError, "queries[0] expected object"), ("match_priority_pages", '{"query": "a"}', errors.MissingField, "'priority_pages'"),
+        ("score_results", "nope", errors.InvalidJson, "score_results: the input is no JSON"), ("score_results", "[]", errors.InvalidJson, "it is not an object"),
+        ("score_results", '{"query": 5, "results": []}', errors.MissingField, "score_results: field 'query' is missing"), ("score_results", '{"query": ""}', errors.MissingField, "'results'"),
+        ("score_results", '{"query": "", "results": [{"url": "a"}]}', errors.ParseError, "score_results: cannot read results"), ("merge_results", "{}", errors.MissingField, "'sets'"),
+        ("merge_results", '{"sets": [{"results": []}]}', errors.ParseError, "merge_results"), ("batch_score_results", '{"queries": [{"query": "a"}]}', errors.ParseError, "queries[0] has no results"),
+        ("batch_score_results", '{"queries": [1]}', errors.ParseError, "queries[0] is not an object"), ("match_priority_pages", '{"query": "a"}', errors.MissingField, "'priority_pages'"),
         ("match_priority_pages", '{"query": "a", "priority_pages": [{}]}', errors.ParseError, "match_priority_pages"), ("extract_context", '{"query": "a"}', errors.MissingField, "'content'"),
         ("batch_extract_context", '{"query": "a", "items": 1}', errors.ParseError, "items"), ("sanitize_query", "{}", errors.MissingField, "'query'"),
-        ("truncate_conversation", '{"messages": [{"role": "a"}]}', errors.ParseError, "messages"), ("resolve_prompt", '{"prompt_name": "zz"}', errors.UnknownPrompt, "unknown prompt template 'zz'"),
+        ("truncate_conversation", '{"messages": [{"role": "a"}]}', errors.ParseError, "messages"), ("resolve_prompt", '{"prompt_name": "zz"}', errors.UnknownPrompt, "there is no template 'zz'"),
     ],
 )
 def test_errors(spark, function, request_, error, message):
@@ -77,6 +78,17 @@ def test_read_results(spark, tmp_path):
         api.read_results(spark, str(path)).collect()
 
 
+def test_read_results_keeps_further_fields(spark, tmp_path):
+    path = tmp_path / "r.json"
+    rows = [item("/a", weight="10.5", pos=0), item("/b", weight="9", pos=1), item("/c", pos=2), item("/d", weight="heavy", site_name="s", pos=3)]
+    path.write_text("".join(json.dumps(r) + "\n" for r in rows))
+    for extra in (None, "weight string, pos int"):
+        df = api.read_results(spark, str(path), extra=extra)
+        assert dict(df.dtypes)["weight"] == "string" and dict(df.dtypes)["score"] == "double"
+        out = score.score_results(df, "x", sort_field="weight", direction="desc").collect()
+        assert [r["url"] for r in out] == ["/d", "/a", "/b"] and out[0]["site_name"] == "s"
+
+
 def test_sql_functions(spark):
     assert "sw_terms" in sql.register(spark)
     row = spark.sql("SELECT sw_terms('What is Drupal'), sw_sanitize('a@b.org'), CAST(sw_parse_date('2025-02-31') AS STRING), sw_recency('2025-01-01', DATE '2026-01-01'), sw_url_key('https://A.b/C/'), sw_is_valid_term('the'), sw_first_sentences('One. Two three', 8)").first()
