@@ -231,6 +231,82 @@ def batch_score_all(spark, sf_dir):
     return score.batch_scored(asked, rows, as_of=AS_OF).select("query_id", "doc_id", six(F.col("score")).alias("score"))
 
 
+#: Two configs for the batch: one for query 1 by name, the other for the rest. Without recency both engines order alike.
+LEVEL = ScoringConfig(recency_strategy="none")
+NAMED = {"titles": ScoringConfig(recency_strategy="none", title_match_boost=2.0, content_match_boost=0.1, priority_pages=(PriorityPage("/doc/1", ("hend",), 0.75),))}
+LEVEL_SCORE = f"1.0::DOUBLE + {sql_match('title', TERMS, 1.0, 1.5)} + {sql_match('excerpt', TERMS, 0.4, 1.2)}"
+
+
+@query("score_results_ordered", f"SELECT doc_id, round({LEVEL_SCORE}, 6) AS score, row_number() OVER (ORDER BY {LEVEL_SCORE} DESC, doc_id) AS rank FROM {WHOLE}")
+def score_results_ordered(spark, sf_dir):
+    """Every row with its place in the operator's own order."""
+    out = numbered(score.score_results(candidates(spark, sf_dir, True), ASKED, LEVEL, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score")))
+    return out.select("doc_id", "score", (F.col("rank") + 1).alias("rank"))
+
+
+@query("score_results_page", f"SELECT doc_id, rank - 20 AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY {LEVEL_SCORE} DESC, doc_id) AS rank FROM {WHOLE}) WHERE rank BETWEEN 21 AND 50")
+def score_results_page(spark, sf_dir):
+    """The limit is the feature: thirty results after the first twenty, in the operator's own order."""
+    out = numbered(score.score_results(candidates(spark, sf_dir, True), ASKED, LEVEL, as_of=AS_OF, limit=30, offset=20).select("doc_id"))
+    return out.select("doc_id", (F.col("rank") + 1).alias("place"))
+
+
+SQL_NAMED = " UNION ALL ".join(
+    f"SELECT {k} AS query_id, doc_id, 1.0::DOUBLE + {sql_match('title', t, title, 1.5)} + {sql_match('excerpt', t, content, 1.2)} + {more} AS score FROM {WHOLE}"
+    for k, t, title, content, more in (
+        (0, ["er", "nd"], 1.0, 0.4, "0"), (1, ["hend"], 2.0, 0.1, "CASE WHEN contains(url, '/doc/1') THEN 0.75::DOUBLE ELSE 0 END"), (2, ["worthless", "clown"], 1.0, 0.4, "0"),
+    )
+)
+
+
+def asked_by_name(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    asked = spark.createDataFrame([(k, q, "titles" if k == 1 else None) for k, q in BATCH], "query_id int, query string, config_name string")
+    return asked, candidates(spark, sf_dir, True).select("*", F.explode(F.array(*[F.lit(k) for k, _ in BATCH])).alias("query_id"))
+
+
+@query("batch_score_configs", f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({SQL_NAMED})")
+def batch_score_configs(spark, sf_dir):
+    out = score.batch_scored(*asked_by_name(spark, sf_dir), LEVEL, NAMED, as_of=AS_OF)
+    return out.select("query_id", "doc_id", six(F.col("score")).alias("score"))
+
+
+@query("batch_score_top", f"SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({SQL_NAMED})) WHERE rank <= 20")
+def batch_score_top(spark, sf_dir):
+    """The operator's own top twenty of each query, with its ranks."""
+    return score.batch_score_results(*asked_by_name(spark, sf_dir), LEVEL, NAMED, as_of=AS_OF, top=20).select("query_id", "doc_id", "rank")
+
+
+SQL_PHRASE = f"(CASE WHEN len(places) < 2 THEN 1.0::DOUBLE WHEN {SPAN} < 2 THEN 2.5::DOUBLE WHEN {SPAN} <= 5 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END)"
+
+
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with the places of two words."""
+    at = F.filter(F.transform(F.split(F.lower("excerpt"), " "), lambda w, i: F.when(w.isin("er", "nd"), i)), lambda i: i.isNotNull())
+    return candidates(spark, sf_dir, True).withColumn("locations", at.cast("array<bigint>"))
+
+
+@query("score_results_locations", f"SELECT doc_id, round(1.0::DOUBLE + {sql_match('title', ['er', 'nd'], 1.0, 1.5)} + {sql_match('excerpt', ['er', 'nd'], 0.4, 1.2)} * {SQL_PHRASE} + {sql_recency('age')}, 6) AS score FROM {WHOLE} JOIN {POSITIONS} USING (doc_id)")
+def score_results_locations(spark, sf_dir):
+    return score.scored(located(spark, sf_dir), "er nd", as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
+
+
+@query("score_result", f"SELECT doc_id, round(1.0::DOUBLE + {sql_match('title', ['nd'], 1.0, 1.5)} + {sql_match('excerpt', ['nd'], 0.4, 1.2)} + {sql_recency('age')} + {SQL_BOOST}, 6) AS score FROM {WHOLE}")
+def score_result(spark, sf_dir):
+    """Rows taken alone: places do not count, own stop words and priority pages do."""
+    config = ScoringConfig(custom_stop_words=("Thor", "ER"), priority_pages=PAGES)
+    return score.score_each(located(spark, sf_dir), ASKED, config, AS_OF).select("doc_id", six(F.col("score")).alias("score"))
+
+
+@query("score_result_with_terms", f"SELECT doc_id, round(1.25::DOUBLE + {sql_match('title', ['er', 'nd'], 1.0, 1.5)} + {sql_match('excerpt', ['er', 'nd'], 0.4, 1.2)} + {sql_recency('age')}, 6) AS score FROM {WHOLE}")
+def score_result_with_terms(spark, sf_dir):
+    return score.score_with_terms(located(spark, sf_dir), ["er", "nd"], ScoringConfig(), F.lit(0.25), AS_OF).select("doc_id", six(F.col("score")).alias("score"))
+
+
+@query("date_of_seconds", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
+def date_of_seconds(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", dates.date_of_seconds(F.unix_timestamp("ts")).cast("string").alias("day"))
+
+
 # --- sort override ------------------------------------------------------------------------------------------------------
 
 
@@ -377,6 +453,18 @@ expansion_query("parse_expansion_generic", as_json, ExpansionConfig(generic_term
 expansion_query("parse_expansion_merge", as_json, ExpansionConfig(existing_terms=("extra", "Extra", "last one")), f"list_concat(list_filter(list_filter({WORDS}, lambda t: {SQL_VALID}), lambda t, i: list_position(list_transform(list_filter({WORDS}, lambda t: {SQL_VALID}), lambda x: lower(x)), lower(t)) = i), ['extra', 'last one'])")
 
 
+def sql_valid(language: str) -> str:
+    return f"strlen(t) >= 2 AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains({sql_list(text.stop_words(language))}, lower(t)) AND length(t) >= 2"
+
+
+for _language in ("de", "fr", "es", "it"):
+
+    @query(f"parse_expansion_{_language}", f"SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda t: {sql_valid(_language)}), '|') AS terms FROM benchmark")
+    def parse_in_language(spark, sf_dir, language=_language):
+        found = parse_expansion(as_json(F.col("text")), ExpansionConfig(language=language))
+        return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(found, "|").alias("terms"))
+
+
 # --- passages, templates, manifest --------------------------------------------------------------------------------------
 
 HEAD = "substring(text, 1, 500)"
@@ -389,11 +477,38 @@ def truncate_sentences(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", truncate_at_sentence(F.col("text"), 500).alias("cut"))
 
 
-@query("extract_context")
+CONTEXT = ContextConfig(max_length=1200, intro_length=300, snippet_radius=80)
+SOUGHT = ("thor", "hend", "dieser")
+
+
+def sql_cut(t: str, most: int) -> str:
+    """The text ``t`` cut at the last sentence end in its last 200 characters, else at the last space."""
+    tail, head = f"substring({t}, {most - 199}, 200)", f"substring({t}, 1, {most})"
+    return f"""CASE WHEN length({t}) <= {most} THEN {t} WHEN regexp_matches({tail}, '(?s)[.!?]( |$)')
+  THEN substring({t}, 1, {most - 200}) || regexp_extract({tail}, '(?s)^(.*[.!?])(?: |$)', 1) WHEN instr({head}, ' ') > 0 THEN regexp_extract({head}, '(?s)^(.*) ', 1) ELSE {head} END"""
+
+
+SQL_CONTEXT = f"""WITH d AS (SELECT doc_id, text, substring(text, 1, 300) AS intro, substring(text, 301) AS rest FROM documents),
+w AS (SELECT doc_id, k, word, sum(strlen(word) + 1) OVER (PARTITION BY doc_id ORDER BY k) - strlen(word) - 1 AS s, sum(strlen(word) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS e
+  FROM (SELECT doc_id, unnest(string_split(rest, ' ')) AS word, generate_subscripts(string_split(rest, ' '), 1) AS k FROM d WHERE length(text) > 1200)),
+h AS ({" UNION ALL ".join(f"""SELECT doc_id, found, found + {len(t)} AS upto FROM (SELECT doc_id, k, n, sum(strlen(part) + {len(t)}) OVER (PARTITION BY doc_id ORDER BY k) - {len(t)} AS found
+  FROM (SELECT doc_id, unnest(string_split(lower(rest), '{t}')) AS part, generate_subscripts(string_split(lower(rest), '{t}'), 1) AS k, len(string_split(lower(rest), '{t}')) AS n FROM d WHERE length(text) > 1200)) WHERE k < n""" for t in SOUGHT)}),
+r AS (SELECT h.doc_id, greatest(found - 80, 0) AS low, least(upto + 80, strlen(rest)) AS high, strlen(rest) AS size FROM h JOIN d ON d.doc_id = h.doc_id),
+l AS (SELECT r.doc_id, r.high, r.size, coalesce(w.s, 0) AS s FROM r ASOF LEFT JOIN w ON r.doc_id = w.doc_id AND r.low >= w.s),
+p AS (SELECT l.doc_id, l.s, coalesce(w.e, l.size) AS e FROM l ASOF LEFT JOIN w ON l.doc_id = w.doc_id AND l.high <= w.e),
+i AS (SELECT doc_id, s, e, sum(CASE WHEN s <= seen THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island
+  FROM (SELECT doc_id, s, e, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p)),
+m AS (SELECT doc_id, island, min(s) AS s, max(e) AS e FROM i GROUP BY ALL),
+c AS (SELECT m.doc_id, m.s, chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || string_agg(w.word, ' ' ORDER BY w.k) AS piece FROM m JOIN w ON w.doc_id = m.doc_id AND w.s >= m.s AND w.e <= m.e GROUP BY ALL),
+j AS (SELECT doc_id, string_agg(piece, '' ORDER BY s) AS pieces FROM c GROUP BY doc_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS url, '' AS title, CASE WHEN length(text) <= 1200 THEN text ELSE {sql_cut("(intro || coalesce(pieces, chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || rest))", 1200)} END AS context
+FROM d LEFT JOIN j ON j.doc_id = d.doc_id"""
+
+
+@query("extract_context", SQL_CONTEXT)
 def extract_contexts(spark, sf_dir):
-    """SQL has no plain form for this; tests hold it against a byte-by-byte version."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.lit("").alias("title"), F.col("text").alias("content"))
-    return passages.batch_extract_context(docs, "thor hend dieser", ContextConfig(max_length=1200, intro_length=300, snippet_radius=80))
+    return passages.batch_extract_context(docs, " ".join(SOUGHT), CONTEXT)
 
 
 @query("resolve_prompt", "SELECT * FROM (VALUES ('a', true, false), ('b', true, true), ('c', false, false)) t(k, known, anchored)")
