@@ -29,7 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import SALTS, emptied, table, text_of, with_leader, written
+from .common import SALTS, emptied, long_array, table, text_of, with_leader, written
 from .graph import components
 from .shingles import Shingler, mixed
 
@@ -107,24 +107,28 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def cut_into_blocks(nodes: DataFrame) -> DataFrame:
-    """(node, n, block) of (node, n, family, home): neighbours in this order share a block."""
-    most, most_shingles = BLOCK, BLOCK_SHINGLES
+    """(node, n, block) of (node, n, family, home): neighbours in this order share a block. Blocks are cut by running
+    weight over the whole order, wherever its partitions end; a node weighs 1, or more if its shingles are many."""
+    each = BLOCK_SHINGLES // BLOCK
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, held, shingles = 0, 0, 0
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
         for batch in batches:
-            blocks = []
-            for n, part in zip(batch["n"], batch["part"], strict=True):
-                if held and (held >= most or shingles + n > most_shingles):
-                    block, held, shingles = block + 1, 0, 0
-                held, shingles = held + 1, shingles + n
-                blocks.append((part << 32) + block)
-            yield pd.DataFrame({"node": batch["node"], "n": batch["n"], "block": blocks})
+            through = total + batch["weight"].cumsum()
+            total = int(through.iloc[-1]) if len(through) else total
+            yield batch.assign(through=through)
 
     parts = max(2, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ("family", "home", "n", "node")
     laid = nodes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return laid.select("node", "n", F.spark_partition_id().cast("bigint").alias("part")).mapInPandas(cut, "node binary, n int, block bigint")
+    laid = laid.select("node", "n", F.ceil(F.col("n") / max(each, 1)).alias("weight"), F.spark_partition_id().alias("part"))
+    laid = written(laid.mapInPandas(run, "node binary, n int, weight bigint, part int, through bigint"), "laid")
+    sums = dict(laid.groupBy("part").agg(F.max("through")).collect())
+    begins, total = [0] * (max(sums, default=0) + 1), 0
+    for p in sorted(sums):
+        begins[p], total = total, total + sums[p]
+    start = F.element_at(long_array(begins), F.col("part") + 1) + F.col("through") - F.col("weight")
+    return laid.select("node", "n", F.floor(start / BLOCK).cast("bigint").alias("block"))
 
 
 def block_links(threshold: float):
