@@ -1,10 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Documents fall into partitions by the size of their shingle set. In a partition for up to u shingles a signature has a
-fixed number of bins in proportion to u, each with the smallest hash that falls into it; test items are signed with the
-bins of every partition. However long a document is, a short item that it contains then shares bins with it, and the
-bins in proportion to u are chosen so that an item at the threshold is met with the wanted recall. Items met are
-verified by exact containment of their shingles in the document's.
+Test items fall into partitions by the size of their shingle set, within a factor of two, and so do documents. For
+documents of up to u shingles and items of s or more a signature has a fixed number of bins in proportion to u, each with
+the smallest hash that falls into it; the fewer, the larger s is. However long a document is, a short item that it
+contains shares bins with it, and the bins are chosen so that an item at the threshold is met with the wanted recall:
+a few long items do not need the many bins that one short item does. Items met are verified by exact containment of
+their shingles in the document's.
 
 Signatures and shingles of the items are sent to all executors in blocks of at most ``BLOCK_SHINGLES``, so what is
 broadcast has a fixed bound; a larger set of items is searched in several blocks. Documents are not shuffled.
@@ -84,7 +85,7 @@ def is_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """Finds the items of a block in documents."""
+    """Finds the items of one partition in documents."""
 
     def __init__(self, items: Items, threshold: float, recall: float):
         self.items, self.threshold, self.recall, self.partitions = items, threshold, recall, {}
@@ -97,8 +98,7 @@ class Searcher:
         return self.partitions[size_bits]
 
     def find(self, shingles: np.ndarray) -> list[tuple[int, float]]:
-        if not len(shingles):
-            return []
+        """(item, containment) of the items in a document's shingles."""
         bits, signed = self.partition(int(len(shingles) - 1).bit_length())
         met = signature(shingles, bits)
         met = met[is_in(met, signed)]
@@ -108,10 +108,29 @@ class Searcher:
         owners_of = lambda h: np.concatenate([items.owners[a:b] for a, b in zip(np.searchsorted(items.hashes, h), np.searchsorted(items.hashes, h, "right"), strict=True)])
         candidates = set(owners_of(met).tolist())
         common = Counter(owners_of(shingles[is_in(shingles, self.every)]).tolist())
-        return [(k, common[k] / items.sizes[k]) for k in sorted(candidates) if common[k] >= self.threshold * items.sizes[k] - 1e-9]
+        least = self.threshold * items.sizes - 1e-9
+        return [(items.ids[k], common[k] / items.sizes[k]) for k in sorted(candidates) if common[k] >= least[k]]
+
+
+class Search:
+    """Finds the items of a block in documents, partition by partition."""
+
+    def __init__(self, block: list[Items], threshold: float, recall: float):
+        self.parts = [Searcher(items, threshold, recall) for items in block]
+
+    def find(self, shingles: np.ndarray) -> list[tuple]:
+        return [found for part in self.parts for found in part.find(shingles)] if len(shingles) else []
+
+
+def by_size(rows: list[tuple], threshold: float) -> list[Items]:
+    """A block's items in partitions whose sizes differ by less than a factor of two."""
+    sizes: dict[int, list[tuple]] = {}
+    for row in rows:
+        sizes.setdefault(len(row[1]).bit_length(), []).append(row)
+    return [Items.of(sizes[k], threshold) for k in sorted(sizes)]
 
 
-def item_blocks(items: DataFrame, threshold: float, key: str) -> Iterator[Items]:
+def item_blocks(items: DataFrame, threshold: float, key: str) -> Iterator[list[Items]]:
     """Test items in blocks that a broadcast can hold. They stream through the driver; it keeps one block at a time."""
     shingler, block, held = Shingler(), [], 0
     for item_id, text in items.select(key, text_of()).toLocalIterator():
@@ -119,12 +138,12 @@ def item_blocks(items: DataFrame, threshold: float, key: str) -> Iterator[Items]
         if len(shingler.words(text)) < WIDTH:
             continue
         if block and held + len(shingles) > BLOCK_SHINGLES:
-            yield Items.of(block, threshold)
+            yield by_size(block, threshold)
             block, held = [], 0
         block.append((item_id, shingles))
         held += len(shingles)
     if block:
-        yield Items.of(block, threshold)
+        yield by_size(block, threshold)
 
 
 def search(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -132,13 +151,14 @@ def search(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: f
     spark, source = docs.sparkSession, docs.select("doc_id", text_of().alias("text"))
     schema = f"doc_id bigint, {key} bigint, containment double"
 
-    def searched(block: Items) -> DataFrame:
+    def searched(block: list[Items]) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            shingler, searcher = Shingler(), Searcher(sent.value, threshold, recall)
+            shingler, searcher = Shingler(), Search(sent.value, threshold, recall)
             for batch in batches:
-                out = [(doc_id, sent.value.ids[k], share) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True) for k, share in searcher.find(shingler.read(text))]
+                each = zip(batch["doc_id"], batch["text"], strict=True)
+                out = [(doc_id, item, share) for doc_id, text in each for item, share in searcher.find(shingler.read(text))]
                 yield pd.DataFrame(out, columns=["doc_id", key, "containment"])
 
         return source.mapInPandas(rows, schema)
@@ -160,7 +180,7 @@ def clean_of(sent, threshold: float, recall: float):
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shingler, searcher = Shingler(), Searcher(sent.value, threshold, recall)
+        shingler, searcher = Shingler(), Search(sent.value, threshold, recall)
         for texts in batches:
             yield texts.map(lambda t: not searcher.find(shingler.read(t))).astype(bool)
 
