@@ -6,13 +6,16 @@ bytes has an anchor, the least hash among its ``GRAM``-byte substrings. Equal wi
 places, so the suffixes that can agree on ``length`` bytes meet in one group. Neighbouring windows of a document mostly
 share an anchor and travel as one slice.
 
-* Slices that occur twice as a whole are repeated throughout; counting their hashes shows this, no bytes move.
-* The different slices of an anchor are laid end to end and their suffixes ranked by prefix doubling up to ``length``.
-  In suffix order equal windows are neighbours, and a window is repeated if its run of equal ones has others. These runs
-  stand in for longest-previous-factor arrays, which are not computed: at a fixed length it only matters whether a
-  factor reaches ``length``, and that holds for all but the first position of each run.
+* Copies of a slice are known by counting their hashes, no bytes move: at each window of a later copy the longest
+  previous factor reaches ``length``, as the earlier copy holds it.
+* The different slices of an anchor are laid end to end in corpus order and their suffixes sorted by prefix doubling up
+  to ``length``. Previous and next smaller positions in suffix order give the longest previous factor of each window,
+  up to ``length``, and where that earlier match is. A window whose factor reaches ``length`` is a later copy; it and
+  its earlier match are repeated.
 * An anchor with more than ``CROWD`` different slices has its windows grouped one by one by their hashes.
 
+Joins by anchor have no aggregation in their stage, so that adaptive execution can split the partition of a hot one.
+
 ``removed`` takes out every copy (``keep_first=False``) or all but the first in ascending (doc_id, hash, offset).
 
 Defined results: null counts as empty. Texts shorter than ``length`` stay whole. Rows that repeat doc_id and text are
@@ -69,32 +72,69 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterato
         yield from zip(keys.tolist(), (cut + begin).tolist(), (np.append(cut[1:], len(at)) - 1 + begin).tolist(), strict=True)
 
 
-def window_classes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts in suffix order (equal ones by position), and where runs of equal windows begin in it."""
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray]:
+    """Window starts in suffix order (equal windows by position), the ranks of all substrings by width, and the eight
+    bytes at each place as a number."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(2 * length, np.uint8)]).astype(np.uint64)
-    rank = np.zeros(n + length, np.uint64)
+    eight = np.zeros(n + length, np.uint64)
     for k in range(8):
-        rank = (rank << np.uint64(8)) | padded[k : k + n + length]
-    width = 8
-    rank = ranks(rank)
+        eight = (eight << np.uint64(8)) | padded[k : k + n + length]
+    width, rank = 8, ranks(eight)
+    levels = [(width, rank)]
     while 2 * width <= length:
-        rank = ranks((rank[:-width] << np.uint64(32)) | rank[width:])
+        rank = ranks((rank[:-width].astype(np.uint64) << np.uint64(32)) | rank[width:])
         width *= 2
-    own = (rank[starts] << np.uint64(32)) | rank[starts + length - width]
-    order = np.lexsort((starts, own))
-    sorted_own = own[order]
-    return order, np.flatnonzero(np.concatenate([[True], sorted_own[1:] != sorted_own[:-1]]))
+        levels.append((width, rank))
+    own = (rank[starts].astype(np.uint64) << np.uint64(32)) | rank[starts + length - width]
+    return np.argsort(own, kind="stable"), levels, eight
 
 
 def ranks(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys)
     ordered = keys[order]
-    number = np.empty(len(keys), np.uint64)
-    number[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.uint64)
+    number = np.empty(len(keys), np.uint32)
+    number[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
     return number
 
 
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """For each place of a permutation the nearest place before it with a smaller value, -1 if there is none."""
+    found = np.arange(-1, len(x) - 1)
+    todo = np.flatnonzero(x[found] > x)
+    todo = todo[todo > 0]
+    while len(todo):  # what lies between a place and its candidate is larger, so the candidate's own may be taken over
+        found[todo] = found[found[todo]]
+        todo = todo[found[todo] >= 0]
+        todo = todo[x[found[todo]] > x[todo]]
+    return found
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]], eight: np.ndarray, length: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at ``a`` and ``b``, up to ``length``."""
+    size = np.zeros(len(a), np.int64)
+    for width, rank in reversed(levels):
+        size += width * (rank[a + size] == rank[b + size])
+    rest = eight[a + size] ^ eight[b + size]
+    size += sum((rest >> np.uint64(64 - 8 * k) == 0).astype(np.int64) for k in range(1, 8))
+    return np.minimum(size, length)
+
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the longest previous factor among the windows before it, up to ``length``, and the number of the
+    window where that match is (-1 without one)."""
+    order, levels, eight = suffix_order(data, starts, length)
+    factor, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    before, after = previous_smaller(order), len(order) - 1 - previous_smaller(order[::-1])[::-1]
+    for near in (before, after):
+        known = np.flatnonzero((near >= 0) & (near < len(order)))
+        here, there = order[known], order[near[known]]
+        size = common_prefix(starts[here], starts[there], levels, eight, length)
+        better = size > factor[here]
+        factor[here[better]], source[here[better]] = size[better], there[better]
+    return factor, source
+
+
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     """First and last place of each run of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype("i1"), [0]])))
@@ -109,11 +149,10 @@ def rank_slices(slices: list[bytes], length: int) -> list[tuple[list[tuple[int,
     windows = sizes - length + 1
     owner = np.repeat(np.arange(len(slices)), windows)
     starts = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + begin[owner]
-    order, first = window_classes(data, starts, length)
-    size = np.diff(np.append(first, len(order)))
-    repeated, later = np.zeros(len(starts), bool), np.ones(len(starts), bool)
-    repeated[order] = np.repeat(size > 1, size)
-    later[order[first]] = False
+    factor, source = longest_previous(data, starts, length)
+    later = factor >= length
+    repeated = later.copy()
+    repeated[source[later]] = True
     ends = np.cumsum(windows)
     return [(runs(repeated[e - w : e]), runs(later[e - w : e])) for e, w in zip(ends, windows, strict=True)]
 
@@ -180,7 +219,7 @@ def spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     met = written(seen.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select("key"), "keys")
     seen = written(seen.join(met, "key"), "met")
     kinds = written(seen.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct("doc_id", "h", "first", "last")).alias("own")), "slices")
-    several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    several = written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several")
     cut = kinds.join(several, "key").select("key", "slice", "kinds", "own.*")
     bytes_of = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + length)
     texts = written(docs.alias("d").join(seen.select("doc_id", "h").distinct().alias("s"), same("d", "s"), "left_semi"), "texts")

@@ -71,7 +71,30 @@ def test_suffix_order(prose):
     data = np.frombuffer((prose(60, 1) * 2 + "aaaa" * 60).encode(), np.uint8)
     for length in (16, 21, 100):
         starts = np.arange(len(data) - length + 1)
-        order, first = suffixes.window_classes(data, starts, length)
+        order = suffixes.suffix_order(data, starts, length)[0]
         raw = data.tobytes()
         assert [raw[p : p + length] for p in order] == sorted(raw[p : p + length] for p in starts)
-        assert len(first) == len({raw[p : p + length] for p in starts})
+        assert order.tolist() == sorted(starts.tolist(), key=lambda p: (raw[p : p + length], p))
+
+
+def test_smaller_positions():
+    rng = np.random.default_rng(2)
+    for x in (rng.permutation(300), np.arange(50), np.arange(50)[::-1], np.array([0]), np.array([1, 0])):
+        want = [max((k for k in range(i) if x[k] < x[i]), default=-1) for i in range(len(x))]
+        assert suffixes.previous_smaller(x).tolist() == want
+
+
+@pytest.mark.parametrize("length", [16, 21, 100])
+def test_longest_previous_factor(prose, length):
+    """Against all pairs of windows: the factor is exact up to the length, and the match it names has it."""
+    a, b = prose(30, 1), prose(20, 2)
+    data = np.frombuffer((a + b + a[:90] + "x" * 130 + b[20:] + a + "x" * 120).encode(), np.uint8)
+    raw, starts = data.tobytes(), np.concatenate([np.arange(0, 150), np.arange(160, len(data) - length + 1)])
+    factor, source = suffixes.longest_previous(data, starts, length)
+
+    def common(p, q):
+        return next((k for k in range(length) if raw[p + k] != raw[q + k]), length)
+
+    for i, p in enumerate(starts):
+        assert factor[i] == max((common(p, q) for q in starts[:i]), default=0)
+        assert factor[i] == 0 or source[i] < i and common(p, starts[source[i]]) == factor[i]
