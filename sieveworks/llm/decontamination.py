@@ -188,4 +188,5 @@ def clean_of(sent, threshold: float, recall: float):
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document contains."""
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -271,4 +271,5 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class and its number of links."""
     return classes(table(spark, sf_dir, "documents"))

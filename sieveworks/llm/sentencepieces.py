@@ -318,4 +318,5 @@ def decode(df: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
 
 
 def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, and whether they decode to its text."""
     return encode(table(spark, sf_dir, "documents"))

@@ -2,7 +2,8 @@
 
 Every record hashes by its key into one of ``SLOTS`` virtual slots, for good. Bytes and rows are summed per slot,
 and a versioned slot-to-shard map, edited when the load shifts, says where each slot lives. Only DataFrame functions
-touch the records; the map itself has ``SLOTS`` entries whatever the size of the corpus, so the driver plans it.
+touch the records; the map itself has ``SLOTS`` entries whatever the size of the corpus, so the driver plans it. Records go
+by their key alone: equal texts under different keys may lie in different shards, as the law is that of bytes.
 
 Defined results: a null key is a key like any other; a null or empty text has size 1; repeated rows share a virtual
 slot and get different positions in it; an empty table gives an empty result and a balanced map; columns of the input
@@ -125,6 +126,7 @@ def assign(df: DataFrame, slot_map: SlotMap, rows: list[int], key: str = "doc_id
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and place; the map is saved and read back."""
     docs = table(spark, sf_dir, "documents")
     load, rows = slot_sizes(docs, F.octet_length(text_of()) + 1, "doc_id")
     first = SlotMap.initial()

@@ -229,6 +229,7 @@ def read_records(index: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives."""
     root = fresh_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), root)
     return read_archive(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
