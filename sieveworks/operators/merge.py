@@ -52,7 +52,8 @@ def excluded(df: DataFrame, urls: Sequence[str] | DataFrame, normalize_urls: boo
 
 
 def merge_results(
-    sets: Sequence[tuple[DataFrame, float]], deduplicate_by: str | None = None, case_sensitive: bool = False, exclude_urls: Sequence[str] | DataFrame = (), normalize_urls: bool = False, ordered: bool = True,
+    sets: Sequence[tuple[DataFrame, float]], deduplicate_by: str | None = None, case_sensitive: bool = False,
+    exclude_urls: Sequence[str] | DataFrame = (), normalize_urls: bool = False, ordered: bool = True,
 ) -> DataFrame:
     """Union, then the best row of each key, then exclusion (an excluded row still stands for its duplicates), best first."""
     df = weighted(sets)
@@ -63,14 +64,20 @@ def merge_results(
 
 
 def merge_stats(
-    sets: Sequence[tuple[DataFrame, float]], deduplicate_by: str | None = None, case_sensitive: bool = False, exclude_urls: Sequence[str] | DataFrame = (), normalize_urls: bool = False,
+    sets: Sequence[tuple[DataFrame, float]], deduplicate_by: str | None = None, case_sensitive: bool = False,
+    exclude_urls: Sequence[str] | DataFrame = (), normalize_urls: bool = False,
 ) -> DataFrame:
     """One row: weight and input_count of each set, total_before_dedup, total_after_dedup, excluded_count."""
     df = weighted(sets)
     counted = df.groupBy().agg(*[F.count(F.when(F.col("set_id") == k, 1)).alias(f"_{k}") for k in range(len(sets))], F.count(F.lit(1)).alias("total_before_dedup"))
     kept = df if deduplicate_by is None else keep_first(df, dedup_key(deduplicate_by, case_sensitive, normalize_urls))
-    after = kept.agg(F.count(F.lit(1)).alias("total_after_dedup"))
-    left = excluded(kept, exclude_urls, normalize_urls).agg(F.count(F.lit(1)).alias("_left"))
-    one = counted.join(after).join(left)  # one row each
+    key = kept.select(url_key(F.col("url"), normalize_urls).alias("_out"))
+    if isinstance(exclude_urls, DataFrame):
+        hit = key.join(exclude_urls.select(url_key(F.col("url"), normalize_urls).alias("_out")).distinct().withColumn("_hit", F.lit(1)), "_out", "left")
+    else:
+        out = [url_key(F.lit(u), normalize_urls) for u in exclude_urls]
+        hit = key.withColumn("_hit", F.when(F.col("_out").isin(out) if out else F.lit(False), F.lit(1)))
+    after = hit.agg(F.count(F.lit(1)).alias("total_after_dedup"), F.count("_hit").alias("excluded_count"))
+    one = counted.join(after)  # one row each
     shown = F.array(*[F.struct(F.lit(float(w)).alias("weight"), F.col(f"_{k}").alias("input_count")) for k, (_, w) in enumerate(sets)])
-    return one.select(shown.alias("sets"), "total_before_dedup", "total_after_dedup", (F.col("total_after_dedup") - F.col("_left")).alias("excluded_count"))
+    return one.select(shown.alias("sets"), "total_before_dedup", "total_after_dedup", "excluded_count")

@@ -525,7 +525,10 @@ def get_prompt(spark, sf_dir):
     return templates.templates_frame(spark).filter(F.contains("template", F.lit("{SITE_NAME}"))).select("prompt_name")
 
 
-@query("describe", "SELECT * FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[4]}', '{r[5]}')" for r in manifest.FUNCTIONS) + ") t(name, input_type, output_type)")
+@query("describe", """SELECT * FROM (VALUES ('score_results', 'json', 'json'), ('merge_results', 'json', 'json'), ('match_priority_pages', 'json', 'json'),
+  ('parse_expansion', 'string', 'json'), ('batch_score_results', 'json', 'json'), ('resolve_prompt', 'json', 'string'), ('get_prompt', 'string', 'string'),
+  ('extract_context', 'json', 'string'), ('batch_extract_context', 'json', 'json'), ('sanitize_query', 'json', 'string'), ('truncate_conversation', 'json', 'json'),
+  ('version', 'none', 'string'), ('describe', 'none', 'json')) t(name, input_type, output_type)""")
 def describe(spark, sf_dir):
     return manifest.describe(spark).select("name", "input_type", "output_type")
 
