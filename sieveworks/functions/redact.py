@@ -18,8 +18,12 @@ ADDRESS = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 
 def steps(config: SanitizeConfig) -> list[tuple[str, str]]:
     """Card before phone, as 16 digits hold 10."""
-    wanted = ((config.redact_credit_card, CARD, "[CC]"), (config.redact_ssn, SSN, "[SSN]"), (config.redact_email, EMAIL, "[EMAIL]"), (config.redact_phone, PHONE, "[PHONE]"), (config.redact_ip, ADDRESS, "[IP]"))
-    return [(f"(?U){pattern}", token) for on, pattern, token in wanted if on] + [(f"(?U){p}", java_replacement(r)) for p, r in config.custom_patterns if compiles(p)]
+    wanted = (
+        (config.redact_credit_card, CARD, "[CC]"), (config.redact_ssn, SSN, "[SSN]"), (config.redact_email, EMAIL, "[EMAIL]"),
+        (config.redact_phone, PHONE, "[PHONE]"), (config.redact_ip, ADDRESS, "[IP]"),
+    )
+    own = [(p, java_replacement(r)) for p, r in config.custom_patterns if compiles(p)]
+    return [(f"(?U){pattern}", token) for pattern, token in [*((p, t) for on, p, t in wanted if on), *own]]
 
 
 def compiles(pattern: str) -> bool:

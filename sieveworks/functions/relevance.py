@@ -82,7 +82,8 @@ def priority_excerpt(pages, url: Column, excerpt: Column, query: Column | None =
 
 
 def composite(
-    terms: Terms, config: ScoringConfig, priority: Column, days: Column, primary: Terms | None = None, phrase: bool = True, title: str = "title", excerpt: str = "excerpt", score: str = "score", weight: str = "source_weight", locations: str = "locations",
+    terms: Terms, config: ScoringConfig, priority: Column, days: Column, primary: Terms | None = None, phrase: bool = True,
+    title: str = "title", excerpt: str = "excerpt", score: str = "score", weight: str = "source_weight", locations: str = "locations",
 ) -> Column:
     """Weighted base score plus title, content, recency and priority boosts. A missing or non-positive base counts as 1.
 

@@ -38,7 +38,11 @@ def bodies(language: str = "en", config: ScoringConfig = ScoringConfig()) -> dic
         "sw_recency": ("t STRING, as_of DATE", "DOUBLE", recency),
         "sw_url_key": ("t STRING", "STRING", f"CASE WHEN instr({bare}, '/') > 0 THEN concat(lower(substring_index({bare}, '/', 1)), substring({bare}, instr({bare}, '/'))) ELSE lower({bare}) END"),
         "sw_sanitize": ("t STRING", "STRING", cleaned),
-        "sw_first_sentences": ("t STRING, n INT", "STRING", f"CASE WHEN length(t) <= n THEN t ELSE concat(substring(t, 1, greatest(n - {context.LOOK_BACK}, 0)), regexp_extract(substring(t, greatest(n - {context.LOOK_BACK}, 0) + 1, least(n, {context.LOOK_BACK})), {quoted(context.SENTENCE)}, 1)) END"),
+        "sw_first_sentences": (
+            "t STRING, n INT", "STRING",
+            f"CASE WHEN length(t) <= n THEN t ELSE concat(substring(t, 1, greatest(n - {context.LOOK_BACK}, 0)), regexp_extract("
+            f"substring(t, greatest(n - {context.LOOK_BACK}, 0) + 1, least(n, {context.LOOK_BACK})), {quoted(context.SENTENCE)}, 1)) END",
+        ),
     }
 
 

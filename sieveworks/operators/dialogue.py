@@ -25,7 +25,9 @@ def running(df: DataFrame, conv: str, turn: str, values: dict[str, Column]) -> D
     return joined.withColumns({n: F.col(f"_i_{n}") + F.col(f"_o_{n}") for n in values}).drop("_block", "_c", "_b", *[f"_{k}_{n}" for k in "io" for n in values])
 
 
-def truncate_conversation(df: DataFrame, config: ConversationConfig = ConversationConfig(), conv: str = "conv_id", turn: str = "turn", content: str = "content") -> DataFrame:  # noqa: B008
+def truncate_conversation(
+    df: DataFrame, config: ConversationConfig = ConversationConfig(), conv: str = "conv_id", turn: str = "turn", content: str = "content"  # noqa: B008
+) -> DataFrame:
     """Drop the oldest groups of ``removal_unit`` turns behind the first ``preserve_first_n`` until the rest fits.
 
     A turn stays if the preserved ones and all from its group on fit together; that sum falls from group to group, so this is

@@ -269,4 +269,5 @@ def version(spark: SparkSession) -> str:
 
 def describe(spark: SparkSession) -> str:
     rows = manifest.describe(spark).collect()
-    return _dump({"name": "sieveworks", "version": manifest.version(), "interface_version": manifest.INTERFACE_VERSION, "functions": {r["name"]: {f: r[f] for f in manifest.FIELDS[1:]} for r in rows}})
+    functions = {r["name"]: {f: r[f] for f in manifest.FIELDS[1:]} for r in rows}
+    return _dump({"name": "sieveworks", "version": manifest.version(), "interface_version": manifest.INTERFACE_VERSION, "functions": functions})
