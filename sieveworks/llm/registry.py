@@ -13,6 +13,12 @@ from .suffixes import op9_suffix_dedup
 from .toxicity import op8_toxicity
 from .warc import OP1_SQL, op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_sharding, op3_ngram_jaccard, op4_fingerprints, op5_sentencepieces, op6_language_model, op7_secret_scan, op8_toxicity, op9_suffix_dedup, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_sharding, op3_ngram_jaccard, op4_fingerprints, op5_sentencepieces,
+        op6_language_model, op7_secret_scan, op8_toxicity, op9_suffix_dedup, op10_decontamination,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}

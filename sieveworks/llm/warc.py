@@ -186,7 +186,10 @@ def described(data: bytes, at: int) -> tuple[tuple, bytes | None, int]:
 
 
 def read_batches(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int32())])
+    schema = pa.schema([
+        ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
+        ("refers_to", pa.int64()), ("url", pa.string()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int32()),
+    ])
     store, folder = pa.fs.FileSystem.from_uri(f"{root}/bundles")
     for batch in batches:
         for name in batch.column(0).to_pylist():
@@ -222,7 +225,9 @@ def read_records(index: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
                 for offset in x["offsets"]:
                     found, body, _ = described(data, offset)
                     rows.append((found[0], found[3], found[4], body))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["page_id", "record_type", "refers_to", "payload"])
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "record_type", "refers_to", "payload"])
 
     frames = index.join(wanted.select("page_id").distinct(), "page_id").groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))
     return frames.mapInArrow(fetch, "page_id bigint, record_type string, refers_to bigint, payload binary")
