@@ -6,9 +6,11 @@ change by one in and one out, so its Shannon entropy is kept up to date in const
 run of a class where that is shorter. A run with a window above the threshold is a span of kind ``entropy`` as a whole,
 unless an allow-list pattern matches the candidate or a base span already covers the run.
 
-Lower-case and upper-case alphanumerics are classes of their own: their threshold, as that of shrunk windows, is three
-standard deviations below the mean entropy of random strings of the class's alphabet and the window's length. As words
-with a number in them reach it too, such runs must change between cases, digits and other signs a few times.
+Lower-case and upper-case alphanumerics and mixed letters are classes of their own: their threshold, as that of shrunk
+windows, is three standard deviations below the mean entropy of random strings of the class's alphabet and the window's
+length. As words with a number in them reach it too, such runs must change between cases, digits and other signs a few
+times; runs of letters alone, which names put together from words resemble, at a share ``LETTER_CHANGES`` of their
+places. Letters of one case alone are taken for words, whatever their entropy: long words reach that of random letters.
 
 Defined results: null counts as empty; offsets are code points, ends exclusive; a text without spans has an empty
 ``spans`` and the digest of the empty string; repeated rows and repeated ids each get their row; any other column is
@@ -44,10 +46,11 @@ CLASSES = (
 )
 #: Candidates that are not secrets: words, plain numbers, UUIDs, paths and dashed or underscored words.
 ALLOWED = (
-    re.compile(r"[A-Za-z]+"), re.compile(r"[0-9+/_=-]+"),
+    re.compile(r"[a-z]+"), re.compile(r"[A-Z]+"), re.compile(r"[0-9+/_=-]+"),
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]*([/_=+-]+([A-Za-z]+|[0-9]{1,8}))*[/_=+-]*"),
+    re.compile(r"[A-Za-z]*([/_=+-]+([A-Za-z]+|[0-9]{1,8}))+[/_=+-]*"),
 )
+LETTERS, LETTER_CHANGES = re.compile(r"[A-Za-z]{20,}"), 0.36
 
 
 @lru_cache(maxsize=None)
@@ -72,11 +75,11 @@ def changes(text: str) -> int:
     return sum(a != b for a, b in zip(kinds, kinds[1:]))
 
 
-def window_spans(text: str, width: int, least: float) -> list[tuple[int, int]]:
-    """Unions of the windows of ``width`` characters whose entropy is at least ``least``."""
+def window_entropies(text: str, width: int) -> Iterator[float]:
+    """Entropy in bits of each window of ``width`` characters, kept up to date by one in and one out."""
     weigh = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]  # one comes in before one goes out
     counts: dict[str, int] = {}
-    total, spans = 0.0, []
+    total, most = 0.0, math.log2(width)
     for i, char in enumerate(text):
         n = counts.get(char, 0)
         total += weigh[n + 1] - weigh[n]
@@ -86,33 +89,49 @@ def window_spans(text: str, width: int, least: float) -> list[tuple[int, int]]:
             n = counts[old]
             total += weigh[n - 1] - weigh[n]
             counts[old] = n - 1
-        if i >= width - 1 and math.log2(width) - total / width >= least - 1e-9:
-            start = i - width + 1
+        if i >= width - 1:
+            yield most - total / width
+
+
+def window_spans(text: str, width: int, least: float) -> list[tuple[int, int]]:
+    """Unions of the windows of ``width`` characters whose entropy is at least ``least``."""
+    spans: list[tuple[int, int]] = []
+    for start, bits in enumerate(window_entropies(text, width)):
+        if bits >= least - 1e-9:
             if spans and start <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], i + 1)
+                spans[-1] = (spans[-1][0], start + width)
             else:
-                spans.append((start, i + 1))
+                spans.append((start, start + width))
     return spans
 
 
+def is_hot(text: str, letters: int, window: int, fixed: float | None, least_changes: float) -> bool:
+    """Whether any window of the run reaches the threshold of its class."""
+    width = min(window, len(text))
+    own = fixed is None or width < window
+    if own and changes(text) < least_changes:
+        return False
+    least = random_least(letters, width) if own else fixed
+    return any(bits >= least - 1e-9 for bits in window_entropies(text, width))
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     found = []
     for candidate in CANDIDATE.finditer(text):
         whole = candidate.group()
         if any(a.fullmatch(whole) for a in ALLOWED):
             continue
+        begin = candidate.start()
+        if LETTERS.fullmatch(whole):
+            if is_hot(whole, 52, 24, None, LETTER_CHANGES * len(whole)):
+                found.append((begin, begin + len(whole)))
+            continue
         for _, runs, letters, window, fixed, least_changes in CLASSES:
             for run in runs.finditer(whole):
-                at = candidate.start() + run.start()
                 part = run.group()
-                if not (any(c.isdigit() for c in part) and any(c.isalpha() for c in part)):
-                    continue
-                width = min(window, len(part))
-                own = fixed is None or width < window
-                if own and changes(part) < least_changes:
-                    continue
-                if window_spans(part, width, random_least(letters, width) if own else fixed):
-                    found.append((at, at + len(part)))
+                mixed = any(c.isdigit() for c in part) and any(c.isalpha() for c in part)
+                if mixed and is_hot(part, letters, window, fixed, least_changes):
+                    found.append((begin + run.start(), begin + run.end()))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a <= merged[-1][1]:
@@ -136,8 +155,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans."""
-    base = base_spans(text)
-    extra = [(a, 3, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
+    base, extra, at, covered = base_spans(text), [], 0, 0
+    for a, b in entropy_spans(text):  # both by start, so one pass tells which are within a base span
+        while at < len(base) and base[at][0] <= a:
+            covered = max(covered, base[at][2])
+            at += 1
+        if b > covered:
+            extra.append((a, 3, b))
     return base, sorted(base + extra)
 
 
@@ -184,4 +208,5 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
     return scan(table(spark, sf_dir, "documents"))

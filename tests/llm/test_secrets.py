@@ -75,3 +75,35 @@ def test_words_are_no_keys():
 def test_whole_run_is_redacted():
     key = "q9Zr4TxV7bLm2KpWc8NsYd3F"
     assert ss.redacted(f"see {key}aaaaaaaaaaaaaaaaaaaaaaaa here") == ("see [SECRET] here", 1)
+
+
+def test_keys_of_letters_and_names_of_words():
+    rng, letters = random.Random(6), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n, least in ((20, 0.75), (32, 0.85), (64, 0.93)):
+        hits = [ss.entropy_spans(f"see {''.join(rng.choices(letters, k=n))} here") for _ in range(400)]
+        assert all(spans in ([], [(4, 4 + n)]) for spans in hits) and sum(map(bool, hits)) >= 400 * least
+    for name in ("getHttpServletRequestContextPath", "ConfigurationPropertiesBeanFactory", "HTMLTableSectionElementImpl", "XMLHttpRequestEventTargetImpl"):
+        assert ss.entropy_spans(name) == [], name
+
+
+def test_planted_keys_in_documents(spark, frame, prose):
+    """Keys that no base pattern knows: nearly all are found, and nothing in the prose around them."""
+    rng, alphabet = random.Random(8), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, planted = [], {}
+    for k in range(300):
+        before, key = prose(rng.randrange(1, 80), k), "".join(rng.choices(alphabet, k=rng.choice((24, 32, 40))))
+        if k % 2:
+            planted[k] = f"entropy:{len(before) + 1}:{len(before) + 1 + len(key)}"
+        rows.append((k, f"{before} {key} {prose(9, k)}" if k % 2 else before))
+    out = {r["doc_id"]: r["spans"] for r in ss.scan(frame(rows)).collect()}
+    assert sum(out[k] == span for k, span in planted.items()) >= 0.93 * len(planted)
+    assert all(not out[k] for k, _ in rows if k not in planted)
+
+
+def test_covered_spans_by_brute_force():
+    rng, parts = random.Random(9), ["token=", " ", "q9Zr4TxV7bLm2KpWc8NsYd3F", "0123456789abcdef01234567", "AKIA", "x", "_", "deadBEEF0123456789abcdef"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(12))
+        base = ss.base_spans(text)
+        want = [(a, 3, b) for a, b in ss.entropy_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
+        assert ss.spans_of(text) == (base, sorted(base + want))
