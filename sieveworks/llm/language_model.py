@@ -8,7 +8,9 @@ up on about ``WARM_TOKENS`` tokens, then every partition goes on from there over
 results are averaged, weighted by tokens (parameters meet by index, not on the driver). Scoring carries the state
 across the windows of a document too, so a score is that of the complete text.
 
-Counts of the ``HEAD`` most frequent tokens are broadcast; the rest are joined.
+Counts of the ``HEAD`` most frequent tokens are broadcast, those of long ones within ``LONG_BYTES``; the rest are joined.
+The bounds move work, not results: counts are exact either way. The weights do depend on how the rows lie in partitions,
+as each goes over its own rows before the average; the same table in the same partitions gives the same scores.
 
 Defined results: null counts as empty, which is one end token. A null doc_id is a training row. Repeated rows each
 count and each get their row. Without any training token all counts are zero and the weights stay as they begin. Other
@@ -33,8 +35,8 @@ END = b""
 CLASSES, PER_CLASS, HIDDEN = 16, 32, 16
 TAILS = 64
 WORDS = CLASSES * PER_CLASS - TAILS
-#: Counts that are broadcast, of tokens of up to HEAD_BYTES; and the bound of the warm-up.
-HEAD, HEAD_BYTES, WARM_TOKENS = 1 << 17, 64, 1_000_000
+#: Counts that are broadcast, of tokens of up to HEAD_BYTES; bytes of frequent longer tokens; and the bound of the warm-up.
+HEAD, HEAD_BYTES, LONG_BYTES, WARM_TOKENS = 1 << 17, 64, 1 << 22, 1_000_000
 WINDOW, WARM_LANES, LANES = 32, 32, 512
 #: Tokens scored side by side; many documents at once keep the lanes full while the longest end.
 SCORE_TOKENS = 1 << 21
@@ -75,17 +77,22 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def head_of(counts: DataFrame) -> DataFrame:
-    """At most HEAD of the most frequent tokens: those from a count on. It is read off the numbers of tokens by size of
-    count, of which there are a few hundred, so no task sorts all tokens and the driver gets no more than the head."""
-    short = counts.filter(F.octet_length("token") <= HEAD_BYTES)
-    step = F.floor(F.log2("c") * 16)
-    sizes = sorted(short.groupBy(step.alias("s")).count().collect(), reverse=True)
-    held, least = 0, None
-    for size, n in sizes:
-        if held + n > HEAD:
-            break
-        held, least = held + n, size
-    return short.filter(step >= least) if least is not None else short.filter(F.lit(False))
+    """At most HEAD of the most frequent tokens: those from a count on; and longer ones, as a rule of dashes, up to
+    LONG_BYTES. Both are read off the numbers of tokens by size of count, of which there are a few hundred, so no task
+    sorts all tokens and the driver gets no more than the head. The end is among them in any case."""
+    step, short = F.floor(F.log2("c") * 16), F.octet_length("token") <= HEAD_BYTES
+    weight = F.when(short, F.lit(1)).otherwise(F.octet_length("token"))
+    sizes = counts.groupBy(short.alias("short"), step.alias("s")).agg(F.sum(weight).alias("w")).collect()
+    head = F.col("token") == F.lit(END)
+    for kind, most in ((True, HEAD), (False, LONG_BYTES)):
+        held, least = 0, None
+        for _, size, weight in sorted((r for r in sizes if r["short"] == kind), key=lambda r: -r["s"]):
+            if held + weight > most:
+                break
+            held, least = held + weight, size
+        if least is not None:
+            head = head | ((short == kind) & (step >= least))
+    return counts.filter(head)
 
 
 @dataclass
@@ -109,9 +116,9 @@ class Lexicon:
             sums[tail] += c
         top = head_of(counts).orderBy(F.octet_length("token") > 0, F.desc("c"), "token").toArrow()  # the end first
         names, count = top.column("token").to_pylist(), top.column("c").to_numpy()
-        if names[:1] != [END]:
+        if names[:1] != [END]:  # without any training row
             names, count = [END, *names], np.append(0, count)
-        unit = np.append([0] * (len(names) - top.num_rows), top.column("tail").to_numpy()).astype(np.int32)
+        unit = np.append([tail_of(END)] * (len(names) - top.num_rows), top.column("tail").to_numpy()).astype(np.int32)
         chosen = min(WORDS, len(names))
         np.subtract.at(mass, unit[:chosen], np.where(count[:chosen] > 0, count[:chosen] + 1, 0))
         np.subtract.at(sums, unit[:chosen], count[:chosen])
@@ -303,29 +310,41 @@ def train_rows(lexicon, weights: np.ndarray, lanes: int, at_once: int):
     return rows
 
 
-TRAINED = "tokens bigint, weights array<double>"
+TRAINED, SUMS = "tokens bigint, weights array<double>", 16
 
 
-def average(trained: DataFrame, size: int, otherwise: np.ndarray) -> np.ndarray:
-    """Mean of the partitions' weights by tokens. Weights are summed by index; ``size`` sums come to the driver."""
-    sums = trained.select(F.posexplode("weights"), "tokens").groupBy("pos").agg((F.sum("col") / F.sum("tokens")).alias("mean")).collect()
-    if not sums:
+def summed(trained: DataFrame) -> DataFrame:
+    """One row for each partition: its sums."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, total = 0, None
+        for batch in batches:
+            for tokens_, weights in batch.itertuples(index=False):
+                seen, total = seen + tokens_, weights if total is None else total + weights
+        if seen:
+            yield pd.DataFrame({"tokens": [seen], "weights": [total]})
+
+    return trained.mapInPandas(add, TRAINED)
+
+
+def average(trained: DataFrame, otherwise: np.ndarray) -> np.ndarray:
+    """Mean of the partitions' weights by tokens. They are summed where they lie, then in ``SUMS`` tasks, whose sums come
+    to the driver."""
+    rows = summed(summed(trained).repartition(SUMS)).collect()
+    if not rows:
         return otherwise
-    out = np.zeros(size, "f4")
-    for pos, mean in sums:
-        out[pos] = mean
-    return out
+    return (sum(np.array(r["weights"]) for r in rows) / sum(r["tokens"] for r in rows)).astype("f4")
 
 
 def train(docs: DataFrame, lexicon: Lexicon, sent) -> np.ndarray:
     texts = docs.select("doc_id", text_of().alias("text"))
     start = Network.begin(lexicon.unit_count).flat
     share = min(1.0, WARM_TOKENS / max(lexicon.total, 1))
-    warm = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("text")
+    warm = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < math.ceil(share * (1 << 40))).select("text")
     once = warm.repartition(1).mapInPandas(train_rows(sent, start, WARM_LANES, 1 << 18), TRAINED)
-    warmed = average(once, len(start), start)
+    warmed = average(once, start)
     parts = written(texts.select("text").mapInPandas(train_rows(sent, warmed, LANES, 1 << 20), TRAINED), "trained")
-    return average(parts, len(start), warmed)
+    return average(parts, warmed)
 
 
 def score_block(net: Network, documents: list[np.ndarray]) -> np.ndarray:
