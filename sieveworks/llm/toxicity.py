@@ -2,15 +2,17 @@
 
 Many weak voters look at a text: single words and word beginnings that stand out in toxic training rows, lexicons of
 them by strength, density patterns, and voters that speak against. A generative label model finds, by expectation
-maximisation, how often each voter is right for either class and which voters repeat one another; a row's label is
-then a probability. A linear classifier learns those probabilities from the counts of the words and beginnings alone,
-and scores every whole text.
+maximisation, how often each voter gives each vote for either class, and which voters depend on one another: a tree of
+most mutual information given the class, so a vote that repeats another adds nothing. The annotator's label is one more
+voter while the model is fitted, with estimated rates; it tells the classes apart. The posterior that the linear
+classifier learns comes from the other votes alone, so a label that no voter supports does not become a target. The
+classifier sees the counts of words and beginnings, and scores every whole text.
 
 The classifier is fitted on a sample of labelled rows of about ``FIT_ROWS``, picked by a hash of doc_id; all rows are
-scored. The label column is the annotator, one voter among the others; it is never an input of a score.
+scored. The label column is never an input of a score.
 
 Defined results: null and empty texts get the score of a text without any word. Labels that are null, or for unknown
-ids, are ignored; of several labels for an id the largest counts. Without labelled rows of both classes every score is
+ids, are ignored; of several labels for an id the largest counts, of several texts the least. Without labelled rows of both classes every score is
 the share of toxic labels, 0 if there are none. Repeated rows get equal scores.
 """
 
@@ -31,8 +33,9 @@ from .common import table, text_of
 FIT_ROWS = 20_000
 #: Words and beginnings that the classifier sees, and those of them that vote on their own.
 MARKERS, VOTERS = 512, 48
-#: How often a label is taken to be right; this anchors the model, whose voters could else agree on another split.
-ANNOTATOR = 0.999
+#: Imagined right labels of either class from which the annotator's rates start, imagined votes for each vote of a parent,
+#: and what a dependency must tell about a vote.
+ANNOTATOR, SMOOTHING, LEAST_BITS = 5.0, 4.0, 0.002
 PREFIXES = range(4, 9)
 KEPT_WORDS = 300_000
 WORD = re.compile(r"\w+")
@@ -53,7 +56,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = known.count()
     share = min(1.0, FIT_ROWS / max(n, 1))
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).drop("doc_id")
     # A text with many copies is one example.
     return sample.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h", "toxic"]).drop("_h")
 
@@ -102,15 +106,6 @@ class TraitReader:
         return found, len(words)
 
 
-def matrix(texts: list[str], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    reader, counts, sizes = TraitReader(names), np.zeros((len(texts), len(names)), "f4"), np.zeros(len(texts), "f4")
-    for row, text in enumerate(texts):
-        found, sizes[row] = reader.read(text)
-        for k, n in found.items():
-            counts[row, k] = n
-    return counts, sizes
-
-
 def votes(counts: np.ndarray, sizes: np.ndarray, strength: np.ndarray) -> np.ndarray:
     """A column for each voter: 1 toxic, 0 clean, -1 no opinion."""
     has = counts > 0
@@ -124,45 +119,82 @@ def votes(counts: np.ndarray, sizes: np.ndarray, strength: np.ndarray) -> np.nda
     return np.stack(columns, 1).astype("i1")
 
 
+def one_hot(ballots: np.ndarray) -> np.ndarray:
+    """Row, voter * 3 + vote + 1."""
+    return np.stack([ballots == v for v in (-1, 0, 1)], 2).reshape(len(ballots), -1).astype("f4")
+
+
+def dependencies(joint: np.ndarray) -> list[int]:
+    """For each voter the one it depends on, -1 for none, from ``joint`` (class, voter, vote, voter, vote): the spanning
+    tree of most mutual information given the class. Pairs that tell less than ``LEAST_BITS`` stay independent."""
+    voters = joint.shape[1]
+    share = joint / joint[:, 0, :, 0, :].sum()
+    by_class = share[:, 0, :, 0, :].sum((1, 2))
+    own = np.einsum("cjvjv->cjv", share)
+    apart = own[:, :, :, None, None] * own[:, None, None, :, :] / by_class[:, None, None, None, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        told = np.where(share > 1e-12, share * np.log2(share / apart), 0.0).sum((0, 2, 4))
+    np.fill_diagonal(told, -1.0)
+    parent, best, link = [-1] * voters, told[0].copy(), np.zeros(voters, int)
+    left = set(range(1, voters))
+    while left:
+        near = max(left, key=lambda j: best[j])
+        left.remove(near)
+        if best[near] >= LEAST_BITS:
+            parent[near] = int(link[near])
+        closer = told[near] > best
+        best[closer], link[closer] = told[near][closer], near
+    return parent
+
+
 @dataclass
 class LabelModel:
-    """For each voter the probability of each vote given the class, and its weight after what other voters repeat."""
+    """A class, and votes that depend on it and on at most one other vote each. ``gain`` is, for each voter, the log odds
+    that its vote adds given its parent's vote; ``right`` how often the annotator gives the class, for either class."""
 
     prior: float
+    parent: list[int]
+    gain: np.ndarray  # voter, parent's vote + 1, vote + 1
     rates: np.ndarray  # voter, class, vote + 1
-    weight: np.ndarray
+    right: tuple[float, float]
 
     @classmethod
-    def fit(cls, ballots: np.ndarray, gold: np.ndarray, rounds: int = 25) -> LabelModel:
-        ballots = np.column_stack([ballots, gold])
-        n, m = ballots.shape
-        shown = np.stack([ballots == v for v in (-1, 0, 1)], 2).astype("f4")
-        weight, belief = np.ones(m), np.clip(gold.astype("f8"), 0.05, 0.95)
+    def fit(cls, ballots: np.ndarray, gold: np.ndarray, rounds: int = 30) -> LabelModel:
+        """Expectation maximisation from the annotator's labels. The annotator is a voter of its own: how often it is
+        right is estimated like the rest, from ``ANNOTATOR`` imagined labels that are."""
+        shown, m = one_hot(ballots), ballots.shape[1]
+        belief = np.where(gold > 0, 0.9, 0.1)
         for _ in range(rounds):
-            prior = float(belief.mean())
-            on, off = np.einsum("i,ijv->jv", belief, shown) + 0.5, np.einsum("i,ijv->jv", 1 - belief, shown) + 0.5
-            rates = np.stack([off / off.sum(1, keepdims=True), on / on.sum(1, keepdims=True)], 1)
-            rates[-1] = [[1e-6, ANNOTATOR, 1 - ANNOTATOR], [1e-6, 1 - ANNOTATOR, ANNOTATOR]]
-            model = cls(prior, rates, weight)
-            # Votes that go together more than the classes explain count as partly one vote.
-            sign = np.where(ballots < 0, 0, 2 * ballots - 1).astype("f8")
-            mean = lambda k: rates[:, k, 2] - rates[:, k, 1]
-            rest = sign - np.outer(1 - belief, mean(0)) - np.outer(belief, mean(1))
-            size = np.sqrt((rest**2).mean(0)) + 1e-9
-            together = np.clip((rest.T @ rest) / n / np.outer(size, size), 0, 1)
-            weight = 1 / np.maximum(1, together.sum(1))
-            weight[-1] = 1.0
-            after = model.belief(ballots)
+            joint = np.stack([(shown * w[:, None]).T @ shown for w in (1 - belief, belief)]).astype("f8").reshape(2, m, 3, m, 3)
+            prior = float(np.clip(belief.mean(), 1e-6, 1 - 1e-6))
+            parent = dependencies(joint)
+            own = np.einsum("cjvjv->jcv", joint) + 0.5
+            rates = own / own.sum(2, keepdims=True)
+            gain = np.zeros((m, 3, 3))
+            for j, k in enumerate(parent):
+                if k < 0:
+                    gain[j] = np.log(rates[j, 1] / rates[j, 0])
+                else:  # where a parent's vote is rare, the voter's own rates stand in
+                    table = joint[:, k, :, j, :] + SMOOTHING * rates[j][:, None, :]
+                    table /= table.sum(2, keepdims=True)
+                    gain[j] = np.log(table[1] / table[0])
+            on, off = float(belief[gold > 0].sum()), float((1 - belief)[gold <= 0].sum())
+            right = ((off + ANNOTATOR) / ((1 - belief).sum() + ANNOTATOR + 1), (on + ANNOTATOR) / (belief.sum() + ANNOTATOR + 1))
+            model = cls(prior, parent, gain, rates, right)
+            after = model.belief(ballots, gold)
             if np.abs(after - belief).max() < 1e-4:
                 break
             belief = after
-        return cls(prior, rates, weight)
-
-    def belief(self, ballots: np.ndarray) -> np.ndarray:
-        odds = np.full(len(ballots), np.log(max(self.prior, 1e-6) / max(1 - self.prior, 1e-6)))
-        gain = np.log(self.rates[:, 1]) - np.log(self.rates[:, 0])
-        for j in range(ballots.shape[1]):
-            odds += self.weight[j] * gain[j, ballots[:, j] + 1]
+        return model
+
+    def belief(self, ballots: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+        """The probability of toxic given the votes, and the annotator's label if it is given."""
+        odds = np.full(len(ballots), np.log(self.prior / (1 - self.prior)))
+        for j, k in enumerate(self.parent):
+            odds += self.gain[j, ballots[:, k] + 1 if k >= 0 else 1, ballots[:, j] + 1]
+        if gold is not None:
+            off, on = self.right
+            odds += np.where(gold > 0, np.log(on / (1 - off)), np.log((1 - on) / off))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -222,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         counts[k, at], words[k], gold[k] = n, size, label > 0
     strength = np.array([np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)) for _, t, c in found])
     ballots = votes(counts, words, strength)
-    target = LabelModel.fit(ballots, gold).belief(np.column_stack([ballots, gold]))
+    target = LabelModel.fit(ballots, gold).belief(ballots)
     return Classifier.fit(names, counts, np.clip(target, 1e-4, 1 - 1e-4))
 
 
