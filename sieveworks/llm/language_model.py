@@ -168,12 +168,24 @@ class Network:
         return net
 
     def step(self, units: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        return self.move(self.p["X"][units], h)
+
+    def move(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after an input of which ``x`` is the row in X, and what it comes from."""
         k = HIDDEN
-        x, u = self.p["X"][units], h @ self.p["U"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * k] + u[:, : 2 * k])))
+        u = h @ self.p["U"]
+        gates = x[:, : 2 * k] + u[:, : 2 * k]
+        np.exp(np.negative(gates, out=gates), out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r, inner = gates[:, :k], gates[:, k:], u[:, 2 * k :]
-        n = np.tanh(x[:, 2 * k :] + r * inner)
-        return n + z * (h - n), z, r, n, inner
+        n = r * inner
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, z, r, n, inner
 
     @staticmethod
     def by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -201,14 +213,13 @@ class Network:
         out[order] = np.log(np.maximum(got / total, 1e-37))
         return out
 
-    def forward(self, units: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-        """States of a window (time, lane), and what the way back needs."""
-        states, past = np.empty((*units.shape, HIDDEN), "f4"), []
+    def forward(self, units: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States of a window (time, lane), and what the way back needs: for each time the state before, z, r, n, inner."""
+        states, past, x = np.empty((*units.shape, HIDDEN), "f4"), np.empty((5, *units.shape, HIDDEN), "f4"), self.p["X"][units]
         for t in range(len(units)):
-            h = h * fresh[t][:, None]
-            after, z, r, n, inner = self.step(units[t], h)
-            past.append((h, z, r, n, inner))
-            states[t] = h = after
+            h = np.multiply(h, fresh[t][:, None], out=past[0, t])
+            states[t], past[1, t], past[2, t], past[3, t], past[4, t] = self.move(x[t], h)
+            h = states[t]
         return states, past
 
     def gradient(self, units: np.ndarray, targets: np.ndarray, weight: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,19 +246,23 @@ class Network:
         placed = np.empty_like(back)
         placed[order] = back
         back = placed.reshape(steps, lanes, k)
-        gates, d = np.empty((steps, lanes, 3 * k), "f4"), np.zeros((lanes, k), "f4")
+        before, z, r, n, inner = past
+        rest = 1 - z
+        to_n, to_z, to_r = rest * (1 - n * n), (before - n) * z * rest, inner * r * (1 - r)
+        gates, through, d = np.empty((steps, lanes, 3 * k), "f4"), np.empty((steps, lanes, 3 * k), "f4"), np.zeros((lanes, k), "f4")
         for t in reversed(range(steps)):
-            before, z, r, n, inner = past[t]
             d += back[t]
-            dn = d * (1 - z) * (1 - n * n)
+            dn = d * to_n[t]
             gate = gates[t]
-            gate[:, :k] = d * (before - n) * z * (1 - z)
-            gate[:, k : 2 * k] = dn * inner * r * (1 - r)
+            np.multiply(d, to_z[t], out=gate[:, :k])
+            np.multiply(dn, to_r[t], out=gate[:, k : 2 * k])
             gate[:, 2 * k :] = dn
-            through = gate.copy()
-            through[:, 2 * k :] *= r
-            g["U"] += before.T @ through
-            d = (d * z + through @ self.p["U"].T) * fresh[t][:, None]
+            through[t, :, : 2 * k] = gate[:, : 2 * k]
+            np.multiply(dn, r[t], out=through[t, :, 2 * k :])
+            d *= z[t]
+            d += through[t] @ self.p["U"].T
+            d *= fresh[t][:, None]
+        g["U"][:] = before.reshape(-1, k).T @ through.reshape(-1, 3 * k)
         order = np.argsort(units.ravel(), kind="stable")
         ordered = units.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -362,11 +377,10 @@ def score_block(net: Network, documents: list[np.ndarray]) -> np.ndarray:
             targets[: len(part), lane] = part
         lanes = np.searchsorted(-sizes[:alive], -np.arange(begin, end))
         states = np.empty((end - begin, alive, HIDDEN), "f4")
-        for t in range(end - begin):
-            n = lanes[t]
-            h[:n] = net.step(last[:n], h[:n])[0]
-            states[t, :n] = h[:n]
-            last[:n] = targets[t, :n]
+        x = net.p["X"][np.concatenate([last[None, :alive], targets[:-1]])]
+        for t, n in enumerate(lanes.tolist()):
+            states[t, :n] = h = net.move(x[t, :n], h[:n])[0]
+        last = targets[-1]
         live = np.arange(alive)[None, :] < lanes[:, None]
         gain = np.zeros(live.shape)
         gain[live] = net.log_probs(states[live], targets[live])
@@ -438,4 +452,5 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-likelihood, and that of the base counts."""
     return score(table(spark, sf_dir, "documents"))
