@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table, text_of
+from .common import table, text_of, written
 
 #: Labelled rows on which voters, label model and classifier are fitted, about.
 FIT_ROWS = 20_000
@@ -230,7 +230,7 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    sample = fit_sample(docs, labels)
+    sample = written(fit_sample(docs, labels), "sample")
     sizes = dict(sample.groupBy((F.col("toxic") > 0).alias("t")).count().collect())
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
@@ -286,5 +286,6 @@ def kept(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
