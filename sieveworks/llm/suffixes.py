@@ -12,7 +12,9 @@ share an anchor and travel as one slice.
   to ``length``. Previous and next smaller positions in suffix order give the longest previous factor of each window,
   up to ``length``, and where that earlier match is. A window whose factor reaches ``length`` is a later copy; it and
   its earlier match are repeated.
-* An anchor with more than ``CROWD`` different slices has its windows grouped one by one by their hashes.
+* An anchor with more than ``CROWD`` different slices, as at the edges of a passage that very many documents share, is
+  taken apart by the bytes that its windows share around the anchor, in ``STEPS``; most of the parts are then alone or
+  equal, and what is left is sorted as above.
 
 Joins by anchor have no aggregation in their stage, so that adaptive execution can split the partition of a hot one.
 
@@ -33,10 +35,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table, text_of, with_leader, written
+from .common import emptied, table, text_of, written
 from .shingles import mixed
 
-LENGTH, GRAM, CROWD = 400, 128, 4096
+LENGTH, GRAM, CROWD = 400, 128, 512
+#: Windows in a part of a crowded anchor's slices, level by level.
+STEPS = (64, 16, 1)
 #: Bytes of slices that a task ranks at once, but for one group; and of a text hashed at once.
 BATCH_BYTES, CHUNK = 1 << 20, 1 << 22
 _BYTE = np.random.default_rng(11).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -194,49 +198,88 @@ def ranked_groups(length: int):
     return rows
 
 
-def crowded_windows(slices: DataFrame, length: int) -> DataFrame:
-    """As ``ranked_groups`` for anchors with very many slices: each window counts by its own hash."""
+def parts_of(data: bytes, length: int, gram: int, step: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first, last): the windows of a slice in runs that have the anchor at like places, ``step`` of them at most.
+
+    All windows of a run have the bytes around the anchor in common that the run's first and last window share; the key
+    is their hash. Equal windows have the anchor at the same place, so they get equal keys.
+    """
+    grams = gram_hashes(np.frombuffer(data, np.uint8), gram) & ~_LOW
+    anchor, windows = int(np.argmin(grams)), len(data) - length + 1
+    for run in range((anchor - windows + 1) // step, anchor // step + 1):
+        near = anchor - run * step
+        far = near - step + 1
+        first, last = max(far, 0), min(near, windows - 1)
+        if first <= last:
+            yield xxhash.xxh3_64_intdigest(data[near : far + length], run % 2**32) - 2**63, first, last
+
+
+def refined(slices: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    """The slices of crowded anchors in parts: (over, of, key, slice, doc_id, h, first, last, begin)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, name, data, doc_id, h, first in batch[["key", "slice", "data", "doc_id", "h", "first"]].itertuples(index=False):
+            out = []
+            for over, of, data, doc_id, h, begin in batch[["key", "slice", "data", "doc_id", "h", "first"]].itertuples(index=False):
                 raw = bytes(data)
-                n = len(raw) - length + 1
-                yield pd.DataFrame({"key": key, "slice": name, "place": range(n), "window": [xxhash.xxh3_128_digest(raw[k : k + length]) for k in range(n)], "doc_id": doc_id, "h": h, "first": first}).astype({"doc_id": "Int64"})
+                for key, first, last in parts_of(raw, length, gram, step):
+                    name = xxhash.xxh3_64_intdigest(raw[first : last + length]) - 2**63
+                    out.append((over, of, key, name, doc_id, h, begin + first, begin + last, begin))
+            yield pd.DataFrame(out, columns=PARTS.replace(" bigint", "").replace(" int", "").split(", ")).astype({"doc_id": "Int64"})
 
-    each = slices.mapInPandas(rows, "key bigint, slice bigint, place int, window binary, doc_id bigint, h bigint, first int")
-    each = each.withColumn("order", F.struct("doc_id", "h", "first", "place"))
-    met = with_leader(each, "window", "order").filter("members > 1")
-    late = F.when(F.col("order") > F.col("leader"), F.col("place"))
-    return met.groupBy("key", "slice").agg(
-        F.flatten(F.collect_list(F.array("place", "place"))).alias("any"), F.flatten(F.collect_list(F.when(late.isNotNull(), F.array(late, late)))).alias("later")
-    )
+    return slices.mapInPandas(rows, PARTS)
 
 
-def spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """(doc_id, h, spans): first and last window start of stretches to take out."""
-    seen = written(anchor_rows(docs, length), "anchors")
-    met = written(seen.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select("key"), "keys")
-    seen = written(seen.join(met, "key"), "met")
-    kinds = written(seen.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct("doc_id", "h", "first", "last")).alias("own")), "slices")
+PARTS = "over bigint, of bigint, key bigint, slice bigint, doc_id bigint, h bigint, first int, last int, begin int"
+
+
+def settled(seen: DataFrame, texts: DataFrame, length: int, gram: int = GRAM, level: int = 0) -> DataFrame:
+    """(key, slice, uses, own, any, later) of the slices of ``seen``: how often each occurs, where first, and which of its
+    windows are repeated, or have an earlier match, in other slices of the key.
+
+    A key with too many different slices to be sorted in one task is taken apart by what its windows share around the
+    anchor, step by step; with a step of one, windows with equal keys are equal, so this ends.
+    """
+    place = F.struct("doc_id", "h", "first", "last")
+    kinds = written(seen.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("uses"), F.min(place).alias("own")), "slices")
     several = written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several")
     cut = kinds.join(several, "key").select("key", "slice", "kinds", "own.*")
     bytes_of = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + length)
-    texts = written(docs.alias("d").join(seen.select("doc_id", "h").distinct().alias("s"), same("d", "s"), "left_semi"), "texts")
     # A row that repeats doc_id and text would give each slice twice.
-    slices = cut.alias("s").join(texts.dropDuplicates(["doc_id", "h"]).alias("d"), same("d", "s")).select("key", "slice", bytes_of.alias("data"), "kinds", "s.doc_id", "s.h", "first")
-    slices = written(slices, "slice-bytes")
-    few = slices.filter(F.col("kinds") <= CROWD).repartition("key").sortWithinPartitions("key", "doc_id", "h", "first")
+    once = texts.dropDuplicates(["doc_id", "h"])
+    slices = cut.alias("s").join(once.alias("d"), same("d", "s"))
+    slices = written(slices.select("key", "slice", bytes_of.alias("data"), "kinds", "s.doc_id", "s.h", "first"), "slice-bytes")
+    few, crowd = slices.filter(F.col("kinds") <= CROWD), slices.filter(F.col("kinds") > CROWD)
+    few = few.repartition("key").sortWithinPartitions("key", "doc_id", "h", "first")
     ranked = few.select("key", "slice", "data").mapInPandas(ranked_groups(length), "key bigint, slice bigint, any array<int>, later array<int>")
-    ranked = ranked.unionByName(crowded_windows(slices.filter(F.col("kinds") > CROWD), length))
-    named = written(kinds.join(ranked, ["key", "slice"], "left"), "ranked")
+    if level < len(STEPS) and not crowd.isEmpty():
+        parts = written(refined(crowd, length, gram, STEPS[level]), "parts")
+        inner = settled(parts.select("key", "slice", "doc_id", "h", "first", "last"), texts, length, gram, level + 1)
+        back = lambda c: F.transform(F.col(c), lambda x: x - F.col("begin")).alias(c)
+        found = with_spans(parts, inner).select(F.col("over").alias("key"), F.col("of").alias("slice"), back("any"), back("later"))
+        ranked = ranked.unionByName(found.groupBy("key", "slice").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("any", "later")]))
+    return written(kinds.join(ranked, ["key", "slice"], "left"), "ranked")
+
+
+def with_spans(seen: DataFrame, named: DataFrame) -> DataFrame:
+    """``seen`` with ``any`` and ``later``: first and last window start in the document of the stretches that are repeated,
+    and of those with an earlier match."""
     whole, first_one = F.array(F.col("first"), F.col("last")), F.struct("doc_id", "h", "first", "last") == F.col("own")
-    moved = lambda c: F.transform(F.col(c), lambda x: x + F.col("first"))
-    if keep_first:
-        taken = F.when(~first_one, whole).otherwise(moved("later"))
-    else:
-        taken = F.when(F.col("uses") > 1, whole).otherwise(moved("any"))
-    each = seen.join(named, ["key", "slice"]).select("doc_id", "h", taken.alias("taken")).filter("size(taken) > 0")
+    moved = lambda c: F.coalesce(F.transform(F.col(c), lambda x: x + F.col("first")), F.array().cast("array<int>"))
+    every = F.when(F.col("uses") > 1, whole).otherwise(moved("any"))
+    late = F.when(~first_one, whole).otherwise(moved("later"))
+    return seen.join(named, ["key", "slice"]).withColumns({"any": every, "later": late}).drop("uses", "own")
+
+
+def spans(docs: DataFrame, length: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """The texts with repeated anchors, and (doc_id, h, taken): first and last window start of stretches to take out."""
+    seen = written(anchor_rows(docs, length), "anchors")
+    met = written(seen.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select("key"), "keys")
+    every, seen = seen, written(seen.join(met, "key"), "met")
+    emptied(every)
+    texts = written(docs.alias("d").join(seen.select("doc_id", "h").distinct().alias("s"), same("d", "s"), "left_semi"), "texts")
+    named = settled(seen, texts, length)
+    each = with_spans(seen, named).select("doc_id", "h", F.col("later" if keep_first else "any").alias("taken")).filter("size(taken) > 0")
     return texts, each.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("taken")).alias("taken"))
 
 
@@ -274,10 +317,13 @@ def removed(df: DataFrame, length: int = LENGTH, keep_first: bool = True, with_b
 
     changed = texts.alias("d").join(taken.alias("s"), same("d", "s")).select("d.doc_id", "text", "taken").mapInPandas(rows, schema)
     raw = F.col("text").cast("binary")
-    rest = docs.select("doc_id", "h", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *[raw.alias("kept")] * with_bytes)
+    none = lambda name: F.lit(0).cast("bigint").alias(name)
+    size = F.octet_length("text").cast("bigint").alias("n_bytes")
+    rest = docs.select("doc_id", "h", size, none("n_removed"), none("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), *[raw.alias("kept")] * with_bytes)
     rest = rest.alias("d").join(taken.select("doc_id", "h").alias("s"), same("d", "s"), "left_anti").drop("h")
     return changed.unionByName(rest)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: what is left of it without the windows of LENGTH bytes that start anywhere else too."""
     return removed(table(spark, sf_dir, "documents"), keep_first=False)

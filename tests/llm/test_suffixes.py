@@ -44,10 +44,10 @@ def documents(prose):
     return rows
 
 
-@pytest.mark.parametrize("keep_first", [False, True])
-@pytest.mark.parametrize("crowd", [4096, 3])
-def test_removal(spark, frame, prose, monkeypatch, keep_first, crowd):
+@pytest.mark.parametrize(("keep_first", "crowd", "steps"), [(False, 4096, ()), (True, 4096, ()), (False, 3, (64, 16, 1)), (True, 3, (64, 16, 1)), (False, 1, (1,)), (True, 1, (16, 1))])
+def test_removal(spark, frame, prose, monkeypatch, keep_first, crowd, steps):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "STEPS", steps)
     rows = documents(prose)
     out = suffixes.removed(frame(rows, extra=True), keep_first=keep_first).collect()
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == brute(rows, 400, keep_first)
@@ -98,3 +98,21 @@ def test_longest_previous_factor(prose, length):
     for i, p in enumerate(starts):
         assert factor[i] == max((common(p, q) for q in starts[:i]), default=0)
         assert factor[i] == 0 or source[i] < i and common(p, starts[source[i]]) == factor[i]
+
+
+@pytest.mark.parametrize("step", [64, 16, 1])
+def test_parts_of_slices(prose, step):
+    """Parts cover a slice's windows once, and equal windows of slices that share an anchor get equal keys."""
+    rng, shared = random.Random(4), prose(200, 60)
+    keys, slices = {}, 0
+    for k in range(40):
+        text = (prose(rng.randrange(30), k) + shared[: rng.randrange(300, 900)] + prose(rng.randrange(40), 99 + k)).encode()
+        for key, first, last in suffixes.anchors(np.frombuffer(text, np.uint8)):
+            data, covered = text[first : last + 400], []
+            for own, a, b in suffixes.parts_of(data, 400, suffixes.GRAM, step):
+                covered += range(a, b + 1)
+                for w in range(a, b + 1):
+                    assert keys.setdefault((key, data[w : w + 400]), own) == own
+            assert sorted(covered) == list(range(last - first + 1))
+            slices += 1
+    assert len(keys) > 1000 and slices > 100
