@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ TAILS = 64
 WORDS = CLASSES * PER_CLASS - TAILS
 #: Counts that are broadcast, of tokens of up to HEAD_BYTES; bytes of frequent longer tokens; and the bound of the warm-up.
 HEAD, HEAD_BYTES, LONG_BYTES, WARM_TOKENS = 1 << 17, 64, 1 << 22, 1_000_000
-WINDOW, WARM_LANES, LANES = 32, 32, 512
+WINDOW, WARM_LANES, LANES, TILE = 32, 32, 256, 512
 #: Tokens scored side by side; many documents at once keep the lanes full while the longest end.
 SCORE_TOKENS = 1 << 21
 RATE, CLIP = 0.01, 5.0
@@ -127,19 +128,24 @@ class Lexicon:
         unit_count[:TAILS], unit_count[TAILS : TAILS + chosen] = sums, count[:chosen]
         return cls({t: k for k, t in enumerate(names)}, unit, count.astype(np.int64), mass, int(n), int(v), unit_count)
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, Counter]:
-        """Units and counts (-1 where not in the head) of the tokens, and the tokens beyond the head."""
+    def places(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """The tokens, their places in the head (-1 beyond it) and units, which of them are beyond, and the tails of those."""
         found = tokens(text)
-        get = self.head.get
-        at = np.array([get(t, -1) for t in found], np.int32)
-        units, counts = self.unit[at], self.count[at]
-        beyond: Counter = Counter()
-        missed = np.flatnonzero(at < 0)
-        if len(missed):
-            counts[missed] = -1
-            units[missed] = [tail_of(found[k]) for k in missed]
-            beyond.update([found[k] for k in missed])
-        return units, counts, beyond
+        at = np.fromiter(map(self.head.get, found, repeat(-1)), np.int32, len(found))
+        units, missed = self.unit[at], np.flatnonzero(at < 0)
+        tails = [tail_of(found[k]) for k in missed.tolist()]
+        units[missed] = tails
+        return found, at, units, missed, tails
+
+    def units(self, text: str) -> np.ndarray:
+        return self.places(text)[2]
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, Counter]:
+        """Units and counts (-1 where not in the head) of the tokens, and the (token, tail) beyond the head."""
+        found, at, units, missed, tails = self.places(text)
+        counts = self.count[at]
+        counts[missed] = -1
+        return units, counts, Counter(zip([found[k] for k in missed.tolist()], tails, strict=True))
 
 
 class Network:
@@ -312,7 +318,7 @@ def train_rows(lexicon, weights: np.ndarray, lanes: int, at_once: int):
         trainer, held, size = Trainer(Network(weights.copy()), lanes), [], 0
         for batch in batches:
             for text in batch["text"]:
-                held.append(lexicon.value.read(text)[0])
+                held.append(lexicon.value.units(text))
                 size += len(held[-1])
                 if size >= at_once:
                     trainer.learn(held)
@@ -375,16 +381,20 @@ def score_block(net: Network, documents: list[np.ndarray]) -> np.ndarray:
         for lane in range(alive):
             part = documents[order[lane]][begin:end]
             targets[: len(part), lane] = part
-        lanes = np.searchsorted(-sizes[:alive], -np.arange(begin, end))
-        states = np.empty((end - begin, alive, HIDDEN), "f4")
-        x = net.p["X"][np.concatenate([last[None, :alive], targets[:-1]])]
-        for t, n in enumerate(lanes.tolist()):
-            states[t, :n] = h = net.move(x[t, :n], h[:n])[0]
-        last = targets[-1]
-        live = np.arange(alive)[None, :] < lanes[:, None]
-        gain = np.zeros(live.shape)
-        gain[live] = net.log_probs(states[live], targets[live])
-        out[:alive] += gain.sum(0)
+        lanes, state = np.searchsorted(-sizes[:alive], -np.arange(begin, end)), np.empty((alive, HIDDEN), "f4")
+        for low in range(0, alive, TILE):  # so many at once stay near the processor
+            part, live = slice(low, min(low + TILE, alive)), np.clip(lanes - low, 0, TILE)
+            own = targets[:, part]
+            x = net.p["X"][np.concatenate([last[None, part], own[:-1]])]
+            states, now = np.empty((end - begin, own.shape[1], HIDDEN), "f4"), h[part]
+            for t, n in enumerate(live.tolist()):
+                states[t, :n] = now = net.move(x[t, :n], now[:n])[0]
+            state[low : low + len(now)] = now
+            on = np.arange(own.shape[1])[None, :] < live[:, None]
+            gain = np.zeros(on.shape)
+            gain[on] = net.log_probs(states[on], own[on])
+            out[part] += gain.sum(0)
+        h, last = state, targets[-1]
     result = np.empty(len(documents))
     result[order] = out
     return result
@@ -402,7 +412,7 @@ def score_rows(lexicon, weights):
             logs = np.log10(counts[inside] + 1)
             tail = inside & (units < TAILS)
             score += float(np.log10(counts[tail] + 1).sum() - np.log10(known.tail_mass[units[tail]]).sum())
-            spread = [(t, n, tail_of(t)) for t, n in beyond.items()]
+            spread = [(t, n, k) for (t, k), n in beyond.items()]
             out.append((uid, doc_id, held, len(units), int((counts > 0).sum()), float(logs.sum()) - floor * int(inside.sum()), score, spread))
         return pd.DataFrame(out, columns=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "beyond"]).astype({"doc_id": "Int64"})
 
