@@ -18,6 +18,8 @@ first. A table of one document follows itself. Other columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import numbered, table, text_of
@@ -41,28 +43,34 @@ def blocks(paragraph: Column) -> Column:
     marked = lambda w, of, *by: F.when(F.pmod(F.xxhash64(w, *by), F.lit(of)) == 0, F.concat(w, F.lit("\n"))).otherwise(w)
     # The array of one binds the characters, which would be split anew for each of them.
     single = lambda w: F.transform(F.array(F.split(w, "")), lambda cs: F.transform(cs, lambda c, i: marked(c, 32, F.get(cs, i - 1))))[0]
-    words = F.flatten(F.transform(F.split(paragraph, " ", -1), lambda w: F.when(F.char_length(w) > LONG_WORD, single(w)).otherwise(F.array(marked(w, 8)))))
+    plain = F.transform(F.split(paragraph, " ", -1), lambda w: marked(w, 8))
+    mixed = F.flatten(F.transform(F.split(paragraph, " ", -1), lambda w: F.when(F.char_length(w) > LONG_WORD, single(w)).otherwise(F.array(marked(w, 8)))))
+    words = F.when(F.rlike(paragraph, F.lit(f"[^ ]{{{LONG_WORD + 1}}}")), mixed).otherwise(plain)
     return F.regexp_extract_all(F.array_join(words, " "), F.lit(BLOCK), F.lit(0))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sketch(parts: Column) -> Column:
     """For each sparse lane, its blocks of sign 1 less those of sign -1."""
     code = lambda b: F.char(F.pmod(F.xxhash64(b), F.lit(2 * SPARSE)))
     codes = F.array_join(F.transform(F.flatten(F.transform(parts, blocks)), code), "")
     count = lambda s, c: F.octet_length(s) - F.octet_length(F.replace(s, F.char(c), F.lit("")))
     lanes = F.sequence(F.lit(0), F.lit(SPARSE - 1))
-    # The array of one binds the codes, which would be made anew for each lane.
-    return F.transform(F.array(codes), lambda s: F.transform(lanes, lambda i: (count(s, i) - count(s, i + SPARSE)).cast("bigint")))[0]
+    return bound(codes, lambda s: F.transform(lanes, lambda i: (count(s, i) - count(s, i + SPARSE)).cast("bigint")))
 
 
 def vector_sum(parts: Column, start: Column | None = None, sign: int = 1) -> Column:
     """``start`` plus (or minus) the vectors of the paragraphs, as array<bigint>."""
-    hashed = F.transform(parts, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(1), p).alias("b")))
+    hashed = lambda ps: F.transform(ps, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(1), p).alias("b")))
 
     def add(acc: Column, p: Column) -> Column:
         return F.transform(acc, lambda v, i: (v + F.xxhash64(p["a"], p["b"], i).bitwiseAND(F.lit(MOD))).bitwiseAND(F.lit(MOD)))
 
-    own = F.concat(F.aggregate(hashed, F.array_repeat(F.lit(0).cast("bigint"), DENSE), add), sketch(parts))
+    own = bound(parts, lambda ps: F.concat(F.aggregate(hashed(ps), F.array_repeat(F.lit(0).cast("bigint"), DENSE), add), sketch(ps)))
     begin = F.array_repeat(F.lit(0).cast("bigint"), LANES) if start is None else start
     return F.zip_with(begin, own, lambda v, w: (v + w if sign > 0 else v - w).bitwiseAND(F.lit(MOD)))
 
@@ -129,8 +137,8 @@ def edited_neighbours(df: DataFrame) -> DataFrame:
     kept = F.substring("text", F.lit(1), cut.cast("int"))
     edited = both.withColumn("kept", kept).withColumn("edited", F.concat("kept", "head"))
     # Paragraphs up to the one that holds the cut are common to both texts: only the others are taken out and put in.
-    first = F.size(paragraphs(F.col("kept")))
-    tail = lambda text: F.slice(paragraphs(F.col(text)), first, F.lit(2**31 - 1) - first)
+    edited = edited.withColumn("common", F.char_length(F.regexp_extract("kept", f"(?s)\\A.*(?:{CUT})", 0)))
+    tail = lambda text: paragraphs(F.substring(text, F.col("common") + 1, F.lit(2**31 - 1)))
     edited = edited.withColumn("edited_mark", vector_sum(tail("edited"), vector_sum(tail("text"), F.col("mark"), -1)))
     return edited.select(
         F.col("d.doc_id").alias("doc_id"), "n_chars",
@@ -143,4 +151,5 @@ def edited_neighbours(df: DataFrame) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and how like it its edited text and the next document are."""
     return edited_neighbours(table(spark, sf_dir, "documents"))
