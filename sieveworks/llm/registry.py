@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .decontamination import op10_decontamination
 from .fingerprints import op4_fingerprints
 from .jaccard import op3_ngram_jaccard
@@ -18,6 +19,7 @@ QUERIES = {
     for f in (
         op1_warc, op2_sharding, op3_ngram_jaccard, op4_fingerprints, op5_sentencepieces,
         op6_language_model, op7_secret_scan, op8_toxicity, op9_suffix_dedup, op10_decontamination,
+        op13_alignment,
     )
 }
 
