@@ -37,9 +37,9 @@ WORD_BITS, PAIR_BITS = 26, 27
 #: Occurrences of words for each range of prefixes, and least number of ranges.
 RANGE_WORDS, LEAST_RANGES = 4_000_000, 64
 #: Words of a shard, and different ones, at which its trie is written and a new one begun.
-SHARD_WORDS, SHARD_VOCABULARY = 6_000_000, 1_000_000
+SHARD_WORDS, SHARD_VOCABULARY = 3_000_000, 400_000
 #: Entries that a merging task holds before it sums them, and bytes of texts taken apart at a time.
-MERGED, STEP_BYTES = 2_000_000, 4 << 20
+MERGED, STEP_BYTES = 1_000_000, 4 << 20
 SEEDS = 8
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -181,24 +181,27 @@ class Shard:
     def levels(self, pair_bits: np.ndarray | None, depth: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
         """Level, hashes of the words (in order) and count of the nodes: of level 2 without ``pair_bits``, else of the deeper."""
         ids, joined = np.concatenate(self.ids), np.concatenate(self.joined)
+        self.ids, self.joined = [], []
         hashes = self.words.words()[2]
         order = np.argsort(hashes)
-        hashes, rank = hashes[order], np.argsort(order)
-        frequent = marked(self.bits, hashes, WORD_BITS)
+        hashes, rank = hashes[order], np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         at = rank[ids]
-        keep = frequent[at]
+        keep = marked(self.bits, hashes, WORD_BITS)[at]
         n = np.int64(len(hashes))
         # Places of pairs' second words; a node is (its parent's place in sorted order, the last word).
         ends = np.flatnonzero(joined[1:] & keep[1:] & keep[:-1]) + 1
-        node, where, many = np.unique(at[ends - 1] * n + at[ends], return_inverse=True, return_counts=True)
-        path = [hashes[node // n], hashes[node % n]]
+        code = at[ends - 1] * n + at[ends]
         if pair_bits is None:
-            yield 2, path, many
+            node, many = np.unique(code, return_counts=True)
+            yield 2, [hashes[node // n], hashes[node % n]], many
             return
+        node, where = np.unique(code, return_inverse=True)
+        path = [hashes[node // n], hashes[node % n]]
         good = marked(pair_bits, mixed(*path), PAIR_BITS)[where]
         pair_end = np.zeros(len(ids) + 1, bool)
         pair_end[ends[good]] = True
-        place = np.zeros(len(ids), np.int64)
+        place = np.zeros(len(ids), np.int32)
         place[ends] = where
         ends = ends[good]
         for level in range(3, depth + 1):
