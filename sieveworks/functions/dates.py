@@ -43,7 +43,8 @@ def recency_boost(date: Column, config: ScoringConfig, as_of: str | datetime.dat
 
 def recency_of_days(days: Column, config: ScoringConfig) -> Column:
     """The boost for a number of days; null stands for a date that cannot be read."""
-    return F.when(days.isNull(), F.lit(0.0)).when(days < 0, F.lit(config.recency_boost_max)).otherwise(recency_of_age(days.cast("double"), config))
+    of_age = recency_by_row if isinstance(config.recency_strategy, Column) else recency_of_age
+    return F.when(days.isNull(), F.lit(0.0)).when(days < 0, F.lit(config.recency_boost_max)).otherwise(of_age(days.cast("double"), config))
 
 
 def recency_of_age(days: Column, config: ScoringConfig) -> Column:
@@ -63,6 +64,27 @@ def recency_of_age(days: Column, config: ScoringConfig) -> Column:
     return F.when(fresh, F.greatest(F.lit(most) * F.exp(-days / float(half) * math.log(2)), F.lit(0.0))).otherwise(old)
 
 
+def recency_by_row(days: Column, config) -> Column:
+    """As ``recency_of_age``, for settings that are columns."""
+    most, half, limit = config.recency_boost_max, config.recency_half_life_days, config.recency_penalty_after_days.cast("double")
+    old, fresh, strategy = -F.least((days - limit) / 365.0 * 0.05, config.recency_max_penalty), days < limit, config.recency_strategy
+    linear = F.when(fresh, F.greatest(most * (1 - days / F.when(limit == 0, F.lit(1.0)).otherwise(limit)), F.lit(0.0))).otherwise(old)
+    step = F.when(days < half, most).when(fresh, F.lit(0.0)).otherwise(old)
+    falling = F.when(fresh, F.greatest(most * F.exp(-days / F.when(half > 0, half.cast("double")) * math.log(2)), F.lit(0.0))).otherwise(old)
+    curved = F.when(strategy == "linear", linear).when(strategy == "step", step).when(half == 0, F.lit(0.0)).otherwise(falling)
+    return F.when(strategy == "none", F.lit(0.0)).when(strategy == "custom", on_points(days, config.recency_curve)).otherwise(curved)
+
+
+def on_points(days: Column, points: Column) -> Column:
+    """As ``on_curve``, for points in an array of (day, boost)."""
+    low, high = F.get(points, F.lit(0)), F.get(points, F.size(points) - 1)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(points) - 2, F.lit(0)))
+    first = F.get(F.filter(starts, lambda k: (days >= F.get(points, k)["day"]) & (days <= F.get(points, k + 1)["day"])), F.lit(0))
+    a, b = F.get(points, first), F.get(points, first + 1)
+    between = F.when(a["day"] == b["day"], a["boost"]).otherwise(a["boost"] + (days - a["day"]) / F.nullif(b["day"] - a["day"], F.lit(0.0)) * (b["boost"] - a["boost"]))
+    return F.coalesce(F.when(days <= low["day"], low["boost"]).when(days >= high["day"], high["boost"]).otherwise(between), F.lit(0.0))
+
+
 def on_curve(days: Column, curve: tuple[tuple[float, float], ...]) -> Column:
     """Straight lines between the points, level beyond them; 0 without points."""
     if not curve:

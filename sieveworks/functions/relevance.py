@@ -81,6 +81,12 @@ def priority_excerpt(pages, url: Column, excerpt: Column, query: Column | None =
     return F.coalesce(*chosen, excerpt)
 
 
+def pages_of_row(pages: Column, url: Column, query: Column) -> Column:
+    """Of an array of pages, those whose pattern is part of the URL and of which a keyword is part of the query."""
+    low = F.lower(query)
+    return F.filter(pages, lambda p: F.contains(url, p["url_pattern"]) & F.exists(p["keywords"], lambda k: F.contains(low, F.lower(k))))
+
+
 def composite(
     terms: Terms, config: ScoringConfig, priority: Column, days: Column, primary: Terms | None = None, phrase: bool = True,
     title: str = "title", excerpt: str = "excerpt", score: str = "score", weight: str = "source_weight", locations: str = "locations",

@@ -37,8 +37,15 @@ def stop_words_of(language: Column) -> Column:
     return F.coalesce(F.try_element_at(table, language), F.array().cast("array<string>"))
 
 
-def is_stop_word(term: Column, language: str | Column = "en", custom: tuple[str, ...] = ()) -> Column:
-    low, own = F.lower(term), [c.lower() for c in custom]
+Custom = tuple[str, ...] | Column
+
+
+def is_stop_word(term: Column, language: str | Column = "en", custom: Custom = ()) -> Column:
+    """``custom`` words are known, or an array column."""
+    low = F.lower(term)
+    if isinstance(custom, Column):
+        return is_stop_word(term, language) | F.exists(custom, lambda c: F.lower(c) == low)
+    own = [c.lower() for c in custom]
     if isinstance(language, str):
         words = sorted({*stop_words(language), *own})
         return low.isin(words) if words else F.lit(False)
@@ -46,18 +53,18 @@ def is_stop_word(term: Column, language: str | Column = "en", custom: tuple[str,
     return listed | low.isin(own) if own else listed
 
 
-def is_valid_term(term: Column, language: str | Column = "en", custom: tuple[str, ...] = ()) -> Column:
+def is_valid_term(term: Column, language: str | Column = "en", custom: Custom = ()) -> Column:
     """At least two bytes, not only digits, not a stop word; a phrase is compared whole."""
     return (F.octet_length(term) >= 2) & ~term.rlike(r"\A[0-9]+\z") & ~is_stop_word(term, language, custom)
 
 
-def extract_terms(query: Column, language: str | Column = "en", custom: tuple[str, ...] = ()) -> Column:
+def extract_terms(query: Column, language: str | Column = "en", custom: Custom = ()) -> Column:
     """Lower-case words without stop words and single bytes, in order, with repeats and punctuation; null gives none."""
     words = F.split(F.lower(F.coalesce(query, F.lit(""))), SPACES)
     return F.filter(words, lambda t: (F.octet_length(t) > 1) & ~is_stop_word(t, language, custom))
 
 
-def extract_query(query: Column, language: str | Column = "en", custom: tuple[str, ...] = ()) -> Column:
+def extract_query(query: Column, language: str | Column = "en", custom: Custom = ()) -> Column:
     """STRUCT<terms, is_phrase, forced_phrase>; quotes around the whole query force a phrase and are taken off."""
     trimmed = trim(query)
     forced = F.startswith(trimmed, F.lit('"')) & F.endswith(trimmed, F.lit('"')) & (F.octet_length(trimmed) > 2)

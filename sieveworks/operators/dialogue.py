@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import ConversationConfig
+from ..tables import numbered
 
-#: Turns of one conversation that one task sorts.
+#: Turns of one conversation that are summed at a time.
 BLOCK_TURNS = 4096
 
 
 def running(df: DataFrame, conv: str, turn: str, values: dict[str, Column]) -> DataFrame:
     """Add, for each value, its sum over the earlier turns of the conversation.
 
-    Turns are summed in blocks, and blocks among each other, so a very long conversation is not sorted in one task.
+    Turns are sorted over ranges and numbered, whatever their values are (counts, or times with gaps); a block is a run of
+    neighbouring numbers. Turns are summed in blocks, and blocks among each other, so a very long conversation is not sorted
+    in one task.
     """
-    df = df.withColumn("_block", F.floor(F.coalesce(F.col(turn), F.lit(0)) / BLOCK_TURNS))
-    inside = Window.partitionBy(conv, "_block").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = df.groupBy(conv, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
+    rows = numbered(df.orderBy(conv, turn)).withColumn("_block", F.floor(F.col("rank") / BLOCK_TURNS))
+    inside = Window.partitionBy(conv, "_block").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(conv, "_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
     before = Window.partitionBy(conv).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col(conv).alias("_c"), F.col("_block").alias("_b"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
-    inner = df.withColumns({f"_i_{n}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()})
+    inner = rows.withColumns({f"_i_{n}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()})
     joined = inner.join(blocks, F.col(conv).eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")))
-    return joined.withColumns({n: F.col(f"_i_{n}") + F.col(f"_o_{n}") for n in values}).drop("_block", "_c", "_b", *[f"_{k}_{n}" for k in "io" for n in values])
+    return joined.withColumns({n: F.col(f"_i_{n}") + F.col(f"_o_{n}") for n in values}).drop("rank", "total", "_block", "_c", "_b", *[f"_{k}_{n}" for k in "io" for n in values])
 
 
 def truncate_conversation(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 
 def url_key(url: Column, normalize: bool = False) -> Column:
@@ -47,8 +48,8 @@ def excluded(df: DataFrame, urls: Sequence[str] | DataFrame, normalize_urls: boo
     if not isinstance(urls, DataFrame):
         keys = [url_key(F.lit(u), normalize_urls) for u in urls]
         return df.filter(~url_key(F.col("url"), normalize_urls).isin(keys)) if keys else df
-    out = urls.select(url_key(F.col("url"), normalize_urls).alias("_out")).distinct()
-    return df.withColumn("_out", url_key(F.col("url"), normalize_urls)).join(out, "_out", "left_anti").drop("_out")
+    key = url_key(F.col("url"), normalize_urls)
+    return df.withColumn("_out", key).join(out_keys(urls, normalize_urls), "_out", "left_anti").drop("_out")
 
 
 def merge_results(
@@ -63,21 +64,57 @@ def merge_results(
     return df.orderBy(F.desc("score"), "set_id", "pos") if ordered else df
 
 
+def out_keys(urls: DataFrame, normalize_urls: bool) -> DataFrame:
+    return urls.select(url_key(F.col("url"), normalize_urls).alias("_out")).distinct()
+
+
+def counts(n: int) -> list[Column]:
+    return [*[F.count(F.when(F.col("set_id") == k, 1)).alias(f"_{k}") for k in range(n)], F.count(F.lit(1)).alias("_all")]
+
+
 def merge_stats(
     sets: Sequence[tuple[DataFrame, float]], deduplicate_by: str | None = None, case_sensitive: bool = False,
     exclude_urls: Sequence[str] | DataFrame = (), normalize_urls: bool = False,
 ) -> DataFrame:
-    """One row: weight and input_count of each set, total_before_dedup, total_after_dedup, excluded_count."""
-    df = weighted(sets)
-    counted = df.groupBy().agg(*[F.count(F.when(F.col("set_id") == k, 1)).alias(f"_{k}") for k in range(len(sets))], F.count(F.lit(1)).alias("total_before_dedup"))
-    kept = df if deduplicate_by is None else keep_first(df, dedup_key(deduplicate_by, case_sensitive, normalize_urls))
-    key = kept.select(url_key(F.col("url"), normalize_urls).alias("_out"))
+    """One row: weight and input_count of each set, total_before_dedup, total_after_dedup, excluded_count. Each set is read once:
+    rows are counted within the aggregation that finds the best of each key."""
+    df, n = weighted(sets), len(sets)
+    ones = [F.col("url"), *[(F.col("set_id") == k).cast("bigint").alias(f"_{k}") for k in range(n)], F.lit(1).cast("bigint").alias("_all")]
+    if deduplicate_by is None:
+        best = df.select(*ones)
+    else:
+        order = F.struct((-F.col("score")).alias("s"), F.col("set_id"), F.col("pos"))
+        key = dedup_key(deduplicate_by, case_sensitive, normalize_urls)
+        best = df.groupBy(key.alias("_key")).agg(F.min_by("url", order).alias("url"), *counts(n)).drop("_key")
+    key = url_key(F.col("url"), normalize_urls)
     if isinstance(exclude_urls, DataFrame):
-        hit = key.join(exclude_urls.select(url_key(F.col("url"), normalize_urls).alias("_out")).distinct().withColumn("_hit", F.lit(1)), "_out", "left")
+        best = best.withColumn("_out", key).join(out_keys(exclude_urls, normalize_urls).withColumn("_hit", F.lit(1)), "_out", "left")
     else:
         out = [url_key(F.lit(u), normalize_urls) for u in exclude_urls]
-        hit = key.withColumn("_hit", F.when(F.col("_out").isin(out) if out else F.lit(False), F.lit(1)))
-    after = hit.agg(F.count(F.lit(1)).alias("total_after_dedup"), F.count("_hit").alias("excluded_count"))
-    one = counted.join(after)  # one row each
+        best = best.withColumn("_hit", F.when(key.isin(out) if out else F.lit(False), F.lit(1)))
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    one = best.agg(*[total(f"_{k}").alias(f"_{k}") for k in range(n)], total("_all").alias("total_before_dedup"), F.count(F.lit(1)).alias("total_after_dedup"), F.count("_hit").alias("excluded_count"))
     shown = F.array(*[F.struct(F.lit(float(w)).alias("weight"), F.col(f"_{k}").alias("input_count")) for k, (_, w) in enumerate(sets)])
     return one.select(shown.alias("sets"), "total_before_dedup", "total_after_dedup", "excluded_count")
+
+
+def merge_observed(
+    sets: Sequence[tuple[DataFrame, float]], deduplicate_by: str | None = None, case_sensitive: bool = False,
+    exclude_urls: Sequence[str] | DataFrame = (), normalize_urls: bool = False,
+) -> tuple[DataFrame, Callable[[], dict[str, Any]]]:
+    """The merged rows, unsorted, and the figures of ``merge_stats``, which are observed while the rows are computed: call for
+    them after one action on the rows. (A sort would compute rows twice, to find its ranges, and count them twice.)"""
+    before, after, left = Observation(), Observation(), Observation()
+    df = weighted(sets).observe(before, *counts(len(sets)))
+    if deduplicate_by is not None:
+        df = keep_first(df, dedup_key(deduplicate_by, case_sensitive, normalize_urls))
+    df = excluded(df.observe(after, F.count(F.lit(1)).alias("n")), exclude_urls, normalize_urls).observe(left, F.count(F.lit(1)).alias("n"))
+
+    def figures() -> dict[str, Any]:
+        all_of, kept = before.get, after.get["n"]
+        return {
+            "sets": [{"weight": float(w), "input_count": all_of[f"_{k}"]} for k, (_, w) in enumerate(sets)],
+            "total_before_dedup": all_of["_all"], "total_after_dedup": kept, "excluded_count": kept - left.get["n"],
+        }
+
+    return df, figures

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -12,7 +12,8 @@ from ..functions import dates, relevance, text
 from ..functions.context import truncate_at_sentence
 from ..functions.expansion import parse_expansion
 from ..functions.redact import ADDRESS, CARD, EMAIL, PHONE, SSN
-from ..operators import dialogue, manifest, merge, passages, score, templates
+from ..operators import configs, dialogue, manifest, merge, passages, score, templates
+from ..sources import requests
 from ..tables import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,22 +78,18 @@ def sql_recency(age: str, strategy: str = "exponential", curve: str = "") -> str
     return f"(CASE WHEN {age} < 0 THEN 0.5::DOUBLE ELSE {aged} END)"
 
 
-CANDIDATES = """(SELECT doc_id, '/doc/' || doc_id AS url, substring(string_split(text, chr(10))[1], 1, 80) AS title,
-  substring(text, 1, 300) AS excerpt, date_diff('day', DATE '2016-01-01' + CAST(doc_id % 3800 AS INT), DATE '2026-01-01')::DOUBLE AS age FROM documents)"""
+CANDIDATES = """(SELECT doc_id, '/doc/' || doc_id AS url, string_split(text, chr(10))[1] AS title, text AS excerpt,
+  date_diff('day', DATE '2016-01-01' + CAST(doc_id % 3800 AS INT), DATE '2026-01-01')::DOUBLE AS age FROM documents)"""
 
 
-def candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Documents as search results: first line as title, the text (or its beginning) as excerpt, a date from the id."""
-    docs, line = read(spark, sf_dir, "documents"), F.get(F.split("text", "\n"), F.lit(0))
-    return docs.select(
-        "doc_id", F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("url"), (line if whole else F.substring(line, 1, 80)).alias("title"),
-        (F.col("text") if whole else F.substring("text", 1, 300)).alias("excerpt"), F.date_format(F.date_add(F.lit("2016-01-01").cast("date"), (F.col("doc_id") % 3800).cast("int")), "yyyy-MM-dd").alias("date"), F.col("doc_id").alias("pos"),
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as search results: first line as title, the text as excerpt, a date from the id."""
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("url"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("excerpt"),
+        F.date_format(F.date_add(F.lit("2016-01-01").cast("date"), (F.col("doc_id") % 3800).cast("int")), "yyyy-MM-dd").alias("date"), F.col("doc_id").alias("pos"),
     )
 
 
-WHOLE = CANDIDATES.replace("substring(string_split(text, chr(10))[1], 1, 80)", "string_split(text, chr(10))[1]").replace("substring(text, 1, 300)", "text")
-
-
 # --- terms --------------------------------------------------------------------------------------------------------------
 
 
@@ -108,6 +105,13 @@ def valid_terms(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.size(F.filter(F.split("p_name", " "), lambda t: text.is_valid_term(t))).cast("bigint").alias("n_valid"))
 
 
+@query("valid_terms_custom", f"SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda t: strlen(t) >= 2 AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains({EN}, lower(t)) AND lower(t) NOT IN ('red', 'steel', lower(split_part(p_type, ' ', 1)))), '|') AS terms FROM part")
+def valid_terms_custom(spark, sf_dir):
+    """Custom stop words, in any case, from a column."""
+    custom = F.array(F.lit("RED"), F.lit("Steel"), F.split_part("p_type", F.lit(" "), F.lit(1)))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.filter(F.split("p_name", " "), lambda t: text.is_valid_term(t, custom=custom)), "|").alias("terms"))
+
+
 @query("query_info", f"SELECT p_partkey, array_to_string({sql_terms('p_name', EN)}, '|') AS terms, len({sql_terms('p_name', EN)}) >= 2 AS is_phrase, p_partkey % 2 = 0 AS forced_phrase FROM part")
 def query_info(spark, sf_dir):
     asked = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(' "'), F.col("p_name"), F.lit('" '))).otherwise(F.col("p_name"))
@@ -137,13 +141,13 @@ for _strategy in ("exponential", "linear", "step", "none", "custom"):
 
 
 @query("title_match", f"SELECT doc_id, round({sql_match('title', TERMS, 1.0, 1.5)}, 6) AS boost FROM {CANDIDATES}")
-def title_match(spark, sf_dir, whole=False):
-    return candidates(spark, sf_dir, whole).select("doc_id", six(relevance.title_match(TERMS, F.col("title"), ScoringConfig())).alias("boost"))
+def title_match(spark, sf_dir):
+    return candidates(spark, sf_dir).select("doc_id", six(relevance.title_match(TERMS, F.col("title"), ScoringConfig())).alias("boost"))
 
 
 @query("content_match", f"SELECT doc_id, round({sql_match('excerpt', TERMS, 0.4, 1.2)}, 6) AS boost FROM {CANDIDATES}")
-def content_match(spark, sf_dir, whole=False):
-    return candidates(spark, sf_dir, whole).select("doc_id", six(relevance.content_match(TERMS, F.col("excerpt"), ScoringConfig())).alias("boost"))
+def content_match(spark, sf_dir):
+    return candidates(spark, sf_dir).select("doc_id", six(relevance.content_match(TERMS, F.col("excerpt"), ScoringConfig())).alias("boost"))
 
 
 POSITIONS = """(SELECT doc_id, list_sort(list_filter(range(1, len(w) + 1), lambda i: list_contains(['er', 'nd'], w[i]))) AS places
@@ -163,20 +167,20 @@ PLAIN = f"1.0::DOUBLE + {sql_match('title', TERMS, 1.0, 1.5)} + {sql_match('exce
 
 
 @query("score_results", f"SELECT doc_id, round({PLAIN}, 6) AS score FROM {CANDIDATES}")
-def score_results(spark, sf_dir, whole=False):
-    return score.scored(candidates(spark, sf_dir, whole), ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
+def score_results(spark, sf_dir):
+    return score.scored(candidates(spark, sf_dir), ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
 @query("score_results_top", f"SELECT * FROM (SELECT doc_id, round({PLAIN}, 6) AS score, row_number() OVER (ORDER BY round({PLAIN}, 6) DESC, doc_id)::INT AS rank FROM {CANDIDATES}) WHERE rank <= 50")
-def score_results_top(spark, sf_dir, whole=False):
+def score_results_top(spark, sf_dir):
     """The flagship: the fifty best documents for a query. Ranks are by rounded score, as engines differ in the last digit."""
-    top = score.scored(candidates(spark, sf_dir, whole), ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    top = score.scored(candidates(spark, sf_dir), ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
 @query("score_results_primary", f"SELECT doc_id, round(1.0::DOUBLE + greatest({sql_match('title', TERMS, 1.0, 1.5)}, {sql_match('title', ['hend', 'st'], 1.0, 1.5)}) + {sql_match('excerpt', TERMS, 0.4, 1.2)} + {sql_recency('age')}, 6) AS score FROM {CANDIDATES}")
-def score_results_primary(spark, sf_dir, whole=False):
-    return score.scored(candidates(spark, sf_dir, whole), ASKED, primary_query=PRIMARY, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
+def score_results_primary(spark, sf_dir):
+    return score.scored(candidates(spark, sf_dir), ASKED, primary_query=PRIMARY, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
 SQL_BOOST = "(CASE WHEN contains(url, '/doc/1') THEN 0.75::DOUBLE ELSE 0 END + CASE WHEN contains(url, '/doc/12') THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN contains(url, '7') THEN 0.25::DOUBLE ELSE 0 END)"
@@ -184,23 +188,23 @@ SQL_EXCERPT = f"(SELECT * REPLACE (CASE WHEN contains(url, '/doc/1') THEN 'Featu
 
 
 @query("score_results_priority", f"SELECT doc_id, excerpt, round({PLAIN} + {SQL_BOOST}, 6) AS score FROM {SQL_EXCERPT}")
-def score_results_priority(spark, sf_dir, whole=False):
-    out = score.scored(candidates(spark, sf_dir, whole), ASKED, ScoringConfig(priority_pages=PAGES), as_of=AS_OF)
+def score_results_priority(spark, sf_dir):
+    out = score.scored(candidates(spark, sf_dir), ASKED, ScoringConfig(priority_pages=PAGES), as_of=AS_OF)
     return out.select("doc_id", "excerpt", six(F.col("score")).alias("score"))
 
 
 @query("score_results_source_weight", f"SELECT doc_id, round((1.0 + coalesce(q, 0))::DOUBLE * coalesce(0.5 + q, 1.0)::DOUBLE + {PLAIN[len('1.0::DOUBLE + '):]}, 6) AS score FROM {CANDIDATES} LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)")
-def score_results_source_weight(spark, sf_dir, whole=False):
+def score_results_source_weight(spark, sf_dir):
     quality = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    rows = candidates(spark, sf_dir, whole).join(quality, "doc_id", "left")
+    rows = candidates(spark, sf_dir).join(quality, "doc_id", "left")
     rows = rows.withColumn("score", (1.0 + F.coalesce("q", F.lit(0)))).withColumn("source_weight", 0.5 + F.col("q"))
     return score.scored(rows, ASKED, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
 @query("score_results_custom_stop", f"SELECT doc_id, round(1.0::DOUBLE + {sql_match('title', ['nd'], 1.0, 1.5)} + {sql_match('excerpt', ['nd'], 0.4, 1.2)} + {sql_recency('age')}, 6) AS score FROM {CANDIDATES}")
-def score_results_custom_stop(spark, sf_dir, whole=False):
+def score_results_custom_stop(spark, sf_dir):
     config = ScoringConfig(custom_stop_words=("Thor", "ER"))
-    return score.scored(candidates(spark, sf_dir, whole), ASKED, config, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
+    return score.scored(candidates(spark, sf_dir), ASKED, config, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
 BATCH = ((0, "er nd"), (1, "the hend"), (2, "worthless clown"))
@@ -210,25 +214,18 @@ SQL_BATCH = " UNION ALL ".join(
 )
 
 
-@query("batch_score", f"SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({SQL_BATCH})) WHERE rank <= 20")
-def batch_score(spark, sf_dir, whole=False):
+@query("batch_score", SQL_BATCH)
+def batch_score(spark, sf_dir):
+    """Every row of the batch."""
     asked = spark.createDataFrame(list(BATCH), "query_id int, query string")
-    rows = candidates(spark, sf_dir, whole).select("*", F.explode(F.array(*[F.lit(k) for k, _ in BATCH])).alias("query_id"))
-    rows = score.batch_scored(asked, rows, as_of=AS_OF).select("query_id", "doc_id", six(F.col("score")).alias("score"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 20")
+    rows = candidates(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(k) for k, _ in BATCH])).alias("query_id"))
+    return score.batch_scored(asked, rows, as_of=AS_OF).select("query_id", "doc_id", six(F.col("score")).alias("score"))
 
 
-#: Of the queries over the beginnings of texts, the same over whole ones.
+#: Queries that had a second name while these names stood for the beginnings of texts; both give the whole form.
 for _name in ("title_match", "content_match", "score_results", "score_results_top", "score_results_primary", "score_results_priority", "score_results_source_weight", "score_results_custom_stop", "batch_score"):
-    query(f"{_name}_whole", ORACLE[_name].replace(CANDIDATES, WHOLE))(partial(QUERIES[_name], whole=True))
-
-
-@query("batch_score_all", SQL_BATCH.replace(CANDIDATES, WHOLE))
-def batch_score_all(spark, sf_dir):
-    """Every row of the batch, over whole texts."""
-    asked = spark.createDataFrame(list(BATCH), "query_id int, query string")
-    rows = candidates(spark, sf_dir, True).select("*", F.explode(F.array(*[F.lit(k) for k, _ in BATCH])).alias("query_id"))
-    return score.batch_scored(asked, rows, as_of=AS_OF).select("query_id", "doc_id", six(F.col("score")).alias("score"))
+    query(f"{_name}_whole", ORACLE[_name])(QUERIES[_name])
+query("batch_score_all", ORACLE["batch_score"])(batch_score)
 
 
 #: Two configs for the batch: one for query 1 by name, the other for the rest. Without recency both engines order alike.
@@ -237,22 +234,22 @@ NAMED = {"titles": ScoringConfig(recency_strategy="none", title_match_boost=2.0,
 LEVEL_SCORE = f"1.0::DOUBLE + {sql_match('title', TERMS, 1.0, 1.5)} + {sql_match('excerpt', TERMS, 0.4, 1.2)}"
 
 
-@query("score_results_ordered", f"SELECT doc_id, round({LEVEL_SCORE}, 6) AS score, row_number() OVER (ORDER BY {LEVEL_SCORE} DESC, doc_id) AS rank FROM {WHOLE}")
+@query("score_results_ordered", f"SELECT doc_id, round({LEVEL_SCORE}, 6) AS score, row_number() OVER (ORDER BY {LEVEL_SCORE} DESC, doc_id) AS rank FROM {CANDIDATES}")
 def score_results_ordered(spark, sf_dir):
     """Every row with its place in the operator's own order."""
-    out = numbered(score.score_results(candidates(spark, sf_dir, True), ASKED, LEVEL, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score")))
+    out = numbered(score.score_results(candidates(spark, sf_dir), ASKED, LEVEL, as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score")))
     return out.select("doc_id", "score", (F.col("rank") + 1).alias("rank"))
 
 
-@query("score_results_page", f"SELECT doc_id, rank - 20 AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY {LEVEL_SCORE} DESC, doc_id) AS rank FROM {WHOLE}) WHERE rank BETWEEN 21 AND 50")
+@query("score_results_page", f"SELECT doc_id, rank - 20 AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY {LEVEL_SCORE} DESC, doc_id) AS rank FROM {CANDIDATES}) WHERE rank BETWEEN 21 AND 50")
 def score_results_page(spark, sf_dir):
     """The limit is the feature: thirty results after the first twenty, in the operator's own order."""
-    out = numbered(score.score_results(candidates(spark, sf_dir, True), ASKED, LEVEL, as_of=AS_OF, limit=30, offset=20).select("doc_id"))
+    out = numbered(score.score_results(candidates(spark, sf_dir), ASKED, LEVEL, as_of=AS_OF, limit=30, offset=20).select("doc_id"))
     return out.select("doc_id", (F.col("rank") + 1).alias("place"))
 
 
 SQL_NAMED = " UNION ALL ".join(
-    f"SELECT {k} AS query_id, doc_id, 1.0::DOUBLE + {sql_match('title', t, title, 1.5)} + {sql_match('excerpt', t, content, 1.2)} + {more} AS score FROM {WHOLE}"
+    f"SELECT {k} AS query_id, doc_id, 1.0::DOUBLE + {sql_match('title', t, title, 1.5)} + {sql_match('excerpt', t, content, 1.2)} + {more} AS score FROM {CANDIDATES}"
     for k, t, title, content, more in (
         (0, ["er", "nd"], 1.0, 0.4, "0"), (1, ["hend"], 2.0, 0.1, "CASE WHEN contains(url, '/doc/1') THEN 0.75::DOUBLE ELSE 0 END"), (2, ["worthless", "clown"], 1.0, 0.4, "0"),
     )
@@ -261,7 +258,7 @@ SQL_NAMED = " UNION ALL ".join(
 
 def asked_by_name(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked = spark.createDataFrame([(k, q, "titles" if k == 1 else None) for k, q in BATCH], "query_id int, query string, config_name string")
-    return asked, candidates(spark, sf_dir, True).select("*", F.explode(F.array(*[F.lit(k) for k, _ in BATCH])).alias("query_id"))
+    return asked, candidates(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(k) for k, _ in BATCH])).alias("query_id"))
 
 
 @query("batch_score_configs", f"SELECT query_id, doc_id, round(score, 6) AS score FROM ({SQL_NAMED})")
@@ -276,28 +273,80 @@ def batch_score_top(spark, sf_dir):
     return score.batch_score_results(*asked_by_name(spark, sf_dir), LEVEL, NAMED, as_of=AS_OF, top=20).select("query_id", "doc_id", "rank")
 
 
+K = "n_nationkey"
+
+
+def sql_match_by(column: str, terms: list[str], boost: str, every: str) -> str:
+    """``sql_match`` with boosts that differ by row."""
+    return sql_match(column, terms, 1.0, 7.0).replace("7.0::DOUBLE", f"(({boost}) * {every})").replace("1.0::DOUBLE END", f"({boost}) END")
+
+
+SQL_NATION_CURVE = "CASE WHEN age <= 0 THEN 1.0::DOUBLE WHEN age >= 2000 THEN 0.0::DOUBLE WHEN age <= 800 THEN 1 - age / 800 * 0.75::DOUBLE ELSE 0.25 - (age - 800) / 1200 * 0.25::DOUBLE END"
+SQL_NATIONS = f"""SELECT {K} AS query_id, doc_id, round(1.0::DOUBLE + CASE WHEN {K} % 2 = 0 THEN {sql_match_by('title', TERMS, 'boost', '1.5')} ELSE {sql_match_by('title', ['hend', 'st'], 'boost', '1.5')} END
+  + CASE WHEN {K} % 2 = 0 THEN {sql_match_by('excerpt', TERMS, 'content', '1.2')} ELSE {sql_match_by('excerpt', ['hend', 'st'], 'content', '1.2')} END
+  + CASE strategy WHEN 'linear' THEN {sql_recency('age', 'linear')} WHEN 'step' THEN {sql_recency('age', 'step')} WHEN 'none' THEN {sql_recency('age', 'none')} WHEN 'custom' THEN {sql_recency('age', 'custom', SQL_NATION_CURVE)} ELSE {sql_recency('age')} END
+  + CASE WHEN named AND {K} % 2 = 0 AND contains(url, '/doc/1') THEN {K} / 20.0::DOUBLE ELSE 0 END, 6) AS score
+  FROM (SELECT *, CASE WHEN named THEN 1 + {K} / 8.0::DOUBLE ELSE 1.0::DOUBLE END AS boost, CASE WHEN named AND {K} % 3 > 0 THEN 0.4 + {K} / 16.0::DOUBLE ELSE 0.4::DOUBLE END AS content,
+    CASE WHEN NOT named THEN 'exponential' ELSE ['exponential', 'linear', 'step', 'none', 'custom'][{K} % 5 + 1] END AS strategy
+    FROM (SELECT *, {K} < 20 AS named FROM {CANDIDATES} JOIN nation ON doc_id % 25 = {K}))"""
+
+
+@query("batch_score_config_table", SQL_NATIONS)
+def batch_score_config_table(spark, sf_dir):
+    """A query for each nation, with settings out of a table: boosts, strategies, a curve and a priority page differ by row; some
+    settings are null, and some names have no settings."""
+    nations, k = read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    points = F.array(*[F.struct(F.lit(x).alias("day"), F.lit(y).alias("boost")) for x, y in ((0.0, 1.0), (800.0, 0.25), (2000.0, 0.0))])
+    page = F.struct(F.lit("/doc/1").alias("url_pattern"), F.array(F.lit("THOR")).alias("keywords"), (k / 20.0).alias("boost"), F.lit(None).cast("string").alias("custom_excerpt"), F.lit(None).cast("string").alias("page_id"))
+    known = nations.filter(k < 20).select(
+        F.col("n_name").alias("config_name"), (1 + k / 8.0).alias("title_match_boost"), F.when(k % 3 > 0, 0.4 + k / 16.0).alias("content_match_boost"),
+        F.element_at(F.array(*map(F.lit, ("exponential", "linear", "step", "none", "custom"))), (k % 5 + 1).cast("int")).alias("recency_strategy"),
+        points.alias("recency_curve"), F.array(page).alias("priority_pages"),
+    )
+    asked = nations.select(k.alias("query_id"), F.when(k % 2 == 0, F.lit(ASKED)).otherwise(F.lit(PRIMARY)).alias("query"), F.col("n_name").alias("config_name"))
+    rows = candidates(spark, sf_dir).withColumn("query_id", F.col("doc_id") % 25)
+    return score.batch_scored(asked, rows, configs=known, as_of=AS_OF).select("query_id", "doc_id", six(F.col("score")).alias("score"))
+
+
+SQL_PAGES = """(SELECT page_id AS page, regexp_extract(url, '/([a-z]+/[0-9]+)', 1) AS pattern, (page_id % 10) / 10.0::DOUBLE AS boost, CASE WHEN page_id % 4 = 0 THEN 'Page ' || page_id END AS shown
+  FROM pages WHERE contains('where to thread', lower(substring(split_part(url, '/', 3), 1, 3))))"""
+
+
+@query("score_results_page_table", f"""SELECT r.page_id, round(1.0::DOUBLE + coalesce(sum(boost), 0), 6) AS score, coalesce(arg_min(shown, page) FILTER (shown IS NOT NULL), '') AS excerpt
+  FROM pages r LEFT JOIN {SQL_PAGES} p ON contains(r.url, pattern) GROUP BY r.page_id""")
+def score_results_page_table(spark, sf_dir):
+    """As many priority pages as there are pages, matched with all URLs without a test for each pair."""
+    pages, url = read(spark, sf_dir, "pages"), F.col("url")
+    own = pages.select(
+        F.col("page_id").alias("page"), F.regexp_extract(url, "/([a-z]+/[0-9]+)", 1).alias("url_pattern"), F.array(F.substring(F.split_part(url, F.lit("/"), F.lit(3)), 1, 3)).alias("keywords"),
+        (F.col("page_id") % 10 / 10.0).alias("boost"), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("Page "), F.col("page_id"))).alias("custom_excerpt"),
+    )
+    rows = pages.select("page_id", "url", F.lit("").alias("title"), F.lit("").alias("excerpt"), F.col("page_id").alias("pos"))
+    return score.scored_by_pages(rows, "where to thread", own, LEVEL).select("page_id", six(F.col("score")).alias("score"), "excerpt")
+
+
 SQL_PHRASE = f"(CASE WHEN len(places) < 2 THEN 1.0::DOUBLE WHEN {SPAN} < 2 THEN 2.5::DOUBLE WHEN {SPAN} <= 5 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END)"
 
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with the places of two words."""
     at = F.filter(F.transform(F.split(F.lower("excerpt"), " "), lambda w, i: F.when(w.isin("er", "nd"), i)), lambda i: i.isNotNull())
-    return candidates(spark, sf_dir, True).withColumn("locations", at.cast("array<bigint>"))
+    return candidates(spark, sf_dir).withColumn("locations", at.cast("array<bigint>"))
 
 
-@query("score_results_locations", f"SELECT doc_id, round(1.0::DOUBLE + {sql_match('title', ['er', 'nd'], 1.0, 1.5)} + {sql_match('excerpt', ['er', 'nd'], 0.4, 1.2)} * {SQL_PHRASE} + {sql_recency('age')}, 6) AS score FROM {WHOLE} JOIN {POSITIONS} USING (doc_id)")
+@query("score_results_locations", f"SELECT doc_id, round(1.0::DOUBLE + {sql_match('title', ['er', 'nd'], 1.0, 1.5)} + {sql_match('excerpt', ['er', 'nd'], 0.4, 1.2)} * {SQL_PHRASE} + {sql_recency('age')}, 6) AS score FROM {CANDIDATES} JOIN {POSITIONS} USING (doc_id)")
 def score_results_locations(spark, sf_dir):
     return score.scored(located(spark, sf_dir), "er nd", as_of=AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
-@query("score_result", f"SELECT doc_id, round(1.0::DOUBLE + {sql_match('title', ['nd'], 1.0, 1.5)} + {sql_match('excerpt', ['nd'], 0.4, 1.2)} + {sql_recency('age')} + {SQL_BOOST}, 6) AS score FROM {WHOLE}")
+@query("score_result", f"SELECT doc_id, round(1.0::DOUBLE + {sql_match('title', ['nd'], 1.0, 1.5)} + {sql_match('excerpt', ['nd'], 0.4, 1.2)} + {sql_recency('age')} + {SQL_BOOST}, 6) AS score FROM {CANDIDATES}")
 def score_result(spark, sf_dir):
     """Rows taken alone: places do not count, own stop words and priority pages do."""
     config = ScoringConfig(custom_stop_words=("Thor", "ER"), priority_pages=PAGES)
     return score.score_each(located(spark, sf_dir), ASKED, config, AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
 
-@query("score_result_with_terms", f"SELECT doc_id, round(1.25::DOUBLE + {sql_match('title', ['er', 'nd'], 1.0, 1.5)} + {sql_match('excerpt', ['er', 'nd'], 0.4, 1.2)} + {sql_recency('age')}, 6) AS score FROM {WHOLE}")
+@query("score_result_with_terms", f"SELECT doc_id, round(1.25::DOUBLE + {sql_match('title', ['er', 'nd'], 1.0, 1.5)} + {sql_match('excerpt', ['er', 'nd'], 0.4, 1.2)} + {sql_recency('age')}, 6) AS score FROM {CANDIDATES}")
 def score_result_with_terms(spark, sf_dir):
     return score.score_with_terms(located(spark, sf_dir), ["er", "nd"], ScoringConfig(), F.lit(0.25), AS_OF).select("doc_id", six(F.col("score")).alias("score"))
 
@@ -311,20 +360,6 @@ def date_of_seconds(spark, sf_dir):
 
 
 def sorted_parts(field: str, direction: str) -> Query:
-    def run(spark, sf_dir):
-        parts = read(spark, sf_dir, "part").withColumn("score", (F.col("p_partkey") % 5).cast("double")).withColumn("pos", F.col("p_partkey"))
-        top = score.sort_override(parts, field, direction).limit(100)
-        turn = F.desc(field) if direction == "desc" else F.asc(field)
-        return top.select("p_partkey", F.row_number().over(Window.orderBy(turn, F.desc("score"), "pos")).alias("rank"))
-
-    return run
-
-
-for _name, _field, _direction in (("sort_override_numeric", "p_retailprice", "desc"), ("sort_override_string", "p_brand", "asc")):
-    query(_name, f"SELECT * FROM (SELECT p_partkey, row_number() OVER (ORDER BY {_field} {_direction}, p_partkey % 5 DESC, p_partkey)::INT AS rank FROM part) WHERE rank <= 100")(sorted_parts(_field, _direction))
-
-
-def all_sorted_parts(field: str, direction: str) -> Query:
     """Every row with its place in the operator's order."""
 
     def run(spark, sf_dir):
@@ -334,8 +369,9 @@ def all_sorted_parts(field: str, direction: str) -> Query:
     return run
 
 
-for _name, _field, _direction in (("sort_override_numeric_all", "p_retailprice", "desc"), ("sort_override_string_all", "p_brand", "asc")):
-    query(_name, f"SELECT p_partkey, row_number() OVER (ORDER BY {_field} {_direction}, p_partkey % 5 DESC, p_partkey) AS rank FROM part")(all_sorted_parts(_field, _direction))
+for _name, _field, _direction in (("sort_override_numeric", "p_retailprice", "desc"), ("sort_override_string", "p_brand", "asc")):
+    for _form in (_name, f"{_name}_all"):  # the second name is of the time when the first kept a hundred rows
+        query(_form, f"SELECT p_partkey, row_number() OVER (ORDER BY {_field} {_direction}, p_partkey % 5 DESC, p_partkey) AS rank FROM part")(sorted_parts(_field, _direction))
 
 
 @query("sort_override_missing", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
@@ -344,6 +380,48 @@ def sort_override_missing(spark, sf_dir):
     return score.sort_override(rows, "meta", "asc").select("event_id")
 
 
+TAIL = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '{"k": null}' WHEN 2 THEN '{"k": "w' || event_id % 10 || '"}' WHEN 3 THEN '{"j": 1}'
+  ELSE '{"k": "' || event_id % 97 || '.5"}' END AS tail FROM events)"""
+TAIL_TEXT = "CASE json_type(tail, '$.k') WHEN 'NULL' THEN '' ELSE json_extract_string(tail, '$.k') END"
+
+
+@query("sort_override_tail", f"""SELECT event_id, row_number() OVER (ORDER BY TRY_CAST(t AS DOUBLE) DESC NULLS FIRST, t DESC, event_id % 3 DESC, event_id) AS rank
+  FROM (SELECT event_id, {TAIL_TEXT} AS t FROM {TAIL} WHERE json_exists(tail, '$.k'))""")
+def sort_override_tail(spark, sf_dir):
+    """Sorted by a key of an open tail, whose values are numbers, texts, numbers as texts, null, or not there."""
+    k = F.col("event_id")
+    tail = (
+        F.when(k % 5 == 0, F.col("props")).when(k % 5 == 1, F.lit('{"k": null}')).when(k % 5 == 2, F.concat(F.lit('{"k": "w'), k % 10, F.lit('"}')))
+        .when(k % 5 == 3, F.lit('{"j": 1}')).otherwise(F.concat(F.lit('{"k": "'), k % 97, F.lit('.5"}')))
+    )
+    rows = read(spark, sf_dir, "events").select("event_id", F.parse_json(tail).alias("tail"), (k % 3).cast("double").alias("score"), k.alias("pos"))
+    return numbered(score.sort_override(rows, "k", "desc", tail="tail").select("event_id")).select("event_id", (F.col("rank") + 1).alias("rank"))
+
+
+LINES = """(SELECT event_id, '{"url":' || CASE event_id % 6 WHEN 0 THEN event_id || '' WHEN 1 THEN 'null' ELSE '"/e/' || event_id || '"' END || ',"title":"' || event_type || '"'
+  || CASE WHEN event_id % 5 = 0 THEN '' ELSE ',"excerpt":"x"' END || ',"score":' || CASE WHEN event_id % 7 = 0 THEN '"high"' ELSE user_id || '' END
+  || CASE WHEN event_id % 4 = 0 THEN ',"locations":[1,' || user_id || CASE WHEN event_id % 8 = 0 THEN ',-1]' ELSE ']' END ELSE '' END || ',"props":' || props || CASE WHEN event_id % 11 = 0 THEN '' ELSE '}' END AS line FROM events)"""
+
+
+@query("strict_rows", f"""SELECT event_id, reason, CASE WHEN reason IS NULL THEN json_extract_string(line, '$.url') END AS url, CASE WHEN reason IS NULL THEN CAST(json_extract_string(line, '$.score') AS DOUBLE) END AS score,
+  CASE WHEN reason IS NULL THEN len(coalesce(CAST(json_extract(line, '$.locations') AS BIGINT[]), [])) ELSE -1 END AS n_places, CASE WHEN json_valid(line) THEN CAST(json_extract_string(line, '$.props.k') AS BIGINT) ELSE -1 END AS k
+  FROM (SELECT event_id, line, CASE WHEN NOT json_valid(line) THEN 'it is not JSON' WHEN NOT json_exists(line, '$.excerpt') THEN 'a row lacks excerpt' WHEN json_type(line, '$.url') <> 'VARCHAR' THEN 'url has a wrong type'
+    WHEN json_type(line, '$.score') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'score has a wrong type'
+    WHEN list_contains(CAST(json_extract(line, '$.locations') AS BIGINT[]), -1) THEN 'locations has a wrong type' END AS reason FROM {LINES})""")
+def strict_rows(spark, sf_dir):
+    """Lines of JSON read strictly: what keeps a row out, and what the fit ones hold."""
+    k, of = F.col("event_id"), lambda c: F.col(c).cast("string")
+    parts = [
+        F.lit('{"url":'), F.when(k % 6 == 0, of("event_id")).when(k % 6 == 1, F.lit("null")).otherwise(F.concat(F.lit('"/e/'), k, F.lit('"'))), F.lit(',"title":"'), F.col("event_type"), F.lit('"'),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.lit(',"excerpt":"x"')), F.lit(',"score":'), F.when(k % 7 == 0, F.lit('"high"')).otherwise(of("user_id")),
+        F.when(k % 4 == 0, F.concat(F.lit(',"locations":[1,'), of("user_id"), F.when(k % 8 == 0, F.lit(",-1]")).otherwise(F.lit("]")))).otherwise(F.lit("")),
+        F.lit(',"props":'), F.col("props"), F.when(k % 11 == 0, F.lit("")).otherwise(F.lit("}")),
+    ]
+    rows = requests.checked_rows(read(spark, sf_dir, "events").select("event_id", F.concat(*parts).alias("line")), "line")
+    places = F.when(F.col("reason").isNull(), F.size(F.coalesce("locations", F.array().cast("array<bigint>")))).otherwise(F.lit(-1)).cast("bigint")
+    return rows.select("event_id", "reason", "url", "score", places.alias("n_places"), F.coalesce(F.try_variant_get("tail", "$.props.k", "bigint"), F.lit(-1)).cast("bigint").alias("k"))
+
+
 # --- merge --------------------------------------------------------------------------------------------------------------
 
 SETS = """(SELECT url, 'Page ' || (page_id % 100) AS title, (page_id % 17)::DOUBLE * 0.7::DOUBLE AS score, 0 AS set_id, page_id AS pos, page_id FROM pages
@@ -388,9 +466,12 @@ def merge_debug(spark, sf_dir):
     return stats.withColumn("sets", sets)
 
 
-@query("match_priority_pages", "SELECT * FROM (VALUES ('/doc/1', 0.75::DOUBLE), ('/doc/12', 0.5::DOUBLE), ('7', 0.25::DOUBLE)) t(url_pattern, boost)")
+@query("match_priority_pages", """SELECT page_id, url AS url_pattern FROM pages WHERE contains('go thror or thther', lower(split_part(split_part(url, '/', 3), '.', 1))) OR contains('go thror or thther', split_part(url, '/', 4))""")
 def match_priority_pages(spark, sf_dir):
-    return score.match_priority_pages(score.pages_frame(spark, PAGES), ASKED).select("url_pattern", "boost")
+    """Every page as a priority page, its keywords out of its URL."""
+    url = F.col("url")
+    words = F.array(F.upper(F.split_part(F.split_part(url, F.lit("/"), F.lit(3)), F.lit("."), F.lit(1))), F.split_part(url, F.lit("/"), F.lit(4)))
+    return score.match_priority_pages(read(spark, sf_dir, "pages").select("page_id", url.alias("url_pattern"), words.alias("keywords")), "Go THROR or thther").select("page_id", "url_pattern")
 
 
 # --- redaction, conversations -------------------------------------------------------------------------------------------
@@ -428,6 +509,19 @@ def truncate_conversation(spark, sf_dir):
     return dialogue.truncate_conversation(rows, ConversationConfig(max_length=1500), content="text").select("conv_id", "turn")
 
 
+@query("truncate_conversation_times", ORACLE["truncate_conversation"])
+def truncate_conversation_times(spark, sf_dir):
+    """Turns that are times, with gaps of days."""
+    at = (F.lit(1_700_000_000_000) + F.col("turn") * 86_400_000 * (1 + F.col("conv_id") % 3)).alias("at")
+    rows = read(spark, sf_dir, "conversations").select("*", at)
+    return dialogue.truncate_conversation(rows, ConversationConfig(max_length=1500), turn="at", content="text").select("conv_id", "turn")
+
+
+#: Settings as they come in requests; what has a wrong type takes its default.
+GIVEN = json.loads('{"redact_phone": false, "redact_ip": "no", "redact_email": true, "custom_patterns": [{"regex": "th([a-z]+)", "replacement": "<$1>"}, {"regex": 5}]}')
+sanitize_query("sanitize_settings", SanitizeConfig.from_dict(GIVEN), (ALL_STEPS[0], ALL_STEPS[1], ALL_STEPS[2], ALL_STEPS[4], (r"th([a-z]+)", r"<\1>")), "documents", ("doc_id",))
+
+
 # --- expansion ----------------------------------------------------------------------------------------------------------
 
 WORDS = "string_split(p_name, ' ')"
@@ -511,34 +605,80 @@ def extract_contexts(spark, sf_dir):
     return passages.batch_extract_context(docs, " ".join(SOUGHT), CONTEXT)
 
 
-@query("resolve_prompt", "SELECT * FROM (VALUES ('a', true, false), ('b', true, true), ('c', false, false)) t(k, known, anchored)")
+@query("extract_context_settings", SQL_CONTEXT)
+def extract_context_settings(spark, sf_dir):
+    """Settings as they come in requests; the separator has a wrong type."""
+    given = ContextConfig.from_dict(json.loads('{"max_length": 1200, "intro_length": 300, "snippet_radius": 80, "separator": 5}'))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.lit("").alias("title"), F.col("text").alias("content"))
+    return passages.batch_extract_context(docs, " ".join(SOUGHT), given)
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+SQL_TEMPLATES = "(VALUES " + ", ".join(f"({sql_text(k)}, {sql_text(v)})" for k, v in templates.TEMPLATES.items()) + ") t(prompt_name, template)"
+SQL_ASKED = "(SELECT s_suppkey, ['expand_query', 'summarize', 'follow_up', 'none'][s_suppkey % 4 + 1] AS prompt_name, s_name, CASE WHEN s_suppkey % 3 > 0 THEN 'of {SITE_NAME}, number ' || s_nationkey END AS about, s_suppkey % 5 AS n FROM supplier)"
+
+
+def asked_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(k, F.element_at(F.array(*map(F.lit, (*templates.TEMPLATES, "none"))), (k % 4 + 1).cast("int")).alias("prompt_name"), "s_name", "s_nationkey")
+
+
+@query("resolve_prompt", f"""SELECT s_suppkey, md5(replace(replace(replace(template, '{{SITE_NAME}}', s_name), '{{SITE_DESCRIPTION}}', coalesce(about, '')), '{{DYNAMIC_ANCHORS}}', array_to_string(list_transform(range(0, n), lambda i: '#' || i), chr(10)))) AS prompt
+  FROM {SQL_ASKED} a LEFT JOIN {SQL_TEMPLATES} ON a.prompt_name = t.prompt_name""")
 def resolve_prompt(spark, sf_dir):
-    rows = [("a", "expand_query", "Site", "a shop", None), ("b", " summarize ", "{SITE_DESCRIPTION}", "a shop", ["x", "y"]), ("c", "none", "", "", [])]
-    asked = spark.createDataFrame(rows, "k string, prompt_name string, site_name string, site_description string, dynamic_anchors array<string>")
-    out = templates.resolve_prompts(asked)
-    whole = F.contains("prompt", F.lit("a shop")) & ~F.contains("prompt", F.lit("{SITE_"))
-    return out.select("k", F.coalesce(whole, F.lit(False)).alias("known"), F.coalesce(F.contains("prompt", F.lit("x\ny")), F.lit(False)).alias("anchored"))
+    """A prompt for each supplier; unknown names have none, and a mark inside a description stays."""
+    k = F.col("s_suppkey")
+    anchors = F.when(k % 5 > 0, F.transform(F.sequence(F.lit(0), F.greatest((k % 5).cast("int") - 1, F.lit(0))), lambda i: F.concat(F.lit("#"), i)))
+    about = F.when(k % 3 > 0, F.concat(F.lit("of {SITE_NAME}, number "), "s_nationkey"))
+    asked = asked_prompts(spark, sf_dir).select(k, F.concat(F.lit(" "), "prompt_name", F.lit("\n")).alias("prompt_name"), F.col("s_name").alias("site_name"), about.alias("site_description"), anchors.alias("dynamic_anchors"))
+    return templates.resolve_prompts(asked).select("s_suppkey", F.md5("prompt").alias("prompt"))
 
 
-@query("get_prompt", "SELECT * FROM (VALUES ('expand_query'), ('summarize'), ('follow_up')) t(prompt_name)")
+@query("get_prompt", f"SELECT s_suppkey, md5(template) AS template FROM {SQL_ASKED} a LEFT JOIN {SQL_TEMPLATES} ON a.prompt_name = t.prompt_name")
 def get_prompt(spark, sf_dir):
-    return templates.templates_frame(spark).filter(F.contains("template", F.lit("{SITE_NAME}"))).select("prompt_name")
+    return asked_prompts(spark, sf_dir).join(F.broadcast(templates.templates_frame(spark)), "prompt_name", "left").select("s_suppkey", F.md5("template").alias("template"))
+
+
+SQL_FUNCTIONS = "[" + ", ".join(sql_text(f[0]) for f in manifest.FUNCTIONS) + "]"
 
 
-@query("describe", """SELECT * FROM (VALUES ('score_results', 'json', 'json'), ('merge_results', 'json', 'json'), ('match_priority_pages', 'json', 'json'),
+@query("describe", f"""WITH f AS (SELECT * FROM (VALUES ('score_results', 'json', 'json'), ('merge_results', 'json', 'json'), ('match_priority_pages', 'json', 'json'),
   ('parse_expansion', 'string', 'json'), ('batch_score_results', 'json', 'json'), ('resolve_prompt', 'json', 'string'), ('get_prompt', 'string', 'string'),
   ('extract_context', 'json', 'string'), ('batch_extract_context', 'json', 'json'), ('sanitize_query', 'json', 'string'), ('truncate_conversation', 'json', 'json'),
-  ('version', 'none', 'string'), ('describe', 'none', 'json')) t(name, input_type, output_type)""")
+  ('version', 'none', 'string'), ('describe', 'none', 'json')) t(name, input_type, output_type))
+  SELECT name, input_type, output_type, count(*) AS calls FROM (SELECT {SQL_FUNCTIONS}[event_id % 13 + 1] AS name FROM events) JOIN f USING (name) GROUP BY ALL""")
 def describe(spark, sf_dir):
-    return manifest.describe(spark).select("name", "input_type", "output_type")
+    """The events as calls of the interface's functions, with what these take and return."""
+    names = F.array(*[F.lit(f[0]) for f in manifest.FUNCTIONS])
+    calls = read(spark, sf_dir, "events").groupBy(F.element_at(names, (F.col("event_id") % 13 + 1).cast("int")).alias("name")).agg(F.count(F.lit(1)).alias("calls"))
+    return calls.join(manifest.describe(spark), "name").select("name", "input_type", "output_type", "calls")
 
 
-@query("version", f"SELECT '{manifest.version()}' AS version")
+@query("version", f"SELECT r_regionkey, '0.1.0' AS version FROM region")
 def version(spark, sf_dir):
-    return spark.range(1).select(F.lit(manifest.version()).alias("version"))
+    """Rows marked with the version that made them."""
+    return read(spark, sf_dir, "region").select("r_regionkey", F.lit(manifest.version()).alias("version"))
 
 
-@query("config_warnings", "SELECT * FROM (VALUES ('recency_boost_max'), ('results_per_page'), ('recency_strategy')) t(field)")
+#: A table of settings from parts: some out of range, some null, some negative where counts are wanted.
+SQL_SETTINGS = """(SELECT p_partkey, (p_size - 10) / 8.0::DOUBLE AS boost, CASE WHEN p_size * 150 - 300 < 0 THEN 365 ELSE p_size * 150 - 300 END AS half,
+  CASE WHEN p_size * 4 - 20 < 0 THEN 10 ELSE p_size * 4 - 20 END AS page, p_partkey % 4 AS s, p_partkey % 8 = 2 AS points FROM part)"""
+
+
+@query("config_warnings", f"""SELECT p_partkey, least(greatest(boost, 0.0), 2.0)::DOUBLE AS recency_boost_max, least(greatest(half, 1), 3650)::BIGINT AS recency_half_life_days, least(greatest(page, 1), 100)::BIGINT AS results_per_page,
+  array_to_string(list_filter([CASE WHEN boost NOT BETWEEN 0 AND 2 THEN 'recency_boost_max' END, CASE WHEN half NOT BETWEEN 1 AND 3650 THEN 'recency_half_life_days' END, CASE WHEN page NOT BETWEEN 1 AND 100 THEN 'results_per_page' END,
+    CASE WHEN s = 1 THEN 'recency_strategy' END, CASE WHEN s = 2 THEN 'recency_curve' END], lambda x: x IS NOT NULL), ',') AS fields,
+  CASE WHEN boost NOT BETWEEN 0 AND 2 THEN boost || ' is not within 0.0 to 2.0; ' || CASE WHEN boost < 0 THEN '0' ELSE '2' END || ' is used' END AS told FROM {SQL_SETTINGS}""")
 def config_warnings(spark, sf_dir):
-    found = ScoringConfig.from_dict_validated({"recency_boost_max": 10.0, "results_per_page": 0, "recency_strategy": "odd"})[1]
-    return spark.createDataFrame([(w.field, w.message) for w in found], "field string, message string").select("field")
+    """Settings out of a table, moved into their ranges, with what is to be said about them."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    point = lambda day, boost: F.struct(F.lit(day).alias("day"), F.lit(boost).alias("boost"))
+    given = read(spark, sf_dir, "part").select(
+        k, ((size - 10) / 8.0).alias("recency_boost_max"), (size * 150 - 300).alias("recency_half_life_days"), (size * 4 - 20).alias("results_per_page"),
+        F.when(k % 4 == 0, F.lit("linear")).when(k % 4 == 1, F.lit("odd")).when(k % 4 == 2, F.lit("custom")).alias("recency_strategy"), F.when(k % 8 == 2, F.array(point(1.0, 1.0), point(1.0, 0.5))).alias("recency_curve"),
+    )
+    told = F.get(F.filter("warnings", lambda w: w["field"] == "recency_boost_max"), F.lit(0))["message"]
+    return configs.validated(given).select("p_partkey", "recency_boost_max", "recency_half_life_days", "results_per_page", F.array_join("warnings.field", ",").alias("fields"), told.alias("told"))

@@ -10,7 +10,7 @@ import datetime
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..config import ContextConfig, ConversationConfig, ExpansionConfig, PriorityPage, SanitizeConfig, ScoringConfig
@@ -19,6 +19,7 @@ from ..functions.context import extract_context as context_of
 from ..functions.expansion import parse_expansion as terms_of
 from ..functions.redact import sanitize
 from ..operators import dialogue, manifest, merge, passages, score, templates
+from ..tables import emptied, written
 
 REQUIRED = ("url", "title", "excerpt")
 CORE = "url string, title string, excerpt string, date string, score double, content_type string, site_name string, source_weight double, locations array<bigint>"
@@ -44,6 +45,52 @@ def read_results(spark: SparkSession, path: str, bad_rows: str = "fail", extra:
     return df.withColumn("url", F.when(whole, F.col("url")).otherwise(F.raise_error(F.lit("a row lacks url, title or excerpt")).cast("string")))
 
 
+def checked(lines: Column) -> Column:
+    """A line of JSON as a strictly read row: STRUCT<reason, row, tail>. ``reason`` is null for a row that is fit, else says what
+    keeps it out; ``row`` has the core fields, ``tail`` the whole object as VARIANT, for its further fields.
+
+    Fields must have their types, as in the JSON requests: a number is no url. Lines with a key twice are no JSON here."""
+    value = F.try_parse_json(lines)
+    whole = F.schema_of_variant(value)
+    part = {n: F.try_variant_get(value, f"$.{n}", "variant") for n in _TYPES}
+    reason = F.when(value.isNull(), F.lit("it is not JSON")).when(~F.startswith(whole, F.lit("OBJECT")), F.lit("a row is not an object"))
+    for name in REQUIRED:
+        reason = reason.when(part[name].isNull(), F.lit(f"a row lacks {name}"))
+    for name, kind in _TYPES.items():
+        told = F.schema_of_variant(part[name])
+        fits = {str: told == "STRING", float: told.rlike(r"\A(BIGINT|DECIMAL|DOUBLE|FLOAT)")}.get(kind)
+        if kind is list:
+            places = F.try_variant_get(value, f"$.{name}", "array<bigint>")
+            fits = told.isin("ARRAY<BIGINT>", "ARRAY<VOID>") & F.coalesce(F.forall(places, lambda x: x.isNotNull() & x.between(0, 2**32 - 1)), F.lit(False))
+        if name in ("source_weight", "locations"):
+            fits = fits | (told == "VOID")
+        reason = reason.when(part[name].isNotNull() & ~fits, F.lit(f"{name} has a wrong type"))
+    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(CORE).fields}
+    row = F.struct(*[F.try_variant_get(value, f"$.{n}", kinds[n]).alias(n) for n in _TYPES])
+    return F.struct(reason.alias("reason"), F.when(reason.isNull(), row).alias("row"), value.alias("tail"))
+
+
+def checked_rows(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``lines`` with ``reason``, the core fields and ``tail``; what stands under these names already is replaced."""
+    others = [c for c in lines.columns if c not in {"reason", "tail", *_TYPES}]
+    return lines.select(*others, checked(F.col(column)).alias("_checked")).select(*others, "_checked.reason", "_checked.row.*", "_checked.tail")
+
+
+def quarantined(rows: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Of ``checked_rows``: those that are fit, and the lines of the others with their reason."""
+    return rows.filter("reason is null").drop("reason", column), rows.filter("reason is not null").select(*[c for c in rows.columns if c not in {"tail", *_TYPES}])
+
+
+def load_results(spark: SparkSession, path: str, good: str, bad: str) -> None:
+    """Read JSON lines once and add the fit rows to the Parquet table ``good``, the others to ``bad``. The rows go through a table in
+    the shared folder, so the lines are parsed once."""
+    rows = written(checked_rows(spark.read.text(path)), "checked")
+    fit, unfit = quarantined(rows)
+    fit.write.mode("append").parquet(good)
+    unfit.write.mode("append").parquet(bad)
+    emptied(rows)
+
+
 def _loaded(function: str, text: str) -> dict[str, Any]:
     try:
         value = json.loads(text)
@@ -175,12 +222,13 @@ def merge_results(spark: SparkSession, text: str) -> str:
         "deduplicate_by": by if isinstance(by, str) else None, "case_sensitive": request.get("case_sensitive") is True,
         "exclude_urls": urls if isinstance(urls, list) and all(isinstance(u, str) for u in urls) else [], "normalize_urls": request.get("normalize_urls") is True,
     }
-    merged = [_answer(r) for r in merge.merge_results(frames, **options).collect()] if frames else []
     if request.get("debug") is not True:
-        return _dump(merged)
+        return _dump([_answer(r) for r in merge.merge_results(frames, **options).collect()] if frames else [])
     if not frames:
         return _dump({"results": [], "debug": {"sets": [], "total_before_dedup": 0, "total_after_dedup": 0, "excluded_count": 0}})
-    return _dump({"results": merged, "debug": merge.merge_stats(frames, **options).first().asDict(recursive=True)})
+    merged, figures = merge.merge_observed(frames, **options)
+    rows = sorted(merged.collect(), key=lambda r: (-r["score"], r["set_id"], r["pos"]))
+    return _dump({"results": [_answer(r) for r in rows], "debug": figures()})
 
 
 def match_priority_pages(spark: SparkSession, text: str) -> str:
