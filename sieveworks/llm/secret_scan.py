@@ -41,7 +41,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Character class: its runs, letters in its alphabet, window, least entropy in bits (None: that of random strings), and
 #: least changes of kind where the entropy is that of random strings.
 CLASSES = (
-    ("hex", re.compile(r"[0-9A-Fa-f]{20,}"), 16, 20, 3.0, 0), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 64, 24, 4.0, 7),
+    ("hex", re.compile(r"[0-9A-Fa-f]{20,}"), 16, 20, 3.0, 0), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 64, 24, 4.0, 0),
     ("lower", re.compile(r"(?<![A-Za-z0-9])[a-z0-9]{20,}(?![A-Za-z0-9])"), 36, 24, None, 3), ("upper", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{20,}(?![A-Za-z0-9])"), 36, 24, None, 3),
 )
 #: Candidates that are not secrets: words, plain numbers, UUIDs, paths and dashed or underscored words.
@@ -51,6 +51,8 @@ ALLOWED = (
     re.compile(r"[A-Za-z]*([/_=+-]+([A-Za-z]+|[0-9]{1,8}))+[/_=+-]*"),
 )
 LETTERS, LETTER_CHANGES = re.compile(r"[A-Za-z]{20,}"), 0.36
+#: Least share of changes of kind within the parts of a base64 run, between signs.
+SIGNS, PART_CHANGES = re.compile(r"[+/_=-]+"), 0.30
 
 
 @lru_cache(maxsize=None)
@@ -75,6 +77,12 @@ def changes(text: str) -> int:
     return sum(a != b for a, b in zip(kinds, kinds[1:]))
 
 
+def is_names(run: str) -> bool:
+    """Whether the parts of a run between signs are words, names and numbers rather than random."""
+    parts = [p for p in SIGNS.split(run) if p]
+    return sum(map(changes, parts)) < PART_CHANGES * sum(map(len, parts))
+
+
 def window_entropies(text: str, width: int) -> Iterator[float]:
     """Entropy in bits of each window of ``width`` characters, kept up to date by one in and one out."""
     weigh = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]  # one comes in before one goes out
@@ -93,18 +101,6 @@ def window_entropies(text: str, width: int) -> Iterator[float]:
             yield most - total / width
 
 
-def window_spans(text: str, width: int, least: float) -> list[tuple[int, int]]:
-    """Unions of the windows of ``width`` characters whose entropy is at least ``least``."""
-    spans: list[tuple[int, int]] = []
-    for start, bits in enumerate(window_entropies(text, width)):
-        if bits >= least - 1e-9:
-            if spans and start <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], start + width)
-            else:
-                spans.append((start, start + width))
-    return spans
-
-
 def is_hot(text: str, letters: int, window: int, fixed: float | None, least_changes: float) -> bool:
     """Whether any window of the run reaches the threshold of its class."""
     width = min(window, len(text))
@@ -126,11 +122,11 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
             if is_hot(whole, 52, 24, None, LETTER_CHANGES * len(whole)):
                 found.append((begin, begin + len(whole)))
             continue
-        for _, runs, letters, window, fixed, least_changes in CLASSES:
+        for name, runs, letters, window, fixed, least_changes in CLASSES:
             for run in runs.finditer(whole):
                 part = run.group()
                 mixed = any(c.isdigit() for c in part) and any(c.isalpha() for c in part)
-                if mixed and is_hot(part, letters, window, fixed, least_changes):
+                if mixed and not (name == "base64" and is_names(part)) and is_hot(part, letters, window, fixed, least_changes):
                     found.append((begin + run.start(), begin + run.end()))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
