@@ -18,7 +18,7 @@ from .text import words_of
 SENTENCE = r"(?s)\A(.*[.!?])(?= |\z)"
 LOOK_BACK = 200
 #: Entries of an array that are carried along at a time.
-BLOCK = 512
+BLOCK = 128
 
 
 def truncate_at_sentence(text: Column, most: int) -> Column:

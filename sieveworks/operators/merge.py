@@ -47,7 +47,7 @@ def excluded(df: DataFrame, urls: Sequence[str] | DataFrame, normalize_urls: boo
     """Rows whose URL key is none of ``urls``; a table of them has the column ``url``."""
     if not isinstance(urls, DataFrame):
         keys = [url_key(F.lit(u), normalize_urls) for u in urls]
-        return df.filter(~url_key(F.col("url"), normalize_urls).isin(keys)) if keys else df
+        return df.filter(~F.coalesce(url_key(F.col("url"), normalize_urls).isin(keys), F.lit(False))) if keys else df
     key = url_key(F.col("url"), normalize_urls)
     return df.withColumn("_out", key).join(out_keys(urls, normalize_urls), "_out", "left_anti").drop("_out")
 
