@@ -37,9 +37,9 @@ WORD_BITS, PAIR_BITS = 26, 27
 #: Occurrences of words for each range of prefixes, and least number of ranges.
 RANGE_WORDS, LEAST_RANGES = 4_000_000, 64
 #: Words of a shard, and different ones, at which its trie is written and a new one begun.
-SHARD_WORDS, SHARD_VOCABULARY = 3_000_000, 400_000
+SHARD_WORDS, SHARD_VOCABULARY = 2_000_000, 300_000
 #: Entries that a merging task holds before it sums them, and bytes of texts taken apart at a time.
-MERGED, STEP_BYTES = 1_000_000, 4 << 20
+MERGED, STEP_BYTES = 500_000, 4 << 20
 SEEDS = 8
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

@@ -7,7 +7,8 @@ at least ``LEAST_SHARE`` of its words, and it does not fail the base rules of le
 
 The field is trained on the labelled documents: lines of good documents are content. Of a bad document it is not known which
 lines are to blame: all are, at first; after each round its lines are labelled anew by decoding, as long as boilerplate
-keeps the larger part. The likelihood's gradient comes from forward and backward sums, and climbs by Adam.
+keeps the larger part. As documents that are good or bad as a whole would teach that labels never change, the lines of each
+bad document are also set into a good one. The likelihood's gradient comes from forward and backward sums, and climbs by Adam.
 
 Training takes about ``FIT_ROWS`` labelled documents, half of either class where there are as many, picked by a hash of
 doc_id, and of each up to ``FIT_LINES`` lines. Labels of rows whose crc32(doc_id as text) mod 5 is 0 are not used, so that
@@ -23,7 +24,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table, text_of
 
-FIT_ROWS, FIT_LINES = 4_000, 256
+FIT_ROWS, FIT_LINES = 2_000, 64
 LEAST_SHARE = 0.5
 #: Base rules: words that a text has at least, words of a window, and percent of words in repeated windows at most.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 STEP_BYTES = 4 << 20
-ROUNDS, STEPS, RATE, WEIGHT_DECAY = 3, 60, 0.1, 0.002
+ROUNDS, STEPS, RATE, WEIGHT_DECAY = 3, 50, 0.1, 0.002
 
 _KINDS = ("blank", "start", "symbol", "upper", "lower", "digit", "mark", "shout")
 _OF = {
@@ -219,10 +220,18 @@ def train(documents: list[tuple[bool, np.ndarray, np.ndarray]]) -> Field:
     documents = [d for d in documents if len(d[1])]
     if len({good for good, _, _ in documents}) < 2:
         return field
-    n, length = len(documents), max(len(f) for _, f, _ in documents)
+    labels = [np.full(len(f), float(good)) for good, f, _ in documents]
+    goods, bads = ([k for k, d in enumerate(documents) if d[0] == want] for want in (True, False))
+    # Sequences of (document, from, to): each document, and bad ones within good ones.
+    sequences = [[(k, 0, len(f))] for k, (_, f, _) in enumerate(documents)]
+    for g, b in zip(goods, bads, strict=False):
+        half = len(labels[g]) // 2
+        sequences.append([(g, 0, half), (b, 0, len(labels[b])), (g, half, len(labels[g]))])
+    n, length = len(sequences), max(sum(b - a for _, a, b in s) for s in sequences)
     x, mask, y = np.zeros((n, length, FEATURES)), np.zeros((n, length), bool), np.zeros((n, length))
-    for k, (good, f, _) in enumerate(documents):
-        x[k, : len(f)], mask[k, : len(f)], y[k, : len(f)] = f, True, good
+    for row, parts in enumerate(sequences):
+        own = np.concatenate([documents[k][1][a:b] for k, a, b in parts])
+        x[row, : len(own)], mask[row, : len(own)] = own, True
     lines = mask.sum()
     field.weights[0] = 0.0
     moments = [np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(FEATURES), np.zeros((2, 2))]
@@ -232,7 +241,10 @@ def train(documents: list[tuple[bool, np.ndarray, np.ndarray]]) -> Field:
             for k, (good, f, words) in enumerate(documents):
                 if not good:
                     found = field.decode(f, np.zeros(len(f), np.int64))
-                    y[k, : len(f)] = found if words[found].sum() < LEAST_SHARE * words.sum() else False
+                    labels[k] = found * float(words[found].sum() < LEAST_SHARE * words.sum())
+        for row, parts in enumerate(sequences):
+            own = np.concatenate([labels[k][a:b] for k, a, b in parts])
+            y[row, : len(own)] = own
         for _ in range(STEPS):
             step += 1
             _, by_weight, by_step = gradient(field, x, mask, y)

@@ -234,14 +234,14 @@ PARTS = "over bigint, of bigint, key bigint, slice bigint, doc_id bigint, h bigi
 
 
 def settled(seen: DataFrame, texts: DataFrame, length: int, gram: int = GRAM, level: int = 0) -> DataFrame:
-    """(key, slice, uses, own, any, later) of the slices of ``seen``: how often each occurs, where first, and which of its
-    windows are repeated, or have an earlier match, in other slices of the key.
+    """(key, slice, uses, own, any, later) of the slices of ``seen``: how often each occurs (the sum of ``copies``), where first, and
+    which of its windows are repeated, or have an earlier match, in other slices of the key.
 
     A key with too many different slices to be sorted in one task is taken apart by what its windows share around the
     anchor, step by step; with a step of one, windows with equal keys are equal, so this ends.
     """
     place = F.struct("doc_id", "h", "first", "last")
-    kinds = written(seen.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("uses"), F.min(place).alias("own")), "slices")
+    kinds = written(seen.groupBy("key", "slice").agg(F.sum("copies").alias("uses"), F.min(place).alias("own")), "slices")
     several = written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several")
     cut = kinds.join(several, "key").select("key", "slice", "kinds", "own.*")
     bytes_of = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("last") - F.col("first") + length)
@@ -254,7 +254,7 @@ def settled(seen: DataFrame, texts: DataFrame, length: int, gram: int = GRAM, le
     ranked = few.select("key", "slice", "data").mapInPandas(ranked_groups(length), "key bigint, slice bigint, any array<int>, later array<int>")
     if level < len(STEPS) and not crowd.isEmpty():
         parts = written(refined(crowd, length, gram, STEPS[level]), "parts")
-        inner = settled(parts.select("key", "slice", "doc_id", "h", "first", "last"), texts, length, gram, level + 1)
+        inner = settled(parts.select("key", "slice", "doc_id", "h", "first", "last", F.lit(1).alias("copies")), texts, length, gram, level + 1)
         back = lambda c: F.transform(F.col(c), lambda x: x - F.col("begin")).alias(c)
         found = with_spans(parts, inner).select(F.col("over").alias("key"), F.col("of").alias("slice"), back("any"), back("later"))
         ranked = ranked.unionByName(found.groupBy("key", "slice").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("any", "later")]))
@@ -275,7 +275,9 @@ def spans(docs: DataFrame, length: int, keep_first: bool) -> tuple[DataFrame, Da
     """The texts with repeated anchors, and (doc_id, h, taken): first and last window start of stretches to take out."""
     seen = written(anchor_rows(docs, length), "anchors")
     met = written(seen.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select("key"), "keys")
-    every, seen = seen, written(seen.join(met, "key"), "met")
+    every, seen = seen, written(seen.join(met, "key"), "shared")
+    # Rows that repeat doc_id and text have the same slices at the same places: one of each stands for all, with their number.
+    seen = written(seen.groupBy("key", "slice", "doc_id", "h", "first", "last").agg(F.count(F.lit(1)).alias("copies")), "met")
     emptied(every)
     texts = written(docs.alias("d").join(seen.select("doc_id", "h").distinct().alias("s"), same("d", "s"), "left_semi"), "texts")
     named = settled(seen, texts, length)

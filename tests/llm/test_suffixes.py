@@ -60,6 +60,18 @@ def test_repeated_rows_and_empty(spark, frame, prose):
     assert suffixes.removed(frame([]), keep_first=False).count() == 0
 
 
+def test_many_repeats_of_a_row_do_not_widen_its_spans(spark, frame, prose):
+    text = prose(900, 3)
+    sizes = []
+    for n in (2, 300):
+        docs = frame([(1, text)] * n + [(2, text[:900] + prose(90, 4))]).select("doc_id", "text").selectExpr("*", "xxhash64(text) AS h")
+        taken = suffixes.spans(docs, 400, False)[1]
+        sizes.append(sorted((r["doc_id"], len(r["taken"])) for r in taken.collect()))
+    assert sizes[0] == sizes[1]
+    out = suffixes.removed(frame([(1, text)] * 300), keep_first=False).collect()
+    assert len(out) == 300 and {r["n_removed"] for r in out} == {len(text)}
+
+
 def test_chunks_give_the_same_anchors(monkeypatch, prose):
     data = np.frombuffer(prose(900, 4).encode(), np.uint8)
     whole = {(k, p) for k, a, b in suffixes.anchors(data) for p in range(a, b + 1)}
