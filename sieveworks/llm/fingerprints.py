@@ -12,7 +12,8 @@ one in 32, by it and the one before), after 4 to 64 words, and at the paragraph'
 blocks around it only. Blank paragraphs have no block.
 
 Defined results: null counts as the empty text, which is one empty paragraph. Rows that repeat both doc_id and text
-are one document, and each gets its row; two texts under one doc_id follow each other by hash. A null doc_id comes
+are one document, and each gets its row; two texts under one doc_id follow each other by hash. A line feed and a space
+behind a sentence's end are the same cut, so texts that differ in these alone have equal fingerprints. A null doc_id comes
 first. A table of one document follows itself. Other columns are not carried.
 """
 
@@ -79,12 +80,13 @@ def fingerprint(text: Column) -> Column:
     return vector_sum(paragraphs(text))
 
 
-def inserted(vector: Column, paragraph: Column) -> Column:
-    return vector_sum(F.array(paragraph), vector)
+def inserted(vector: Column, text: Column) -> Column:
+    """The fingerprint with the paragraphs of ``text`` too, cut as in a whole text."""
+    return vector_sum(paragraphs(text), vector)
 
 
-def deleted(vector: Column, paragraph: Column) -> Column:
-    return vector_sum(F.array(paragraph), vector, -1)
+def deleted(vector: Column, text: Column) -> Column:
+    return vector_sum(paragraphs(text), vector, -1)
 
 
 def as_hex(vector: Column) -> Column:

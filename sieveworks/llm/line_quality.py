@@ -192,25 +192,29 @@ class Field:
 
 
 def gradient(field: Field, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood of the labels, and its gradients. Documents are rows of lines, padded where ``mask`` is false."""
-    gain = x @ field.weights
+    """Log likelihood of the labels, and its gradients. Sequences are rows of lines, longest first, padded where ``mask`` is
+    false; a step goes over the rows that are as long."""
+    gain, steps = x @ field.weights, field.steps
     n, length = mask.shape
+    long = mask.sum(0)
     emit = np.stack([np.zeros_like(gain), gain], 2)
     forward, backward = np.zeros((n, length, 2)), np.zeros((n, length, 2))
     forward[:, 0] = emit[:, 0]
     for t in range(1, length):
-        new = np.logaddexp.reduce(forward[:, t - 1, :, None] + field.steps, axis=1) + emit[:, t]
-        forward[:, t] = np.where(mask[:, t, None], new, forward[:, t - 1])
-    total = np.logaddexp.reduce(forward[:, -1], axis=1)
+        before = forward[: long[t], t - 1]
+        forward[: long[t], t] = np.logaddexp(before[:, :1] + steps[0], before[:, 1:] + steps[1]) + emit[: long[t], t]
     for t in range(length - 2, -1, -1):
-        new = np.logaddexp.reduce(field.steps + (emit[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-        backward[:, t] = np.where(mask[:, t + 1, None], new, 0.0)
-    content = np.exp(forward + backward - total[:, None, None])[:, :, 1] * mask
-    pairs = forward[:, :-1, :, None] + field.steps + (emit[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
-    pairs = np.exp(np.minimum(pairs, 0)) * mask[:, 1:, None, None]
-    met = np.stack([np.stack([((y[:, :-1] == a) & (y[:, 1:] == b) & mask[:, 1:]).sum() for b in (0, 1)]) for a in (0, 1)])
-    score = (gain * y * mask).sum() + (met * field.steps).sum() - total.sum()
-    return score, np.einsum("nt,ntf->f", (y - content) * mask, x), met - pairs.sum((0, 1))
+        after = emit[: long[t + 1], t + 1] + backward[: long[t + 1], t + 1]
+        backward[: long[t + 1], t] = np.logaddexp(after[:, :1] + steps[:, 0], after[:, 1:] + steps[:, 1])
+    last = forward[np.arange(n), mask.sum(1) - 1]
+    total = np.logaddexp(last[:, 0], last[:, 1])
+    content = np.exp(np.where(mask, forward[:, :, 1] + backward[:, :, 1] - total[:, None], -np.inf))
+    after = emit[:, 1:] + backward[:, 1:] - total[:, None, None]
+    both = mask[:, 1:]
+    pairs = np.array([[np.exp(np.where(both, forward[:, :-1, a] + steps[a, b] + after[:, :, b], -np.inf)).sum() for b in (0, 1)] for a in (0, 1)])
+    met = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)])
+    score = (gain * y * mask).sum() + (met * steps).sum() - total.sum()
+    return score, np.tensordot((y - content) * mask, x, 2), met - pairs
 
 
 def train(documents: list[tuple[bool, np.ndarray, np.ndarray]]) -> Field:
@@ -227,7 +231,8 @@ def train(documents: list[tuple[bool, np.ndarray, np.ndarray]]) -> Field:
     for g, b in zip(goods, bads, strict=False):
         half = len(labels[g]) // 2
         sequences.append([(g, 0, half), (b, 0, len(labels[b])), (g, half, len(labels[g]))])
-    n, length = len(sequences), max(sum(b - a for _, a, b in s) for s in sequences)
+    sequences.sort(key=lambda parts: -sum(b - a for _, a, b in parts))
+    n, length = len(sequences), sum(b - a for _, a, b in sequences[0])
     x, mask, y = np.zeros((n, length, FEATURES)), np.zeros((n, length), bool), np.zeros((n, length))
     for row, parts in enumerate(sequences):
         own = np.concatenate([documents[k][1][a:b] for k, a, b in parts])

@@ -78,3 +78,16 @@ def test_likeness_of_near_copies(spark, frame):
     # Blank lines are no likeness.
     blank = frame([(1, "\n\n".join(old)), (2, "\n\n".join(new))]).agg(F.collect_list(fp.fingerprint(F.col("text"))).alias("v"))
     assert blank.select(fp.likeness(F.col("v")[0], F.col("v")[1])).first()[0] < 0.45
+
+
+def test_inserted_texts_are_cut(spark):
+    """A paragraph of several sentences goes in and out as it would as part of the text."""
+    from pyspark.sql import functions as F
+
+    from sieveworks.llm import fingerprints as fp
+
+    df = spark.createDataFrame([("First one.\nSecond", "One. Two! Three"), ("", "a\nb"), ("x. y", "")], "t string, p string")
+    whole = fp.fingerprint(F.concat("t", F.lit("\n"), "p"))
+    put, taken = fp.inserted(fp.fingerprint(F.col("t")), F.col("p")), fp.deleted(whole, F.col("p"))
+    for row in df.select((put == whole).alias("a"), (taken == fp.fingerprint(F.col("t"))).alias("b"), (fp.fingerprint(F.lit("One. Two")) == fp.fingerprint(F.lit("One.\nTwo"))).alias("c")).collect():
+        assert tuple(row) == (True, True, True)
