@@ -63,9 +63,9 @@ def test_others(spark):
     assert json.loads(api.extract_context(spark, json.dumps({"content": "short", "query": "x"}))) == "short"
     assert json.loads(api.batch_extract_context(spark, json.dumps({"query": "x", "items": [{"content": "c"}, 5]}))) == [{"url": "", "title": "", "context": "c"}, {"url": "", "title": "", "context": ""}]
     assert json.loads(api.sanitize_query(spark, json.dumps({"query": "a@b.org", "config": {"redact_email": False}}))) == "a@b.org"
-    messages = [{"role": "s", "content": t} for t in ("sys", "initial", "q1", "a1", "q2", "a2")]
-    kept = json.loads(api.truncate_conversation(spark, json.dumps({"messages": messages, "config": {"max_length": 15}})))
-    assert [m["content"] for m in kept] == ["sys", "initial", "q2", "a2"]
+    messages = [{"role": "s", "content": t} for t in ("rules", "hi", "one", "uno", "two", "due", "three", "tre")]
+    kept = json.loads(api.truncate_conversation(spark, json.dumps({"messages": messages, "config": {"max_length": 20}})))
+    assert [m["content"] for m in kept] == ["rules", "hi", "three", "tre"]
     assert "Shop" in api.resolve_prompt(spark, json.dumps({"prompt_name": "summarize", "site_name": "Shop"}))
     assert len(json.loads(api.describe(spark))["functions"]) == 13 and api.version(spark)
 
@@ -91,8 +91,8 @@ def test_read_results_keeps_further_fields(spark, tmp_path):
 
 def test_sql_functions(spark):
     assert "sw_terms" in sql.register(spark)
-    row = spark.sql("SELECT sw_terms('What is Drupal'), sw_sanitize('a@b.org'), CAST(sw_parse_date('2025-02-31') AS STRING), sw_recency('2025-01-01', DATE '2026-01-01'), sw_url_key('https://A.b/C/'), sw_is_valid_term('the'), sw_first_sentences('One. Two three', 8)").first()
-    assert tuple(row) == (["drupal"], "[EMAIL]", "2025-03-03", 0.25, "a.b/C", False, "One.")
+    row = spark.sql("SELECT sw_terms('What is Ferry'), sw_sanitize('a@b.org'), CAST(sw_parse_date('2025-02-31') AS STRING), sw_recency('2025-01-01', DATE '2026-01-01'), sw_url_key('https://A.b/C/'), sw_is_valid_term('the'), sw_first_sentences('One. Two three', 8)").first()
+    assert tuple(row) == (["ferry"], "[EMAIL]", "2025-03-03", 0.25, "a.b/C", False, "One.")
 
 
 def test_streams(spark, tmp_path):

@@ -62,14 +62,14 @@ def rows(spark, *data):
 
 def test_composite(spark):
     df = rows(
-        spark, ("/a", "Drupal Performance Guide", "drupal performance tips", "", None, None, "99.99", 0), ("/b", "Unrelated", "nothing", "", 0.0, None, "9.99", 1),
-        ("/c", "Hello Integrations", "none", "", -3.0, None, "49.99", 2), ("/d", "None", "hello world", "", None, [0, 1], None, 3),
+        spark, ("/a", "Ferry Harbour Timetable", "ferry harbour hours", "", None, None, "12.5", 0), ("/b", "Tickets", "fares and zones", "", 0.0, None, "7", 1),
+        ("/c", "Winter Ferry", "ice", "", -3.0, None, "11", 2), ("/d", "Moon", "winter tide", "", None, [0, 1], None, 3),
     )
-    out = {r["url"]: r["score"] for r in score.score_results(df, "drupal performance", QUIET).collect()}
-    assert out == pytest.approx({"/a": 2.98, "/b": 1.0, "/c": 1.0, "/d": 1.0})
-    out = [(r["url"], r["score"]) for r in score.score_results(df, "hello world", QUIET).collect()]
+    out = {r["url"]: r["score"] for r in score.score_results(df, "ferry harbour", QUIET).collect()}
+    assert out == pytest.approx({"/a": 2.98, "/b": 1.0, "/c": 1.5, "/d": 1.0})
+    out = [(r["url"], r["score"]) for r in score.score_results(df, "winter tide", QUIET).collect()]
     assert [u for u, _ in out] == ["/d", "/c", "/a", "/b"] and [s for _, s in out] == pytest.approx([2.2, 1.5, 1, 1])
-    assert score.score_results(df, "x1", QUIET, primary_query="hello").filter("url = '/c'").first()["score"] == 2.0
+    assert score.score_results(df, "x1", QUIET, primary_query="winter").filter("url = '/c'").first()["score"] == 2.0
     assert [r["url"] for r in score.score_results(df, "zz", QUIET, sort_field="price").collect()] == ["/b", "/c", "/a"]
     assert [r["url"] for r in score.score_results(df, "zz", QUIET, sort_field="price", direction="desc").collect()] == ["/a", "/c", "/b"]
     assert score.score_results(df, "zz", QUIET, sort_field="title").count() == 0
