@@ -10,8 +10,10 @@ their shingles in the document's.
 Signatures and shingles of the items are sent to all executors in blocks of at most ``BLOCK_SHINGLES``, so what is
 broadcast has a fixed bound; a larger set of items is searched in several blocks. Documents are not shuffled.
 
-Defined results: null and empty texts contain nothing. Items of fewer than five words have no shingle of full width:
-they are too short to tell and match nothing. Equal items all match; repeated documents each get their rows. Null ids
+Items of one to four words are one shingle of their own width, and a document that has these words in a row contains them.
+``decontaminated`` leaves them out: so few words do not make a document a copy.
+
+Defined results: null and empty texts contain nothing, and items without a word are in nothing. Equal items all match; repeated documents each get their rows. Null ids
 are returned as they are. Other columns are ignored, or kept by ``decontaminated``.
 """
 
@@ -130,20 +132,45 @@ def by_size(rows: list[tuple], threshold: float) -> list[Items]:
     return [Items.of(sizes[k], threshold) for k in sorted(sizes)]
 
 
-def item_blocks(items: DataFrame, threshold: float, key: str) -> Iterator[list[Items]]:
-    """Test items in blocks that a broadcast can hold. They stream through the driver; it keeps one block at a time."""
-    shingler, block, held = Shingler(), [], 0
+@dataclass
+class Block:
+    """Items that a broadcast can hold: those of full width in partitions, and the ids of shorter ones by width and hash."""
+
+    parts: list[Items]
+    short: dict[int, dict[int, list]]
+
+
+def item_blocks(items: DataFrame, threshold: float, key: str) -> Iterator[Block]:
+    """Test items in blocks. They stream through the driver; it keeps one block at a time."""
+    shingler, block, short, held = Shingler(), [], {}, 0
     for item_id, text in items.select(key, text_of()).toLocalIterator():
-        shingles = shingler.read(text)
-        if len(shingler.words(text)) < WIDTH:
+        shingles, width = shingler.read(text), len(shingler.words(text))
+        if not width:
             continue
-        if block and held + len(shingles) > BLOCK_SHINGLES:
-            yield by_size(block, threshold)
-            block, held = [], 0
-        block.append((item_id, shingles))
+        if held and held + len(shingles) > BLOCK_SHINGLES:
+            yield Block(by_size(block, threshold), short)
+            block, short, held = [], {}, 0
+        if width < WIDTH:
+            short.setdefault(width, {}).setdefault(int(shingles[0]), []).append(item_id)
+        else:
+            block.append((item_id, shingles))
         held += len(shingles)
-    if block:
-        yield by_size(block, threshold)
+    if held:
+        yield Block(by_size(block, threshold), short)
+
+
+class ShortSearch:
+    """Finds items of fewer words than a shingle."""
+
+    def __init__(self, short: dict[int, dict[int, list]]):
+        self.widths = [(Shingler(width), np.sort(np.array(list(ids), np.uint64)), ids) for width, ids in sorted(short.items())]
+
+    def find(self, text: str) -> list[tuple]:
+        found = []
+        for shingler, hashes, ids in self.widths:
+            mine = shingler.read(text)
+            found += [(item, 1.0) for h in (mine[is_in(mine, hashes)].tolist() if len(mine) else []) for item in ids[h]]
+        return found
 
 
 def search(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -151,14 +178,14 @@ def search(docs: DataFrame, items: DataFrame, key: str = "item_id", threshold: f
     spark, source = docs.sparkSession, docs.select("doc_id", text_of().alias("text"))
     schema = f"doc_id bigint, {key} bigint, containment double"
 
-    def searched(block: list[Items]) -> DataFrame:
+    def searched(block: Block) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            shingler, searcher = Shingler(), Search(sent.value, threshold, recall)
+            shingler, searcher, short = Shingler(), Search(sent.value.parts, threshold, recall), ShortSearch(sent.value.short)
             for batch in batches:
                 each = zip(batch["doc_id"], batch["text"], strict=True)
-                out = [(doc_id, item, share) for doc_id, text in each for item, share in searcher.find(shingler.read(text))]
+                out = [(doc_id, item, share) for doc_id, text in each for item, share in searcher.find(shingler.read(text)) + short.find(text)]
                 yield pd.DataFrame(out, columns=["doc_id", key, "containment"])
 
         return source.mapInPandas(rows, schema)
@@ -171,7 +198,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     """The rows of ``docs`` that contain no test item, with their columns; rows without doc_id are judged as well."""
     kept = docs
     for block in item_blocks(items, threshold, "item_id"):
-        kept = kept.filter(clean_of(docs.sparkSession.sparkContext.broadcast(block), threshold, recall)(text_of()))
+        kept = kept.filter(clean_of(docs.sparkSession.sparkContext.broadcast(block.parts), threshold, recall)(text_of()))
     return kept
 
 
