@@ -18,22 +18,22 @@ def pieces(text: Column, width: int | Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring(text, k, F.lit(width) if isinstance(width, int) else width))))
 
 
-def all_pieces(text: Column) -> Column:
-    """Of every width up to ``PIECE``. Widths do not mix, as each piece has its own."""
-    own = [F.coalesce(pieces(text, w), F.array().cast("array<string>")) for w in range(1, PIECE + 1)]
-    return F.concat(*own)
+def all_pieces(text: Column, widths: list[int]) -> Column:
+    """Of each of the widths. They do not mix, as each piece has its own."""
+    return F.concat(F.array().cast("array<string>"), *[F.coalesce(pieces(text, w), F.array().cast("array<string>")) for w in widths])
 
 
 def contained(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """(text, pattern) of all different texts and patterns of which the text holds the pattern. Nulls meet nothing; the empty
-    pattern, which every text holds, is left to the caller."""
+    pattern, which every text holds, is left to the caller. The driver learns which widths of pieces there are, ``PIECE`` at most."""
     t = texts.select(F.col(text).alias("_text")).filter("_text is not null").distinct()
     p = patterns.select(F.col(pattern).alias("_pattern")).filter("_pattern <> ''").distinct()
     width = F.least(F.length("_pattern"), F.lit(PIECE))
     filed = p.select("_pattern", F.explode(pieces(F.col("_pattern"), width)).alias("_piece"))
+    widths = [r["_w"] for r in p.select(width.alias("_w")).distinct().collect()]
     # Only pieces that a pattern has are of interest; how many texts have each is counted before it is shuffled.
     wanted = filed.select("_piece").distinct()
-    met = t.select("_text", F.explode(all_pieces(F.col("_text"))).alias("_piece")).join(wanted, "_piece", "left_semi")
+    met = t.select("_text", F.explode(all_pieces(F.col("_text"), widths)).alias("_piece")).join(wanted, "_piece", "left_semi")
     uses = met.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
     rarest = filed.join(uses, "_piece").groupBy("_pattern").agg(F.min(F.struct("_n", "_piece")).alias("_r"), F.count(F.lit(1)).alias("_found"))
     # A pattern one of whose pieces no text has is in no text.
