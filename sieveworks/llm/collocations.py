@@ -24,6 +24,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -71,13 +72,8 @@ class Words:
         """Numbers of the words of (lang, text) rows, and whether each stands in one piece with the one before it."""
         langs = batch.column(0).to_pylist()
         rows: dict[str, list[bytes]] = defaultdict(list)
-        held: dict[str, int] = defaultdict(int)
         for lang, text in zip(langs, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             rows[lang].append(text)
-            held[lang] += len(text)
-            if held[lang] > STEP_BYTES:
-                yield self._taken(lang, rows.pop(lang))
-                held[lang] = 0
         for lang, texts in rows.items():
             yield self._taken(lang, texts)
 
@@ -101,6 +97,18 @@ class Words:
         return langs, words, hashes
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most STEP_BYTES of text, or one longer row: a batch may hold more words than a shard."""
+    begin = held = 0
+    for k, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        if k > begin and held + n > STEP_BYTES:
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += n
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
 def bits_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits)
 
@@ -134,8 +142,8 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "h", "n"])
 
         own, counts = Words(seed), np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, _ in own.read(batch):
+        for part in (p for batch in batches for p in slices(batch)):
+            for ids, _ in own.read(part):
                 if len(counts) < len(own):
                     counts = np.concatenate([counts, np.zeros(len(own), np.int64)])
                 counts += np.bincount(ids, minlength=len(counts))
@@ -237,8 +245,8 @@ def runs(texts: DataFrame, seed: int, word_bits, pair_bits, ranges: int, depth:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pair_bits.value if pair_bits else None
         own = Shard(seed, word_bits.value)
-        for batch in batches:
-            for ids, joined in own.words.read(batch):
+        for part in (p for batch in batches for p in slices(batch)):
+            for ids, joined in own.words.read(part):
                 own.add(ids, joined)
             if own.full:
                 yield from (packed(*level, ranges) for level in own.levels(known, depth))
