@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +38,8 @@ MARKERS, VOTERS = 512, 48
 ANNOTATOR, SMOOTHING, LEAST_BITS = 5.0, 4.0, 0.002
 PREFIXES = range(4, 9)
 KEPT_WORDS = 300_000
+#: Rows whose products are summed at once while fitting: numpy widens its operands as a whole.
+FIT_SLICE = 2048
 WORD = re.compile(r"\w+")
 
 
@@ -119,6 +121,10 @@ def votes(counts: np.ndarray, sizes: np.ndarray, strength: np.ndarray) -> np.nda
     return np.stack(columns, 1).astype("i1")
 
 
+def summed(rows: int, part: Callable[[slice], np.ndarray]) -> np.ndarray:
+    return sum(part(slice(k, k + FIT_SLICE)) for k in range(0, rows, FIT_SLICE))
+
+
 def one_hot(ballots: np.ndarray) -> np.ndarray:
     """Row, voter * 3 + vote + 1."""
     return np.stack([ballots == v for v in (-1, 0, 1)], 2).reshape(len(ballots), -1).astype("f4")
@@ -165,7 +171,7 @@ class LabelModel:
         shown, m = one_hot(ballots), ballots.shape[1]
         belief = np.where(gold > 0, 0.9, 0.1)
         for _ in range(rounds):
-            joint = np.stack([(shown * w[:, None]).T @ shown for w in (1 - belief, belief)]).astype("f8").reshape(2, m, 3, m, 3)
+            joint = np.stack([summed(len(shown), lambda s, w=w: (shown[s] * w[s, None]).T @ shown[s]) for w in (1 - belief, belief)]).astype("f8").reshape(2, m, 3, m, 3)
             prior = float(np.clip(belief.mean(), 1e-6, 1 - 1e-6))
             parent = dependencies(joint)
             own = np.einsum("cjvjv->jcv", joint) + 0.5
@@ -215,7 +221,7 @@ class Classifier:
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for step in range(1, steps + 1):
             gap = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - target
-            slope = np.append(x.T @ gap / len(gap) + decay * w, gap.mean())
+            slope = np.append(summed(len(x), lambda s, gap=gap: x[s].T @ gap[s]) / len(gap) + decay * w, gap.mean())
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             w, b = (w - move[:-1]).astype("f4"), b - float(move[-1])
@@ -248,10 +254,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
             yield pd.DataFrame({"at": [list(f) for f, _ in rows], "n": [list(f.values()) for f, _ in rows], "words": [n for _, n in rows], "toxic": batch["toxic"].array})
 
     # About FIT_ROWS rows of at most MARKERS small counts.
-    rows = sample.mapInPandas(read, "at array<int>, n array<int>, words int, toxic int").collect()
-    counts, words, gold = np.zeros((len(rows), len(names)), "f4"), np.zeros(len(rows), "f4"), np.zeros(len(rows), "i1")
-    for k, (at, n, size, label) in enumerate(rows):
-        counts[k, at], words[k], gold[k] = n, size, label > 0
+    rows = sample.mapInPandas(read, "at array<int>, n array<int>, words int, toxic int").toArrow()
+    at, n = (rows[c].combine_chunks() for c in ("at", "n"))
+    counts = np.zeros((len(rows), len(names)), "f4")
+    counts[np.repeat(np.arange(len(rows)), at.value_lengths()), at.flatten()] = n.flatten()
+    words, gold = rows["words"].to_numpy().astype("f4"), (rows["toxic"].to_numpy() > 0).astype("i1")
     strength = np.array([np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)) for _, t, c in found])
     ballots = votes(counts, words, strength)
     target = LabelModel.fit(ballots, gold).belief(ballots)

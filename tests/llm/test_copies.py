@@ -88,6 +88,36 @@ def test_components(spark, kind):
     assert {(r["node"], r["root"]) for r in out.collect()} == set(roots(nodes, [e for e in edges if e[0] != e[1]]).items())
 
 
+def test_families_need_no_rounds(spark, monkeypatch):
+    """Cliques and stars over several tasks are settled by the contraction alone; a chain cut into its edges goes on in rounds."""
+    rounds = []
+    monkeypatch.setattr(graph, "with_leader", lambda *a, own=graph.with_leader: rounds.append(a) or own(*a))
+    edges = [(a, b) for f in range(8) for a in range(20 * f, 20 * f + 12) for b in range(20 * f, a)] + [(500 + k, 400) for k in range(300)]
+    random.Random(5).shuffle(edges)
+    out = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(7), "t").collect()
+    assert {(r["node"], r["root"]) for r in out} == set(roots({n for e in edges for n in e}, edges).items()) and not rounds
+    monkeypatch.setattr(graph, "EDGES", 1)
+    monkeypatch.setattr(graph, "contracted", lambda e: e.select(graph.F.greatest("u", "v").alias("u"), graph.F.least("u", "v").alias("v")))
+    edges = [(k, k + 1) for k in range(40)]
+    out = graph.components(spark.createDataFrame(edges, "u long, v long").repartition(7), "t").collect()
+    assert {(r["node"], r["root"]) for r in out} == {(k, 0) for k in range(41)} and rounds
+
+
+def test_contraction_in_slices(spark, monkeypatch):
+    """Edges of binary nodes in slices keep their components, and no slice yields more edges than it has nodes."""
+    rng = random.Random(6)
+    edges = [(b"%03d" % rng.randrange(200), b"%03d" % rng.randrange(200)) for _ in range(400)]
+    edges = [e for e in edges if e[0] != e[1]]
+    monkeypatch.setattr(graph, "EDGES", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        out = [(bytes(u), bytes(v)) for u, v in graph.contracted(spark.createDataFrame(edges, "u binary, v binary")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nodes = {n for e in edges for n in e}
+    assert all(u > v for u, v in out) and len(out) < len(edges) and roots(nodes, out) == roots(nodes, edges)
+
+
 def test_containment(spark, frame, prose, monkeypatch):
     rng = random.Random(6)
     items = [(k, prose(rng.choice([5, 6, 12, 30, 60]), 1000 + k)) for k in range(40)] + [(50, ""), (51, None), (52, "only four words here"), (53, prose(20, 1000)), (None, prose(30, 77))]

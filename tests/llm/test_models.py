@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -172,3 +173,17 @@ def test_posterior_leaves_wrong_labels():
     gold = (truth ^ wrong).astype("i1")
     found = tx.LabelModel.fit(ballots, gold).belief(ballots) > 0.5
     assert (found != truth).mean() < 0.01 < 0.04 < (found != (gold > 0)).mean()
+
+
+def test_fit_widens_no_input_as_a_whole():
+    """Beside the inputs of the classifier, of 16 MB, and the votes, of 6 MB, the driver holds slices only."""
+    rng = np.random.default_rng(1)
+    counts, ballots = rng.poisson(0.1, (16_000, 256)).astype("f4"), rng.integers(-1, 2, (16_000, 33)).astype("i1")
+    gold = (counts[:, 0] > 0).astype("i1")
+    sizes = []
+    for run in (lambda: tx.Classifier.fit(["x"] * 256, counts, gold * 0.98 + 0.01, steps=2), lambda: tx.LabelModel.fit(ballots, gold, rounds=1)):
+        tracemalloc.start()
+        run()
+        sizes.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert sizes[0] < 26 and sizes[1] < 16
