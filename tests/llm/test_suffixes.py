@@ -72,6 +72,18 @@ def test_many_repeats_of_a_row_do_not_widen_its_spans(spark, frame, prose):
     assert len(out) == 300 and {r["n_removed"] for r in out} == {len(text)}
 
 
+def test_query_names_documents_with_planted_passages(spark, frame, prose, tmp_path):
+    """Passages of over 50 words in documents that are otherwise different: those of 400 bytes or more show, shorter ones and clean documents do not."""
+    long, short = prose(90, 500), " ".join(["ab"] * 30 + prose(30, 501).split())[:390]
+    assert len(long) >= 400 > len(short) and len(short.split()) > 50 and len(long.split()) > 50
+    rows = [(k, f"{prose(80, k)}. {(long, short, '')[k % 3]} {prose(60, 40 + k)}") for k in range(12)]
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = suffixes.op9_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["has_repeats"] for r in out} == {k: k % 3 == 0 for k, _ in rows}
+    # What stands around a passage can agree by chance, which makes a run longer, never shorter.
+    assert all((r["n_removed"] >= len(long)) == r["has_repeats"] and r["n_bytes"] == len(rows[r["doc_id"]][1]) for r in out)
+
+
 def test_chunks_give_the_same_anchors(monkeypatch, prose):
     data = np.frombuffer(prose(900, 4).encode(), np.uint8)
     whole = {(k, p) for k, a, b in suffixes.anchors(data) for p in range(a, b + 1)}
