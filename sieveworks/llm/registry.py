@@ -1,4 +1,7 @@
-"""Queries of this subpackage by name, and the SQL of those that SQL can express."""
+"""Queries of this subpackage by name, and the SQL of those that SQL can express.
+
+``QUERIES`` has op1 to op10, among which the pipeline's stages are; ``LATER`` has those that were dealt after them.
+"""
 
 from __future__ import annotations
 
@@ -21,8 +24,9 @@ QUERIES = {
     for f in (
         op1_warc, op2_sharding, op3_ngram_jaccard, op4_fingerprints, op5_sentencepieces,
         op6_language_model, op7_secret_scan, op8_toxicity, op9_suffix_dedup, op10_decontamination,
-        op11_line_quality, op12_collocations, op13_alignment,
     )
 }
 
+LATER = {f.__name__: f for f in (op11_line_quality, op12_collocations, op13_alignment)}
+
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op12_collocations": OP12_SQL}

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import __spark_entry__
 import corpus_pipeline
 from sieveworks.llm import registry, sentencepieces
 
@@ -14,6 +15,12 @@ def test_stages(spark):
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in registry.QUERIES}
 
 
+def test_all_operators_are_registered():
+    dealt = [q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")]
+    assert sorted(dealt) == sorted(f"op{n}" for n in range(1, 14))
+    assert {q.split("_")[0] for q in registry.LATER} == {"op11", "op12", "op13"}
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
